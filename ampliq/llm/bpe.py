@@ -168,8 +168,6 @@ class Bpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces into the cache."""
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
-            self.cache.clear()
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8")
@@ -189,10 +187,12 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         split = [self.split.findall(text) for text in texts]
-        if new := set().union(*split) - self.cache.keys():
-            self.learn(new)
-            if not new <= self.cache.keys() or len(self.cache) == len(new):  # the cache began anew
-                self.learn(set().union(*split) - self.cache.keys())
+        every = set().union(*split)
+        new = {piece for piece in every if piece not in self.cache}
+        if len(self.cache) + len(new) > CACHE_PIECES:
+            self.cache.clear()
+            new = every
+        self.learn(new)
         for pieces in split:
             yield list(itertools.chain.from_iterable(map(self.cache.__getitem__, pieces)))
 

@@ -9,6 +9,7 @@ are decoded together, one sample of each row per step.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,60 +34,67 @@ def _header(rows: int) -> bytes:
 
 
 HEADER = _header(HEIGHT)
-_CATEGORY = np.array([int(d).bit_length() for d in range(256)], np.int64)
+_MARK = re.compile(rb"\xff[\xd0-\xd9]")
+
+def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code, bits) by difference + 255, and (difference, bits) by the next twelve bits."""
+    diff = np.arange(-255, 256)
+    cat = np.array([int(abs(d)).bit_length() for d in diff])
+    code = (cat << cat) | np.where(diff < 0, diff + (1 << cat) - 1, diff)
+    step, size = np.zeros(4096, np.int32), np.full(4096, 12, np.int32)
+    for d, c, n in zip(diff.tolist(), code.tolist(), (cat + 4).tolist(), strict=True):
+        step[c << (12 - n) : (c + 1) << (12 - n)] = d
+        size[c << (12 - n) : (c + 1) << (12 - n)] = n
+    return code.astype(np.int64), cat.astype(np.int64) + 4, step, size
+
+
+CODE, BITS, STEP, SIZE = _code_tables()
 
 
 def encode_rows(samples: np.ndarray) -> list[bytes]:
     """Coded bytes of each row of a (rows, WIDTH) uint8 matrix, padded with ones and stuffed, without markers."""
-    s = samples.astype(np.int64)
-    diff = s - np.concatenate((np.full((len(s), 1), 128), s[:, :-1]), 1)
-    cat = _CATEGORY[np.abs(diff)]
-    value = (cat << cat) | np.where(diff < 0, diff + (1 << cat) - 1, diff)
-    bits = cat + 4
+    diff = samples.astype(np.int16)
+    diff[:, 1:] -= samples[:, :-1]
+    diff[:, 0] -= 128
+    diff += 255
+    value, bits = CODE[diff], BITS[diff]
+    for _ in range(2):  # codes of four samples, up to 48 bits, become one number
+        value = (value[:, ::2] << bits[:, 1::2]) | value[:, 1::2]
+        bits = bits[:, ::2] + bits[:, 1::2]
     ends = np.cumsum(bits, 1)
     sizes = (ends[:, -1] + 7) // 8
     base = np.concatenate(([0], np.cumsum(sizes)))
-    start = (ends - bits) + 8 * base[:-1, None]
-    window = value << (24 - bits - (start & 7))
+    start = ends - bits + 8 * base[:-1, None]
+    lanes = (value << (64 - bits - (start & 7))).astype(">i8").view(np.uint8).reshape(-1, 8)
     byte = (start >> 3).ravel()
-    size = int(base[-1]) + 3
-    packed = sum(np.bincount(byte + k, ((window >> (16 - 8 * k)) & 255).ravel(), size) for k in range(3)).astype(np.int64)
+    packed = np.zeros(int(base[-1]) + 8, np.uint8)
+    for k in range(7):  # numbers start two bytes apart at least, so none meet within a lane
+        packed[byte + k] |= lanes[:, k]
     spare = 8 * sizes - ends[:, -1]
-    packed[base[1:] - 1] |= (1 << spare) - 1
-    raw = packed[: base[-1]].astype(np.uint8)
-    full = raw == 255
-    out = np.zeros(len(raw) + int(full.sum()), np.uint8)
-    shift = np.cumsum(full) - full
-    out[np.arange(len(raw)) + shift] = raw
-    cuts = base + np.concatenate((shift, [int(full.sum())]))[base]
-    data = out.tobytes()
-    cuts = cuts.tolist()
+    packed[base[1:] - 1] |= ((1 << spare) - 1).astype(np.uint8)
+    raw = packed[: base[-1]]
+    full = np.flatnonzero(raw == 255)
+    cuts = (base + np.searchsorted(full, base)).tolist()
+    data = np.insert(raw, full + 1, 0).tobytes()
     return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def decode_rows(rows: list[bytes]) -> np.ndarray:
     """The samples of coded rows; every step decodes one sample of all rows."""
-    joined = b"".join(rows)
-    raw = np.frombuffer(joined, np.uint8)
-    stuffed = np.zeros(len(raw), bool)
-    stuffed[1:] = (raw[1:] == 0) & (raw[:-1] == 255)
-    lengths = np.array([len(r) for r in rows])
-    ends = np.cumsum(lengths)
-    gone = np.concatenate(([0], np.cumsum(stuffed)))
-    first = (ends - lengths) - gone[ends - lengths]
-    data = np.concatenate((raw[~stuffed], np.zeros(4, np.uint8))).astype(np.int64)
+    raw = np.frombuffer(b"".join(rows), np.uint8)
+    stuffed = np.flatnonzero((raw[1:] == 0) & (raw[:-1] == 255)) + 1
+    ends = np.cumsum(np.array([len(r) for r in rows]))
+    first = np.concatenate(([0], ends[:-1]))
+    data = np.concatenate((np.delete(raw, stuffed), np.zeros(4, np.uint8))).astype(np.int32)
     three = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    bit = 8 * first
+    bit = (8 * (first - np.searchsorted(stuffed, first))).astype(np.int64)
     out = np.empty((WIDTH, len(rows)), np.uint8)
-    last = np.full(len(rows), 128, np.int64)
+    last = np.full(len(rows), 128, np.int32)
     for k in range(WIDTH):
-        word = (three[bit >> 3] << (bit & 7)) & 0xFFFFFF
-        cat = word >> 20
-        extra = (word >> (20 - cat)) & ((1 << cat) - 1)
-        small = (extra < (1 << cat) >> 1) & (cat > 0)
-        last = last + np.where(small, extra - (1 << cat) + 1, extra)
+        word = (three[bit >> 3] >> (12 - (bit & 7))) & 4095
+        last += STEP[word]
         out[k] = last
-        bit = bit + 4 + cat
+        bit += SIZE[word]
     return out.T
 
 
@@ -142,10 +150,7 @@ def frame_rows(frame: bytes) -> list[bytes]:
     """The coded rows of one JPEG frame, between its restart markers."""
     if not frame.startswith(HEADER):
         raise ValueError("not a frame of this codec")
-    raw = np.frombuffer(frame, np.uint8)
-    marks = np.flatnonzero((raw[:-1] == 255) & (raw[1:] >= 0xD0) & (raw[1:] <= 0xD9))
-    marks = marks[marks >= len(HEADER)].tolist()
-    return [frame[a:b] for a, b in zip([len(HEADER), *(m + 2 for m in marks[:-1])], marks, strict=True)]
+    return _MARK.split(frame[len(HEADER) :])[:-1]
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:

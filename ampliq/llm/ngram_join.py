@@ -14,21 +14,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.llm.common import SPACES, text_or_empty, written
+from ampliq.llm.common import text_or_empty, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Nodes in a block; a task verifies two blocks.
 BLOCK = 128
 #: Columns of the incidence matrix multiplied at once.
 COLUMNS = 1 << 14
-_MASK = (1 << 64) - 1
-_TABLE = str.maketrans({c: " " for c in SPACES})
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: tuple[int, ...] = (5, 6, 7, 8), passage: float = 0.4) -> tuple[int, int]:
@@ -48,15 +45,17 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: tup
 def _word_hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
     if len(cache) > 500_000:
         cache.clear()
-    for w in set(words) - cache.keys():
+    for w in [w for w in set(words) if w not in cache]:
         cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 def ngram_hashes(text: str, cache: dict[str, int], n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; a shorter text is one n-gram of all its words."""
-    words = text.translate(_TABLE).split(" ")
-    h = _word_hashes([w for w in words if w], cache)
+    """Sorted distinct 64-bit hashes of the word n-grams; a shorter text is one n-gram of all its words.
+
+    ``text`` has single spaces between its words.
+    """
+    h = _word_hashes(text.split(" ") if text else [], cache)
     if not len(h):
         return h
     n = min(n, len(h))
@@ -65,44 +64,61 @@ def ngram_hashes(text: str, cache: dict[str, int], n: int = WORDS) -> np.ndarray
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + len(out)]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(29)))
-
-
-def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 62, (2, n), np.int64).astype(np.uint64)
-    return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
-
-
-def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit hash for each band of the MinHash signature."""
-    a, b = _seeds(bands * rows)
-    least = np.full(bands * rows, _MASK, np.uint64)
-    for at in range(0, len(grams), 512):
-        x = grams[at : at + 512, None] * a
-        x += b
-        x ^= x >> np.uint64(32)
-        np.minimum(least, x.min(0), out=least)
-    out = np.arange(1, bands + 1).astype(np.uint64)
-    for k in range(rows):
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + least.reshape(bands, rows)[:, k]
-    return out
+    out ^= out >> np.uint64(29)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+class MinHash:
+    """Signatures of ``bands`` hashes, each of ``rows`` minima of random linear maps of the n-gram hashes."""
+
+    STEP = 256
+
+    def __init__(self, bands: int, rows: int):
+        draw = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, (2, bands * rows), np.uint64).astype(np.uint32)
+        self.a, self.b, self.shape = (draw[0] | np.uint32(1))[:, None], draw[1][:, None], (bands, rows)
+        self.cells = np.empty((bands * rows, self.STEP), np.uint32)
 
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        short = (grams >> np.uint64(32)).astype(np.uint32)
+        least = np.full(self.shape[0] * self.shape[1], 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(short), self.STEP):
+            x = short[at : at + self.STEP]
+            cells = self.cells[:, : len(x)]
+            np.multiply(self.a, x, out=cells)
+            cells += self.b
+            np.minimum(least, cells.min(1), out=least)
+        out = np.arange(1, self.shape[0] + 1).astype(np.uint64)
+        for k in range(self.shape[1]):
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + least.reshape(self.shape)[:, k]
+        return out
 
-def _nodes(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, k1, k2, grams, bands): k1 and k2 name the sequence of words; null bands without a word."""
+
+def words_of(text: str) -> Column:
+    """The words of a text with single spaces between them."""
+    return F.trim(F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", " "))
+
+
+def node_name(text: str) -> Column:
+    """128 bits that name the sequence of words."""
+    words = words_of(text)
+    return F.concat_ws(":", F.hex(F.xxhash64(words)), F.hex(F.xxhash64(F.lit(1), words)))
+
+
+def _hashed(named: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
+    """(doc_id, node, grams, bands); null bands without a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
+        minhash = MinHash(bands, rows)
         for batch in batches:
-            k1, k2, size, sig = [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                key = xxhash.xxh3_128_intdigest(" ".join(w for w in text.translate(_TABLE).split(" ") if w).encode("utf-8", "surrogatepass"))
-                grams = ngram_hashes(text, cache, n)
-                k1.append((key >> 64) - (1 << 63)), k2.append((key & _MASK) - (1 << 63)), size.append(len(grams))
-                sig.append(signature(grams, bands, rows).view(np.int64) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "k1", "k2", "grams", "bands"])
+            size, sig = [], []
+            for text in batch.column(2):
+                grams = ngram_hashes(text.as_py(), cache, n)
+                size.append(len(grams))
+                sig.append(minhash(grams).view(np.int64) if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "node", "grams", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, grams int, bands array<long>")
+    return named.mapInArrow(run, "doc_id long, node string, grams int, bands array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -138,9 +154,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
         a, b = np.searchsorted(column, [at, at + COLUMNS])
-        part = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        part = np.zeros((len(left) + len(right), min(COLUMNS, width - at)), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
         out += part[: len(left)] @ part[len(left) :].T
     return out.astype(np.int64)
@@ -164,13 +181,13 @@ def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def verify_blocks(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def verify_blocks(table: pa.Table, threshold: float) -> pa.Table:
     """Links within one pair of blocks: per node the copies it is linked to, and edges that span what is linked."""
-    first, second = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    pdf = pdf.sort_values(["block", "node"])
-    block, node = pdf["block"].to_numpy(), pdf["node"].to_numpy()
-    copies = pdf["copies"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+    first, second = table["i"][0].as_py(), table["j"][0].as_py()
+    table = table.sort_by([("block", "ascending"), ("node", "ascending")])
+    block, node = table["block"].to_numpy(), table["node"].to_pylist()
+    copies = table["copies"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
     cut = len(sets) if first == second else int((block == first).sum())
     left, right = range(cut), range(len(sets)) if first == second else range(cut, len(sets))
     sizes = np.array([len(s) for s in sets])
@@ -186,8 +203,10 @@ def verify_blocks(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         count[list(right)] += linked.T @ copies[list(left)]
     pairs = np.argwhere(linked) + (0, 0 if first == second else cut)
     edges = _spanning(pairs, len(sets))
-    some = np.flatnonzero(count)
-    return pd.DataFrame({"a": [*node[some], *(node[a] for a, _ in edges)], "b": [*[None] * len(some), *(node[b] for _, b in edges)], "links": [*count[some], *[0] * len(edges)]})
+    some = np.flatnonzero(count).tolist()
+    return pa.table({
+        "a": pa.array([node[k] for k in some] + [node[a] for a, _ in edges], pa.string()), "b": pa.array([None] * len(some) + [node[b] for _, b in edges], pa.string()),
+        "links": pa.array(count[some].tolist() + [0] * len(edges), pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,11 +227,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     into blocks, and tasks return counts and spanning edges.
     """
     bands, rows = choose_bands(threshold, recall)
-    plain = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_or_empty(docs[text]).alias("text"))
-    hashed = written(_nodes(plain, bands, rows, n), "ngram-docs")
-    hashed = hashed.withColumn("node", F.concat_ws(":", "k1", "k2"))
-    nodes = hashed.where("grams > 0").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("bands").alias("bands"))
-    nodes = written(nodes.select(F.concat_ws(":", "k1", "k2").alias("node"), "copies", "least_id", "bands"), "ngram-nodes")
+    named = docs.select(docs[doc_id].cast("long").alias("doc_id"), words_of(text).alias("text"))
+    named = named.select("doc_id", node_name("text").alias("node"), "text")
+    hashed = written(_hashed(named, bands, rows, n), "ngram-docs")
+    nodes = hashed.where("grams > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("bands").alias("bands"))
+    nodes = written(nodes, "ngram-nodes")
     rowed = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
     buckets = rowed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1").select("bucket", "hub")
     stars = rowed.join(buckets, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
@@ -223,10 +242,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).select("root", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = written(members, "ngram-members")
-    grams = _gram_sets(plain, members, n)
+    grams = _gram_sets(named, members, n)
     spread = members.join(grams, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "set")
-    found = spread.groupBy("root", "i", "j").applyInPandas(lambda pdf: verify_blocks(pdf, threshold), "a string, b string, links long")
+    found = spread.groupBy("root", "i", "j").applyInArrow(lambda table: verify_blocks(table, threshold), "a string, b string, links long")
     found = written(found, "ngram-found")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = components(found.where("b is not null").select("a", "b"), "ngram-groups")
@@ -241,20 +260,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
                       ((F.col("grams") == 0) | (F.col("is_first_node") & F.col("doc_id").eqNullSafe(F.col("least_id")))).alias("is_first"), "node")
 
 
-def _gram_sets(plain: DataFrame, members: DataFrame, n: int) -> DataFrame:
+def _gram_sets(named: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(node, set): the n-gram hashes of the nodes in ``members``, computed again from one text of each."""
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = []
-            for text in batch.column(0):
-                digest = xxhash.xxh3_128_intdigest(" ".join(w for w in text.as_py().translate(_TABLE).split(" ") if w).encode("utf-8", "surrogatepass"))
-                names.append(f"{(digest >> 64) - (1 << 63)}:{(digest & _MASK) - (1 << 63)}")
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(0)], ["node", "text"])
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ngram_hashes(t.as_py(), cache, n).tobytes() for t in batch.column(1)], pa.binary())], ["node", "set"])
 
-    texts = plain.select("text").mapInArrow(key, "node string, text string").join(members.select("node"), "node", "left_semi")
+    texts = named.select("node", "text").join(members.select("node"), "node", "left_semi")
     return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(sets, "node string, set binary")
