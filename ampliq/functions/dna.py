@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,21 +29,21 @@ def bases_below(qual: Column, least: int = 30) -> Column:
     return F.length(qual) - F.length(F.translate(qual, low, ""))
 
 
-def _mask(base: Column) -> Column:
-    out = F.lit(0)
-    for code, bits in IUPAC.items():
-        out = F.when(base == code, bits).otherwise(out)
-    return out
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def mismatches(window: Column, start: Column, motif: Column, ambiguous: bool) -> Column:
-    """Places at which ``motif``, laid over ``window`` from ``start``, differs.
+def _masks(seq: Column) -> Column:
+    """Each code as a character whose low four bits are the bases that it stands for; other characters have none."""
+    return F.translate(F.regexp_replace(seq, f"[^{_CODES}]", "@"), "".join(IUPAC), "".join(chr(64 + bits) for bits in IUPAC.values()))
 
-    With ``ambiguous``, IUPAC codes on either side match what they share a base with.
-    """
+
+def mismatches(window: Column, start: Column, motif: Column, ambiguous: bool) -> Column:
+    """Places at which ``motif``, laid over ``window`` from ``start``, differs; ``ambiguous`` takes both as ``_masks``."""
     def differs(i: Column) -> Column:
         a, b = F.substring(window, start + i - 1, F.lit(1)), F.substring(motif, i, F.lit(1))
-        return (a != b) & (_mask(a).bitwiseAND(_mask(b)) == 0) if ambiguous else a != b
+        return F.ascii(a).bitwiseAND(F.ascii(b)).bitwiseAND(F.lit(15)) == 0 if ambiguous else a != b
 
     return F.size(F.filter(F.sequence(F.lit(1), F.length(motif)), differs))
 
@@ -49,21 +51,29 @@ def mismatches(window: Column, start: Column, motif: Column, ambiguous: bool) ->
 def first_match(window: Column, motif: Column, most: int, ambiguous: bool = False) -> Column:
     """Leftmost start of ``motif`` inside ``window`` with at most ``most`` substitutions; null if none.
 
+    With ``ambiguous``, IUPAC codes on either side match what they share a base with.
     With at most k substitutions one of k + 1 pieces of the motif is found as it
     stands, so windows that hold none of the pieces are left out at once (unless
     a code other than A, C, G, T makes pieces inexact).
     """
-    n = F.length(motif)
-    part = F.ceil(n / (most + 1)).cast("int")
-    seeded = F.lit(False)
-    for k in range(most + 1):
-        piece = F.substring(motif, k * part + 1, part)
-        seeded = seeded | (F.length(piece) > 0) & F.contains(window, piece)
-    if ambiguous:
-        seeded = seeded | window.rlike("[^ACGT]") | motif.rlike("[^ACGT]")
-    starts = F.sequence(F.lit(1), F.length(window) - n + 1)
-    hits = F.filter(starts, lambda p: mismatches(window, p, motif, ambiguous) <= most)
-    return F.when((n > 0) & (F.length(window) >= n) & seeded, F.get(hits, F.lit(0)))
+    def search(x: Column) -> Column:
+        w, m = x["w"], x["m"]
+        n = F.length(m)
+        part = F.ceil(n / (most + 1)).cast("int")
+        seeded = F.lit(False)
+        for k in range(most + 1):
+            piece = F.substring(m, k * part + 1, part)
+            seeded = seeded | (F.length(piece) > 0) & F.contains(w, piece)
+        if ambiguous:
+            seeded = seeded | w.rlike("[^ACGT]") | m.rlike("[^ACGT]")
+        starts = F.sequence(F.lit(1), F.length(w) - n + 1)
+        if ambiguous:
+            hit = let(F.struct(_masks(w).alias("w"), _masks(m).alias("m")), lambda y: F.get(F.filter(starts, lambda p: mismatches(y["w"], p, y["m"], True) <= most), F.lit(0)))
+        else:
+            hit = F.get(F.filter(starts, lambda p: mismatches(w, p, m, False) <= most), F.lit(0))
+        return F.when((n > 0) & (F.length(w) >= n) & seeded, hit)
+
+    return let(F.struct(window.alias("w"), motif.alias("m")), search)
 
 
 def hamming(a: Column, b: Column) -> Column:

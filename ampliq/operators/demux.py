@@ -6,10 +6,10 @@ once and carries its count ``n``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliq.functions.dna import first_match, reverse_complement
+from ampliq.functions.dna import first_match, let, reverse_complement
 
 
 def collapse(reads: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def mid_hits(collapsed: DataFrame, samples: DataFrame, most: int = 1, start: int
     window = F.substring("seq", start, end - start + 1)
     tags = samples.select("pool", "patient", "mid_seq", "mid_order")
     long = collapsed.where(F.length("seq") > longer_than).join(tags, "pool")
-    found = long.withColumn("pos", first_match(window, F.col("mid_seq"), most) + start - 1)
+    found = long.withColumn("pos", F.explode(F.array(first_match(window, F.col("mid_seq"), most) + start - 1)))  # computed once, before the filter
     return found.where("pos is not null").select("pool", "seq", "n", "patient", "mid_order", "pos")
 
 
@@ -57,24 +57,31 @@ def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_le
     """
     primers = samples.select("pool", "patient", "fw_primer", "rv_primer")
     out = assigned.where("patient is not null").join(primers, ["pool", "patient"])
-    out = out.withColumn("short", F.length("seq") <= min_len)
     head = F.substring("seq", start, end - start + 1)
-    fw, rv = F.col("fw_primer"), F.col("rv_primer")
-    out = out.withColumn("_fw5", F.when(~F.col("short"), first_match(head, fw, most, True)))
-    out = out.withColumn("_rv5", F.when(~F.col("short") & F.col("_fw5").isNull(), first_match(head, rv, most, True)))
-    out = out.withColumn("strand", F.when(F.col("_fw5").isNotNull(), "fw").when(F.col("_rv5").isNotNull(), "rv"))
-    out = out.withColumn("pos5", F.coalesce("_fw5", "_rv5") + start - 1)
-    rest = F.substring(F.col("seq"), F.col("pos5") + F.length(F.when(F.col("strand") == "fw", fw).otherwise(rv)), F.length("seq"))
-    out = out.withColumn("_rest", rest)
-    out = out.withColumn("_rest", F.when(F.col("strand") == "fw", F.col("_rest")).when(F.length("_rest") > end + 5, reverse_complement(F.col("_rest"))))
-    tail_at = F.greatest(F.length("_rest") - end, F.lit(1))
-    tail = first_match(F.substring(F.col("_rest"), tail_at, F.lit(end + 1)), reverse_complement(rv), most, True) + tail_at - 1
-    low = max(start - 5, 1)
-    inner = first_match(F.substring("_rest", low, end + 5 - low + 1), fw, most, True) + low - 1
-    out = out.withColumn("pos3", F.when(F.col("strand") == "fw", tail).when(F.col("strand") == "rv", inner))
-    trimmed = F.when(F.col("strand") == "fw", F.substring(F.col("_rest"), F.lit(1), F.col("pos3") - 1)).otherwise(F.substring(F.col("_rest"), F.col("pos3") + F.length(fw), F.length("_rest")))
-    out = out.withColumn("trimmed", F.when(F.col("pos3").isNotNull() & (F.length(trimmed) > 0), trimmed))
-    return out.select("pool", "patient", "seq", "n", "short", "strand", "pos5", "pos3", "trimmed")
+    fw, rv, seq = F.col("fw_primer"), F.col("rv_primer"), F.col("seq")
+    short = F.length("seq") <= min_len
+
+    def found(at: Column, strand: Column, rest: Column) -> Column:
+        """The read after its 5' primer, in forward orientation, searched for the other primer."""
+        low = max(start - 5, 1)
+        tail_at = F.greatest(F.length(rest) - end, F.lit(1))
+        forward = first_match(F.substring(rest, tail_at, F.lit(end + 1)), reverse_complement(rv), most, True) + tail_at - 1
+        inner = first_match(F.substring(rest, low, end + 5 - low + 1), fw, most, True) + low - 1
+        return let(F.when(strand == "fw", forward).otherwise(inner), lambda pos: F.struct(
+            strand.alias("strand"), (at + start - 1).alias("pos5"), pos.alias("pos3"),
+            F.nullif(F.when(strand == "fw", F.substring(rest, F.lit(1), pos - 1)).otherwise(F.substring(rest, pos + F.length(fw), F.length(rest))), F.lit("")).alias("trimmed")))
+
+    def after(hit: Column, strand: str, primer: Column) -> Column:
+        rest = F.substring(seq, hit + start - 1 + F.length(primer), F.length(seq))
+        if strand == "rv":
+            rest = let(rest, lambda r: F.when(F.length(r) > end + 5, reverse_complement(r)))
+        return let(rest, lambda r: found(hit, F.lit(strand), r))
+
+    reverse = let(first_match(head, rv, most, True), lambda hit: F.when(hit.isNotNull(), after(hit, "rv", rv)))
+    result = let(first_match(head, fw, most, True), lambda hit: F.when(hit.isNotNull(), after(hit, "fw", fw)).otherwise(reverse))
+    #: The explode keeps later filters from computing the search again.
+    out = out.withColumn("short", short).withColumn("m", F.explode(F.array(F.when(~short, result))))
+    return out.select("pool", "patient", "seq", "n", "short", "m.strand", "m.pos5", "m.pos3", "m.trimmed")
 
 
 def primer_counters(matched: DataFrame) -> DataFrame:

@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+from pathlib import Path
 
-RECIPE = open(__file__.replace("derived.py", "derived_reads.sql")).read()  # noqa: SIM115
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+RECIPE = Path(__file__).with_name("derived_reads.sql").read_text()
+_written: dict[tuple[str, str], str] = {}
+
+
+def _shared(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    own = tempfile.mkdtemp(prefix="ampliq-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
 
 
 def derived_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """read_id, pool, patient, true_strand, hap, mid_seq, fw_primer, rv_primer, master_seq, amplicon_aln, seq, qual."""
-    return spark.sql(RECIPE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """read_id, pool, patient, true_strand, hap, mid_seq, fw_primer, rv_primer, master_seq, amplicon_aln, seq, qual.
+
+    Written once per session as Parquet, as a run's reads would lie in files:
+    the queries then scan only the columns they need.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        path = f"{_shared(spark)}/reads-{uuid.uuid4().hex}"
+        spark.sql(RECIPE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
 
 
 def samples(reads: DataFrame) -> DataFrame:
     """One row per pool and patient with its tag, its primers and its place in the pool's order."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     distinct = reads.select("pool", "patient", "mid_seq", "fw_primer", "rv_primer").distinct()
     return distinct.withColumn("mid_order", F.row_number().over(Window.partitionBy("pool").orderBy("patient")))
