@@ -42,7 +42,7 @@ def by_position(reads: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> D
     are taken from a few dozen counts, however many reads there are.
     """
     counts = reads.select("pool", F.posexplode(phred(F.col("qual"))).alias("pos", "q")).groupBy("pool", "pos", "q").agg(F.count("*").alias("n"))
-    agg = counts.groupBy("pool", "pos").agg(F.percentile("q", F.array(*map(F.lit, quantiles)), "n").alias("x"), F.sum("n").alias("reads"))
+    agg = counts.groupBy("pool", "pos").agg(F.percentile("q", F.array(*map(F.lit, quantiles)), F.col("n")).alias("x"), F.sum("n").alias("reads"))
     return agg.select("pool", (F.col("pos") + 1).alias("pos"), "reads", *(F.round(F.col("x")[k], 6).alias(f"q{int(100 * q)}") for k, q in enumerate(quantiles)))
 
 
