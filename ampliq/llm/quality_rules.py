@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.llm.common import SPACES, WORD, text_or_empty, written
+from ampliq.llm.common import SPACES, WORD, let, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
 #: Cells of a rate's grid: rates are clipped to this, so a sketch has at most GRID + 1 counts.
@@ -29,8 +29,8 @@ def _repeat_words(words: str) -> Column:
     w = F.col(words)
 
     def joined(hashes: Column, step: int) -> Column:
-        n = F.greatest(F.size(hashes) - step, F.lit(0))
-        return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, step + 1, n), lambda a, b: F.xxhash64(a, b))
+        n = lambda h: F.greatest(F.size(h) - step, F.lit(0))
+        return let(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), n(h)), F.slice(h, F.lit(step + 1), n(h)), lambda a, b: F.xxhash64(a, b)))
 
     one = F.transform(w, lambda x: F.xxhash64(x))
     return joined(joined(joined(one, 1), 2), 4)
@@ -40,7 +40,7 @@ def _covered(windows: str) -> Column:
     """How many words the repeated windows of the array column of hashes cover."""
     h = F.col(windows)
     placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-    pairs = F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
+    pairs = let(placed, lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"]))))
     starts = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
     return F.aggregate(
         starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-8).cast("int").alias("last")),
