@@ -267,5 +267,5 @@ def _gram_sets(named: DataFrame, members: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ngram_hashes(t.as_py(), cache, n).tobytes() for t in batch.column(1)], pa.binary())], ["node", "set"])
 
-    texts = named.select("node", "text").join(members.select("node"), "node", "left_semi")
+    texts = named.select("node", "text").join(members.select("node").hint("merge"), "node", "left_semi")  # grows with the corpus: never broadcast
     return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(sets, "node string, set binary")

@@ -28,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier rejects go.  A verdict depends on the text alone."""
     keyed = _keyed(docs)
     scored = quality_model.classify(keyed, read_table(spark, sf_dir, "labels"), keep=("_k1", "_k2"))
-    rejected = scored.where("predicted = 0").select("_k1", "_k2").distinct()
+    rejected = scored.where("predicted = 0").select("_k1", "_k2").distinct().hint("merge")  # grows with the corpus: never broadcast
     return keyed.join(rejected, ["_k1", "_k2"], "left_anti").select(*docs.columns)
 
 
