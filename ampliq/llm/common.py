@@ -57,7 +57,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
+    return F.length(F.translate(F.regexp_replace(text, WORD, "x"), SPACES, "")).cast("long")
 
 
 def fold(doc_id: str | Column) -> Column:

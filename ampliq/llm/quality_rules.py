@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.llm.common import SPACES, WORD, let, text_or_empty, written
+from ampliq.llm.common import SPACES, let, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
 #: Cells of a rate's grid: rates are clipped to this, so a sketch has at most GRID + 1 counts.
@@ -60,10 +60,10 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         return (F.length("_t") - F.length(F.translate(F.col("_t"), chars, ""))).cast("long")
 
     def matching(pattern: str) -> Column:
-        return F.regexp_count(F.col("_t"), F.lit(pattern)).cast("long")
+        return (F.length("_t") - F.length(F.regexp_replace("_t", f"{pattern}+", ""))).cast("long")
 
     out = docs.withColumn("_t", text_or_empty(text))
-    out = out.withColumn("_words", F.regexp_extract_all(F.col("_t"), F.lit(f"({WORD})"), F.lit(1))).withColumn("_lines", lines)
+    out = out.withColumn("_words", F.array_remove(F.split(F.translate("_t", SPACES, " " * len(SPACES)), " "), "")).withColumn("_lines", lines)
     out = out.withColumn("_windows", _repeat_words("_words"))
     repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
     return out.withColumns({
