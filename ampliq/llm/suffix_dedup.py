@@ -271,9 +271,10 @@ def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, starts): per text, array<struct<start, n>> of window starts whose window is found elsewhere too."""
     runs = written(_runs(named.select("doc_id", "k1", "k2", "text"), length), "suffix-runs")
     again = runs.groupBy("mh").agg(F.count("*").alias("total")).where("total > 1").select("mh")
-    kept = runs.join(again, "mh").groupBy("mh", "sg", "k1", "k2", "place").agg(F.count("*").alias("n"))
+    #: A text that repeats itself has many runs with one segment: they become one row, bounded by the text.
+    kept = runs.join(again, "mh").groupBy("mh", "sg", "k1", "k2").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
     kept = written(kept, "suffix-kept")
-    kinds = kept.groupBy("mh", "sg").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("rep"))
+    kinds = kept.groupBy("mh", "sg").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", F.array_min("places").alias("place"))).alias("rep"))
     kinds = written(kinds, "suffix-kinds")
     several = kinds.groupBy("mh").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = kinds.where("n > 1").select("mh", "sg", F.lit(0).alias("lo"), F.shiftright("rep.place", 8).bitwiseAND(F.lit(255)).cast("int").alias("n"))
@@ -282,9 +283,10 @@ def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
     #: Copies of a text bring its segments more than once.
     segments = segments.groupBy("gkey", "mh", "sg", "lo", "n").agg(F.min("seg").alias("seg"))
     scanned = _scan(segments.repartition("gkey").sortWithinPartitions("gkey"), length)
-    found = whole.unionByName(scanned)
-    placed = kept.select("mh", "sg", "k1", "k2", "place").join(found, ["mh", "sg"])
-    return placed.groupBy("k1", "k2").agg(F.collect_list(F.struct((F.shiftright("place", 16) + F.col("lo")).alias("start"), F.col("n").cast("long").alias("n"))).alias("starts"))
+    found = whole.unionByName(scanned).groupBy("mh", "sg").agg(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))).alias("parts"))
+    placed = kept.select("mh", "sg", "k1", "k2", "places").join(found, ["mh", "sg"])
+    starts = F.flatten(F.transform("places", lambda p: F.transform("parts", lambda q: F.struct((F.shiftright(p, 16) + q["lo"]).alias("start"), q["n"].alias("n")))))
+    return placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list(starts)).alias("starts"))
 
 
 def cut(body: bytes, starts: list[dict] | None, length: int = LENGTH) -> tuple[list[bytes], int, int]:
