@@ -56,7 +56,9 @@ def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_le
     searched.  ``trimmed`` is null unless both ends were found.
     """
     primers = samples.select("pool", "patient", "fw_primer", "rv_primer")
-    out = assigned.where("patient is not null").join(primers, ["pool", "patient"])
+    #: The search costs far more than its rows weigh, so partitions aren't left to be merged by their bytes.
+    spread = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = assigned.where("patient is not null").join(primers, ["pool", "patient"]).repartition(spread, "seq")
     head = F.substring("seq", start, end - start + 1)
     fw, rv, seq = F.col("fw_primer"), F.col("rv_primer"), F.col("seq")
     short = F.length("seq") <= min_len
