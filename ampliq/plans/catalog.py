@@ -338,11 +338,9 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     return hap.coverage_summary(hap.fasta_summary(hap.name_haplotypes(_aligned(spark, d))))
 
 
-@_query("SELECT pool, substr(seq, 1, 2) AS seq, count(DISTINCT patient) AS patients, string_agg(DISTINCT printf('%03d', patient) || '|' || name, ';' ORDER BY printf('%03d', patient) || '|' || name) AS ids FROM nh GROUP BY pool, substr(seq, 1, 2) HAVING count(DISTINCT patient) > 1")
+@_query("SELECT pool, seq, count(DISTINCT patient) AS patients, string_agg(DISTINCT printf('%03d', patient) || '|' || name, ';' ORDER BY printf('%03d', patient) || '|' || name) AS ids FROM nh GROUP BY pool, seq HAVING count(DISTINCT patient) > 1")
 def hap_equivalencies(spark: SparkSession, d: str) -> DataFrame:
-    """Compared by the first two bases, since the derived patients share no whole haplotype."""
-    named = hap.name_haplotypes(_aligned(spark, d))
-    return hap.equivalencies(named.withColumn("seq", F.substring("seq", 1, 2)))
+    return hap.equivalencies(hap.name_haplotypes(_aligned(spark, d)))
 
 
 _TYPES = ("A", "B", "C", "D")

@@ -4,15 +4,16 @@ WITH k AS (
   CASE WHEN event_id % 4 >= 2 THEN 'rv' ELSE 'fw' END AS true_strand,
   CASE WHEN (event_id * 7919) % 101 < 50 THEN 0 WHEN (event_id * 7919) % 101 < 70 THEN 1
        WHEN (event_id * 7919) % 101 < 80 THEN 2 ELSE 3 + (event_id * 7919) % 101 - 80 END AS hap,
-  concat(CASE WHEN event_id % 2 = 0 THEN 'POOLA' ELSE 'POOLB' END, '.', cast(user_id % 12 AS string)) AS skey
+  concat(CASE WHEN event_id % 2 = 0 THEN 'POOLA' ELSE 'POOLB' END, '.', cast(user_id % 12 AS string)) AS skey,
+  concat(CASE WHEN event_id % 2 = 0 THEN 'POOLA' ELSE 'POOLB' END, '.', cast(user_id % 12 % 9 AS string)) AS mkey
  FROM events),
 d AS (
  SELECT *,
   substring(translate(md5(concat('mid',skey)),'0123456789abcdef','ACGTACGTACGTACGT'),1,10) AS mid_seq,
   substring(translate(md5(concat('fwp',pool)),'0123456789abcdef','ACGTACGTACGTACGT'),1,20) AS fw_primer,
   substring(translate(md5(concat('rvp',pool)),'0123456789abcdef','ACGTACGTACGTACGT'),1,20) AS rv_primer,
-  translate(concat(md5(concat(skey,'#1')),md5(concat(skey,'#2')),md5(concat(skey,'#3')),md5(concat(skey,'#4')),
-   md5(concat(skey,'#5')),md5(concat(skey,'#6')),md5(concat(skey,'#7'))),'0123456789abcdef','ACGTACGTACGTACGT') AS master_seq
+  translate(concat(md5(concat(mkey,'#1')),md5(concat(mkey,'#2')),md5(concat(mkey,'#3')),md5(concat(mkey,'#4')),
+   md5(concat(mkey,'#5')),md5(concat(mkey,'#6')),md5(concat(mkey,'#7'))),'0123456789abcdef','ACGTACGTACGTACGT') AS master_seq
  FROM k),
 a AS (
  SELECT *,
