@@ -7,7 +7,8 @@ cover.  Runs whose anchor is found nowhere else hold no repeat.  Runs with equal
 segments are repeats as they stand.  What is left, different segments around one
 anchor, goes through an enhanced suffix array: suffixes sorted, a stack scan of
 the common prefixes for the interval tree, and a test of the bytes to the left
-that keeps the maximal repeats, each with all its occurrences.
+that keeps the maximal repeats, each with all its occurrences.  An anchor with
+very many segments goes through no array: its windows are compared by 128 bits.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampliq.llm.common import text_or_empty, written
 
 LENGTH, GRAM = 200, 32
-#: Bytes hashed at once; bytes of segments in one suffix array; anchors with more different segments than HOT are filed again, by BLOCK starts.
-REGION, ARRAY, HOT, BLOCK = 1 << 20, 1 << 18, 512, 8
+#: Bytes hashed at once; bytes of segments in one suffix array; anchors with more different segments than HOT are compared by window, in SALTS parts.
+REGION, ARRAY, HOT, SALTS = 1 << 20, 1 << 18, 512, 64
 _POSITION = np.uint64((1 << 22) - 1)
 _DRAW = np.random.Generator(np.random.PCG64(4))
 _TABLE = _DRAW.integers(0, 1 << 63, 256, np.int64).astype(np.uint64)
@@ -125,7 +126,11 @@ def _runs(named: DataFrame, length: int) -> DataFrame:
 
 
 def _segments(joined: DataFrame, length: int) -> DataFrame:
-    """(gkey, mh, sg, lo, n, seg) of the runs in ``reps`` (array of mh, sg, kinds, place); hot anchors' runs in blocks."""
+    """(gkey, w1, w2, mh, sg, lo, n, seg) of the runs in ``reps`` (array of mh, sg, kinds, place).
+
+    w1, w2 and seg: null and the segment, filed under its anchor; of hot
+    anchors 128 bits of each window and null, filed under these and a salt.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = _bytes_of(batch.column("text"))
@@ -133,18 +138,18 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
             for row, reps in enumerate(batch.column("reps")):
                 view = memoryview(data[offsets[row] : offsets[row + 1]])
                 for r in reps.as_py():
-                    start, n, off = r["place"] >> 16, (r["place"] >> 8) & 255, r["place"] & 255
+                    start, n = r["place"] >> 16, (r["place"] >> 8) & 255
                     if r["kinds"] <= HOT:
-                        out.append((r["mh"], r["mh"], r["sg"], 0, n, bytes(view[start : start + n + length - 1])))
+                        out.append((r["mh"], None, None, r["mh"], r["sg"], 0, n, bytes(view[start : start + n + length - 1])))
                         continue
-                    p = 0
-                    while p < n:  # starts whose distance to the anchor is in one block
-                        block = (off - p) // BLOCK
-                        end = min(n, off - block * BLOCK + 1)
-                        core = start + off - block * BLOCK
-                        gkey = xxhash.xxh3_64_intdigest(b"%d:%d:" % (r["mh"], block) + view[core : core + length - BLOCK + 1])
-                        out.append((gkey - (1 << 63), r["mh"], r["sg"], p, end - p, bytes(view[start + p : start + end + length - 1])))
-                        p = end
+                    salt = (r["sg"] % SALTS) * 0x9E3779B97F4A7C15
+                    for p in range(n):
+                        name = xxhash.xxh3_128_intdigest(view[start + p : start + p + length])
+                        w1, w2 = (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63)
+                        out.append((((w1 + salt) & ((1 << 64) - 1)) - (1 << 63), w1, w2, r["mh"], r["sg"], p, 1, None))
+                    if len(out) > 4000:
+                        yield _rows(out)
+                        out = []
                 if len(out) > 4000:
                     yield _rows(out)
                     out = []
@@ -152,10 +157,10 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
                 yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gkey", "mh", "sg", "lo", "n", "seg"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gkey", "w1", "w2", "mh", "sg", "lo", "n", "seg"])
 
-    return joined.mapInArrow(run, "gkey long, mh long, sg long, lo int, n int, seg binary")
+    return joined.mapInArrow(run, "gkey long, w1 long, w2 long, mh long, sg long, lo int, n int, seg binary")
 
 
 def common_prefix_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -219,9 +224,12 @@ def _suffixes(segments: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.
 
 
 def _scan(segments: DataFrame, length: int) -> DataFrame:
-    """(mh, sg, lo, n): stretches of repeated starts, from the maximal repeats of each group of segments.
+    """(w1, w2, mh, sg, lo, n): stretches of repeated starts, from the maximal repeats of each group of segments.
 
-    Rows come sorted by gkey; groups are put together up to ARRAY bytes.
+    Rows come sorted by gkey, w1 and w2; groups are put together up to ARRAY
+    bytes, and none has more than HOT segments.  Windows are compared with the
+    one before, and none is held; the first of equal ones keeps its w1 and w2,
+    since other salts may have its equal.
     """
     def repeated(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -234,16 +242,33 @@ def _scan(segments: DataFrame, length: int) -> DataFrame:
             if mark.any():
                 on = np.concatenate(([0], np.cumsum(mark)[:-1] > 0, [0])).astype(np.int8)
                 step = np.diff(on)
-                out += [(r[1], r[2], r[3] + a, b - a) for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["mh", "sg", "lo", "n"])
+                out += [(None, None, r[1], r[2], r[3] + a, b - a) for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True)]
+        return batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["w1", "w2", "mh", "sg", "lo", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
         group: list[tuple] = []
         size = 0
+        last, held = None, None  # the window before, and the first of its equals while it has none
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gkey", "mh", "sg", "lo", "n", "seg")), strict=True):
+            windows: list[tuple] = []
+            names = zip(batch.column("w1").to_pylist(), batch.column("w2").to_pylist(), strict=True)
+            for name, row in zip(names, zip(*(batch.column(c).to_pylist() for c in ("gkey", "mh", "sg", "lo", "n", "seg")), strict=True), strict=True):
+                if name[0] is not None:
+                    if (row[0], *name) != last:
+                        if held:
+                            windows.append(held)
+                        last, held = (row[0], *name), (*name, *row[1:5])
+                        continue
+                    if held:  # both repeat; the first also tells the other salts
+                        windows += [held, (None, None, *held[2:])]
+                        held = None
+                    windows.append((None, None, *row[1:5]))
+                    continue
                 if group and group[0][0] != row[0]:
                     if len(group) > 1:
                         ready += group
@@ -253,12 +278,16 @@ def _scan(segments: DataFrame, length: int) -> DataFrame:
                             ready, size = [], 0
                     group = []
                 group.append(row)
+            if windows:
+                yield batch_of(windows)
+        if held:
+            yield batch_of([held])
         if len(group) > 1:
             ready += group
         if ready:
             yield repeated(ready)
 
-    return segments.mapInArrow(run, "mh long, sg long, lo int, n int")
+    return segments.mapInArrow(run, "w1 long, w2 long, mh long, sg long, lo int, n int")
 
 
 def named_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -267,6 +296,17 @@ def named_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] =
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("text"), *(docs[c].alias(f"keep_{c}") for c in keep))
 
 
+def _stretches(parts: Column) -> Column:
+    """Stretches (lo, n) that follow on each other become one; ``parts`` is sorted."""
+    def add(acc: Column, p: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        end = F.greatest(last["lo"] + last["n"], p["lo"] + p["n"])
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["lo"].alias("lo"), (end - last["lo"]).alias("n"))))
+        return F.when((F.size(acc) > 0) & (p["lo"] <= last["lo"] + last["n"]), joined).otherwise(F.concat(acc, F.array(p)))
+
+    return F.aggregate(parts, F.array().cast("array<struct<lo:bigint,n:bigint>>"), add)
+
+
 def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, starts): per text, array<struct<start, n>> of window starts whose window is found elsewhere too."""
     runs = written(_runs(named.select("doc_id", "k1", "k2", "text"), length), "suffix-runs")
@@ -281,9 +321,16 @@ def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
     reps = kinds.join(several, "mh").groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct("mh", "sg", "kinds", "rep.place")).alias("reps"))
     segments = _segments(named.join(reps, ["k1", "k2"]), length)
     #: Copies of a text bring its segments more than once.
-    segments = segments.groupBy("gkey", "mh", "sg", "lo", "n").agg(F.min("seg").alias("seg"))
-    scanned = _scan(segments.repartition("gkey").sortWithinPartitions("gkey"), length)
-    found = whole.unionByName(scanned).groupBy("mh", "sg").agg(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))).alias("parts"))
+    segments = segments.groupBy("gkey", "w1", "w2", "mh", "sg", "lo", "n").agg(F.min("seg").alias("seg"))
+    scanned = _scan(segments.repartition("gkey").sortWithinPartitions("gkey", "w1", "w2"), length)
+    #: Of equal windows one row per salt is left; a window's rows never exceed SALTS, so a list of them is bounded.
+    named_window = F.col("w1").isNotNull()
+    where = F.struct("mh", "sg", "lo", "n")
+    group = [F.col("w1"), F.col("w2"), *(F.when(~named_window, F.col(c)).alias(f"_{c}") for c in ("mh", "sg", "lo"))]
+    scanned = scanned.groupBy(*group).agg(F.collect_list(where).alias("at")).where(F.col("w1").isNull() | (F.size("at") > 1)).select(F.explode("at").alias("at")).select("at.*")
+    scanned = scanned.select("mh", "sg", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))
+    whole = whole.select("mh", "sg", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))
+    found = whole.unionByName(scanned).groupBy("mh", "sg").agg(_stretches(F.array_sort(F.collect_list(F.struct("lo", "n")))).alias("parts"))
     placed = kept.select("mh", "sg", "k1", "k2", "places").join(found, ["mh", "sg"])
     starts = F.flatten(F.transform("places", lambda p: F.transform("parts", lambda q: F.struct((F.shiftright(p, 16) + q["lo"]).alias("start"), q["n"].alias("n")))))
     return placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list(starts)).alias("starts"))
@@ -312,9 +359,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     characters of which a part was removed are left out.
 
     Copies of a text are counted where they arise and only their first run is
-    carried on, so a large group of copies adds counts, not rows.  An anchor
-    shared by very many texts is filed again under longer strings.  All
-    per-text lists are bounded by the text.
+    carried on, so a large group of copies adds counts, not rows.  The windows
+    of an anchor shared by very many texts are compared by 128 bits, in parts
+    by salt, so no group of rows is held by one task.  All per-text lists are
+    bounded by the text.
     """
     named = named_texts(docs, doc_id, text, keep)
     joined = named.join(repeated_starts(named, length), ["k1", "k2"], "left")
