@@ -1,10 +1,10 @@
 """Quality rules with adaptive thresholds, on DataFrame functions only.
 
-Every document gets counts of its whole text and, from them, integer rates.
-For each rate, language and source a mergeable quantile sketch is kept: counts
-on a fixed grid of integers, which add up exactly in any order.  From the
-merged sketch come the median and the lower quartile of the group, and from
-those the threshold that a document's own rate must not pass.
+Every document gets counts of its whole text and, from them, integer rates that
+ordinary prose has in a natural spread.  For each rate, language and source a
+mergeable quantile sketch is kept: counts on a fixed grid of integers, which add
+up exactly in any order, also to the sketches of a language and of the corpus.
+Thresholds come from the quantiles of these sketches alone.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from ampliq.llm.common import SPACES, let, text_or_empty, written
 SYMBOLS = "#*$%&|<>"
 #: Cells of a rate's grid: rates are clipped to this, so a sketch has at most GRID + 1 counts.
 GRID = 2000
-#: Rate, least distance of the threshold from the median, and by how many lower half-spreads it lies above it.
-RATES = (("symbol_rate", 60, 8), ("upper_rate", 250, 8), ("shout_rate", 40, 8), ("dup_line_rate", 300, 8), ("repeat_rate", 200, 8))
+#: Rate, and by how many lower half-spreads its threshold lies above the median.
+RATES = (("odd_rate", 24), ("upper_rate", 20), ("word_length", 14), ("sameness", 10))
+#: A group's own threshold weighs as its rows, its language's as this many; so does a language's against the corpus's.
+PRIOR = 100
 
 
 def _repeat_words(words: str) -> Column:
@@ -76,14 +78,57 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_t", "_words", "_lines", "_windows")
 
 
+def _quantile(hundredths: int) -> Column:
+    """The least cell at or below which that share of the rows lies; ``cells`` is sorted."""
+    need = F.expr(f"(total * {hundredths} + 99) div 100")
+    return F.aggregate(
+        "cells", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at")),
+        lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNull() & (acc["seen"] + x["n"] >= need), x["cell"]).otherwise(acc["at"]).alias("at")),
+        lambda acc: acc["at"])
+
+
+def merged_quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rate, total, mid, spread) of the sketches (.., rate, cell, n) merged by ``keys``; a sketch is bounded by its grid."""
+    cells = sketch.groupBy(*keys, "rate", "cell").agg(F.sum("n").alias("n"))
+    merged = cells.groupBy(*keys, "rate").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"), F.sum("n").alias("total"))
+    return merged.select(*keys, "rate", "total", _quantile(50).alias("mid"), _quantile(25).alias("low"), _quantile(5).alias("least")).withColumn(
+        "spread", F.greatest(F.lit(1), F.col("mid") - F.col("low"), F.expr("(mid - least) div 3"))).drop("low", "least")
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, rate, most) from sketches (lang, source, rate, cell, n).
+
+    Each sketch proposes its median plus the rate's multiple of its lower
+    half-spread, which junk above can't widen; a third of the distance to the
+    twentieth quantile counts if it is larger, as where copies make up the
+    middle.  A language's threshold is the mean of its own, weighed by its
+    rows, and the corpus's, weighed PRIOR; a source's is the mean of its own
+    and its language's alike.  A source whose median passes its language's
+    threshold is mostly junk and gets that one.
+    """
+    times = F.create_map(*(x for n, k in RATES for x in (F.lit(n), F.lit(k))))[F.col("rate")]
+
+    def blend(total: str, above: str) -> Column:
+        return F.expr(f"({total} * own + {PRIOR} * {above}) div ({total} + {PRIOR})")
+
+    corpus = merged_quantiles(sketch).select("rate", (F.col("mid") + times * F.col("spread")).alias("above"))
+    by_lang = merged_quantiles(sketch, "lang").withColumn("own", F.col("mid") + times * F.col("spread")).join(F.broadcast(corpus), "rate")  # one row a rate
+    by_lang = by_lang.select(F.col("lang").alias("_lang"), F.col("rate").alias("_rate"), blend("total", "above").alias("above"))
+    groups = merged_quantiles(sketch, "lang", "source").join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rate") == F.col("_rate")))
+    groups = groups.withColumn("own", F.col("mid") + times * F.col("spread"))
+    return groups.select("lang", "source", "rate", F.when(F.col("mid") > F.col("above"), F.col("above")).otherwise(blend("total", "above")).cast("int").alias("most"))
+
+
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Base counts, adaptive thresholds per language and source, and the verdict.
+    """Base counts, rates, adaptive thresholds per language and source, and the verdict.
 
     ``base_failed`` is true under 20 words or if repeated eight-word windows
     cover over 30 % of the words.  Of the rest, a document is kept if none of
-    its rates passes the threshold of its group; a rate's threshold is the
-    median plus the larger of a floor and a multiple of the distance from lower
-    quartile to median, so that a group with much junk can't lift it.
+    its rates passes its group's threshold (see ``thresholds``).  Rates, in
+    integers cut at GRID: odd_rate, characters of words other than letters, in
+    thousandths; upper_rate, capitals of letters, in thousandths; word_length,
+    in hundredths of a character; sameness, the power 3/4 of the words to one
+    distinct word, in thousandths.
 
     Null texts count as empty and fail the base; null languages and sources
     form groups of their own; repeated rows are judged each; other columns are
@@ -92,37 +137,22 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     sketches: at most GRID + 1 counts per group, rate and task.
     """
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[lang].alias("lang"), docs[source].alias("source"), docs[text].alias("text"))
-    counts = text_counts(plain).drop("text")
-    per = lambda part, whole, scale: F.least(F.lit(GRID), F.expr(f"({scale} * {part}) div greatest({whole}, 1)")).cast("int")
+    counts = text_counts(plain)
+    whole = lambda part, of, scale: F.least(F.lit(GRID), F.expr(f"({scale} * ({part})) div greatest({of}, 1)")).cast("int")
+    names = [name for name, _ in RATES]
     counts = counts.withColumns({
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        "symbol_rate": per("n_symbols", "word_chars", 1000), "upper_rate": per("n_upper", "n_letters", 1000), "shout_rate": per("n_bangs", "word_chars", 1000),
-        "dup_line_rate": per("n_dup_lines", "n_lines", 1000), "repeat_rate": per("n_repeat_words", "n_words", 1000),
-    })
+        "odd_rate": whole("word_chars - n_letters", "word_chars", 1000), "upper_rate": whole("n_upper", "n_letters", 1000), "word_length": whole("word_chars", "n_words", 100),
+        "sameness": F.least(F.lit(GRID), F.floor(F.lit(1000.0) * F.sqrt("n_words") * F.sqrt(F.sqrt("n_words")) / F.greatest("n_distinct_words", F.lit(1)))).cast("int"),
+    }).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *names)
     counts = written(counts, "quality-counts")
-    names = [name for name, _, _ in RATES]
     cells = counts.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), F.col(n).alias("cell")) for n in names))).alias("x"))
-    sketch = cells.groupBy("lang", "source", F.col("x.rate").alias("rate"), F.col("x.cell").alias("cell")).agg(F.count("*").alias("n"))
-    #: A sketch is bounded by its grid, so one row can hold it.
-    merged = sketch.groupBy("lang", "source", "rate").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"), F.sum("n").alias("total"))
-
-    def quantile(hundredths: int) -> Column:
-        """The least cell at or below which that share of the rows lies."""
-        need = F.expr(f"(total * {hundredths} + 99) div 100")
-        return F.aggregate(
-            "cells", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at")),
-            lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNull() & (acc["seen"] + x["n"] >= need), x["cell"]).otherwise(acc["at"]).alias("at")),
-            lambda acc: acc["at"])
-
-    floors = F.create_map(*(x for n, floor, _ in RATES for x in (F.lit(n), F.lit(floor))))
-    spreads = F.create_map(*(x for n, _, times in RATES for x in (F.lit(n), F.lit(times))))
-    limits = merged.select("lang", "source", "rate", quantile(50).alias("mid"), quantile(25).alias("low")).select(
-        "lang", "source", "rate", (F.col("mid") + F.greatest(floors[F.col("rate")], spreads[F.col("rate")] * (F.col("mid") - F.col("low")))).cast("int").alias("most"))
-    limits = limits.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*(F.max(F.when(F.col("rate") == n, F.col("most"))).alias(f"{n}_max") for n in names))
+    sketch = written(cells.groupBy("lang", "source", F.col("x.rate").alias("rate"), F.col("x.cell").alias("cell")).agg(F.count("*").alias("n")), "quality-sketch")
+    limits = thresholds(sketch).groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*(F.max(F.when(F.col("rate") == n, F.col("most"))).alias(f"{n}_max") for n in names))
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     passed = F.lit(True)
     for n in names:
-        passed = passed & (F.col(n) <= F.coalesce(F.col(f"{n}_max"), F.lit(GRID)))
+        passed = passed & F.coalesce(F.col(n) <= F.col(f"{n}_max"), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & passed).alias("kept"), *names, *(f"{n}_max" for n in names))
 
 
@@ -134,23 +164,30 @@ w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
 grams AS (SELECT r, unnest(range(1, len(ws) - 6)) AS p, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i+7], ' '))) AS g FROM w WHERE len(ws) >= 8),
 starts AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1),
 cover AS (SELECT r, sum(least(8, coalesce(nxt - p, 8))) AS n FROM (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS nxt FROM starts) GROUP BY r),
-c AS (SELECT r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+c AS (SELECT r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct,
         CAST(length(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ', '')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines,
-        CAST(length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper, CAST(length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')) AS BIGINT) AS n_letters,
-        CAST(length(t) - length(translate(t, '!', '')) AS BIGINT) AS n_bangs FROM w),
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper, CAST(length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')) AS BIGINT) AS n_letters FROM w),
 k AS (SELECT c.*, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words FROM c LEFT JOIN cover USING (r)),
 m AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-        CAST(least(2000, (1000 * n_symbols) // greatest(word_chars, 1)) AS INT) AS symbol_rate, CAST(least(2000, (1000 * n_upper) // greatest(n_letters, 1)) AS INT) AS upper_rate,
-        CAST(least(2000, (1000 * n_bangs) // greatest(word_chars, 1)) AS INT) AS shout_rate, CAST(least(2000, (1000 * n_dup_lines) // greatest(n_lines, 1)) AS INT) AS dup_line_rate,
-        CAST(least(2000, (1000 * n_repeat_words) // greatest(n_words, 1)) AS INT) AS repeat_rate FROM k),
-q AS (SELECT lang, source, {quantiles} FROM m WHERE NOT base_failed GROUP BY lang, source),
-lim AS (SELECT lang, source, {limits} FROM q)
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {passed}) AS kept, {names}, {maxes}
+        CAST(least(2000, (1000 * (word_chars - n_letters)) // greatest(word_chars, 1)) AS INT) AS odd_rate, CAST(least(2000, (1000 * n_upper) // greatest(n_letters, 1)) AS INT) AS upper_rate,
+        CAST(least(2000, (100 * word_chars) // greatest(n_words, 1)) AS INT) AS word_length,
+        CAST(least(2000, floor(1000.0::DOUBLE * sqrt(n_words) * sqrt(sqrt(n_words)) / greatest(n_distinct, 1))) AS INT) AS sameness FROM k),
+x AS (SELECT lang, source, unnest([{quoted}]) AS rate, unnest([{names}]) AS cell FROM m WHERE NOT base_failed),
+tm(rate, times) AS (VALUES {times}),
+qa AS (SELECT rate, quantile_disc(cell, 0.5) AS mid, greatest(1, quantile_disc(cell, 0.5) - quantile_disc(cell, 0.25), (quantile_disc(cell, 0.5) - quantile_disc(cell, 0.05)) // 3) AS spread FROM x GROUP BY rate),
+ql AS (SELECT lang, rate, count(*) AS total, quantile_disc(cell, 0.5) AS mid, greatest(1, quantile_disc(cell, 0.5) - quantile_disc(cell, 0.25), (quantile_disc(cell, 0.5) - quantile_disc(cell, 0.05)) // 3) AS spread FROM x GROUP BY ALL),
+qg AS (SELECT lang, source, rate, count(*) AS total, quantile_disc(cell, 0.5) AS mid, greatest(1, quantile_disc(cell, 0.5) - quantile_disc(cell, 0.25), (quantile_disc(cell, 0.5) - quantile_disc(cell, 0.05)) // 3) AS spread FROM x GROUP BY ALL),
+la AS (SELECT rate, mid + times * spread AS above FROM qa JOIN tm USING (rate)),
+ll AS (SELECT ql.lang, rate, (total * (ql.mid + times * ql.spread) + {prior} * above) // (total + {prior}) AS above FROM ql JOIN la USING (rate) JOIN tm USING (rate)),
+lg AS (SELECT qg.lang, qg.source, qg.rate, CAST(CASE WHEN qg.mid > above THEN above ELSE (total * (qg.mid + times * qg.spread) + {prior} * above) // (total + {prior}) END AS INT) AS most
+       FROM qg JOIN tm ON tm.rate = qg.rate JOIN ll ON ll.rate = qg.rate AND ll.lang IS NOT DISTINCT FROM qg.lang),
+lim AS (SELECT lang, source, {limits} FROM lg GROUP BY lang, source)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {passed}, false) AS kept, {names}, {maxes}
 FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source
 """.format(
-    quantiles=", ".join(f"quantile_disc({n}, 0.5) AS {n}_mid, quantile_disc({n}, 0.25) AS {n}_low" for n, _, _ in RATES),
-    limits=", ".join(f"CAST({n}_mid + greatest({floor}, {times} * ({n}_mid - {n}_low)) AS INT) AS {n}_max" for n, floor, times in RATES),
-    passed=" AND ".join(f"{n} <= coalesce({n}_max, 2000)" for n, _, _ in RATES),
-    names=", ".join(n for n, _, _ in RATES), maxes=", ".join(f"{n}_max" for n, _, _ in RATES))
+    quoted=", ".join(f"'{n}'" for n, _ in RATES), times=", ".join(f"('{n}', {k})" for n, k in RATES), prior=PRIOR,
+    limits=", ".join(f"max(most) FILTER (rate = '{n}') AS {n}_max" for n, _ in RATES),
+    passed=" AND ".join(f"{n} <= {n}_max" for n, _ in RATES),
+    names=", ".join(n for n, _ in RATES), maxes=", ".join(f"{n}_max" for n, _ in RATES))
