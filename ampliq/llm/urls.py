@@ -1,11 +1,13 @@
 """URL filters: host and path rules, then gradient-boosted trees on lexical features.
 
-DataFrame functions and Spark ML only.
+DataFrame functions and Spark ML only.  How often urls of a host suffix are
+blocked is counted out of fold for the urls that train the trees, so that no
+label is part of its own row's features.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,8 +17,8 @@ from ampliq.llm.common import text_or_empty, written
 
 #: (verdict, host suffix, path prefix), as ``host/path``; the longest that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Trees, their depth, and how often a suffix must be seen for a statistic of its own.
-TREES, DEPTH, LEAST_SEEN = 16, 3, 20
+#: Trees, their depth, folds by host, hashed suffix buckets (which bound the table that is broadcast), and rows that the overall share weighs.
+TREES, DEPTH, FOLDS, SUFFIXES, PRIOR = 16, 3, 5, 1 << 14, 20
 FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_suffix")
 
 
@@ -25,7 +27,11 @@ def _lower_ascii(x: Column) -> Column:
 
 
 def split_url(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Append host and path; both are empty for a null url or one without ``://``."""
+    """Append host and path; both are empty for a null url or one without ``://``.
+
+    ``pages`` has a column named as ``url`` says; its other columns stay, but
+    for host, path and _rest, which are overwritten.
+    """
     u = text_or_empty(url)
     at = F.instr(u, "://")
     rest = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise(F.lit(""))
@@ -35,7 +41,7 @@ def split_url(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits; nulls if none does."""
+    """(rule, verdict) of the longest rule that fits; nulls if none does, as for an empty host.  No null ever comes in: hosts and paths may be empty."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for said, text in sorted(rules, key=lambda r: len(r[1])):
         name, slash, start = text.partition("/")
@@ -45,7 +51,7 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """Binned lexical features of ``url``, host, path: small integers, so that few distinct rows remain."""
+    """Binned lexical features of ``url``, host, path: small integers, so that few distinct rows remain; of an empty or null url all are 0 but f_labels, 1."""
     u = text_or_empty("url")
     chars = F.filter(F.split(F.lower(F.concat("host", "path")), ""), lambda c: c != "")
     counts = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + _plogp((F.length(F.concat("host", "path")) - F.length(F.replace(F.lower(F.concat("host", "path")), c))) / F.greatest(F.length(F.concat("host", "path")), F.lit(1))))
@@ -65,6 +71,42 @@ def _plogp(p: Column) -> Column:
     return F.when(p > 0, -p * F.log2(p)).otherwise(0.0)
 
 
+def suffix_shares(seen: DataFrame) -> DataFrame:
+    """(bucket, fold, share) from (bucket, fold, label): tenths blocked of a suffix's urls in the other folds; fold -1: in all.
+
+    Shares are drawn to that of all urls, which weighs PRIOR of them.  A bucket
+    and a fold that hold no label have no row; bucket -1 is for suffixes that
+    no label has.  At most SUFFIXES * (FOLDS + 1) + 1 rows, however many urls
+    and suffixes there are; none without labels.
+    """
+    cells = seen.groupBy("bucket", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    whole = cells.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    every = whole.agg((F.sum("bad") / F.sum("n")).alias("all"))
+    parts = whole.select("bucket", F.lit(-1).alias("fold"), "n", "bad").unionByName(
+        cells.alias("c").join(whole.alias("w"), "bucket").select("bucket", "fold", (F.col("w.n") - F.col("c.n")).alias("n"), (F.col("w.bad") - F.col("c.bad")).alias("bad")))
+    none = every.where("all is not null").select(F.lit(-1).alias("bucket"), F.lit(-1).alias("fold"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("bad"))
+    share = F.floor(10 * (F.col("bad") + PRIOR * F.col("all")) / (F.col("n") + PRIOR) + 0.5).cast("int")
+    return parts.unionByName(none).crossJoin(F.broadcast(every)).select("bucket", "fold", share.alias("share"))  # one row
+
+
+def _vectors() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+
+
+def train(seen: DataFrame, trees: int = TREES, depth: int = DEPTH) -> GBTClassificationModel | float:
+    """The trees, from rows of FEATURES and a label 0 or 1; of one kind of label its value, without any 0.
+
+    Equal rows are counted first, so a hot host becomes one weighted row.  Rows
+    are dealt and sorted by their features, so that reruns sum in one order.
+    """
+    training = written(seen.groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight")), "url-training")
+    kinds = [r["label"] for r in training.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return float(kinds[0]) if kinds else 0.0
+    dealt = training.repartition(*FEATURES, "label").sortWithinPartitions(*FEATURES, "label")
+    return GBTClassifier(maxIter=trees, maxDepth=depth, weightCol="weight", seed=7, maxBins=32, stepSize=0.3).fit(_vectors().transform(dealt))
+
+
 def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, trees: int = TREES, depth: int = DEPTH, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Host, path, rule and verdict of every url, and the trees' score.
 
@@ -74,41 +116,31 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple
     same host suffix are blocked.  ``labelled`` (url, blocked 0 or 1) trains
     them; without it, the urls that a rule fits do, with its verdict as label.
 
-    Features are binned, so training rows are counted by distinct feature
-    vector first: a hot host becomes one weighted row, and what the trees see
-    is bounded by the bins.  Null or malformed urls have an empty host and path
-    and are judged alike; repeated rows stay; other columns are ignored.  With
-    no labels of both kinds the verdict is that of the majority (allow if there
-    are none); an empty table gives an empty result.
+    Null or malformed urls have an empty host and path and are judged alike;
+    repeated rows stay; other columns are ignored.  With no labels of both
+    kinds the verdict is that of the only kind (allow if there are none); an
+    empty table gives an empty result.  Nothing is shuffled but counts: what is
+    broadcast is bounded by SUFFIXES, and scores are taken row by row.
     """
     plain = split_url(pages.select(pages[page_id].alias("page_id"), pages[url].alias("url")))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     plain = lexical(plain).withColumns({"rule": rule, "said": said})
     binned = written(plain.select("page_id", "host", "path", "rule", "said", "suffix", *FEATURES[:-1]), "url-features")
+    bucket = F.pmod(F.xxhash64("suffix"), F.lit(SUFFIXES)).cast("int")
     if labelled is None:
         seen = binned.where(F.col("said").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
     else:
         known = split_url(labelled.select(labelled["url"].alias("url"), labelled["blocked"].alias("label")).where("label is not null"))
         seen = lexical(known).withColumn("label", F.col("label").cast("double"))
-    suffixes = seen.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
-    #: Share blocked in tenths; suffixes seldom seen share one value, between the others.
-    stats = suffixes.where(F.col("n") >= LEAST_SEEN).select("suffix", F.floor(10 * F.col("bad") / F.col("n")).cast("int").alias("f_suffix"))
-    rare = F.coalesce("f_suffix", F.lit(-1)).cast("int")
-    training = seen.join(stats, "suffix", "left").withColumn("f_suffix", rare).groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight"))
-    training = written(training, "url-training").repartition(1).sortWithinPartitions(*FEATURES, "label")  # at most one row per cell of the bins
-    kinds = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
-    rated = binned.join(stats, "suffix", "left").withColumn("f_suffix", rare)
-    if len(kinds) < 2:
-        score = F.lit(float(next(iter(kinds), 0.0)))
-        rated = rated.withColumn("score", score)
+    seen = seen.withColumns({"bucket": bucket, "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")})
+    shares = written(suffix_shares(seen), "url-suffixes")
+    unseen = shares.where("bucket = -1").agg(F.coalesce(F.max("share"), F.lit(0)).alias("_unseen"))
+    model = train(seen.join(F.broadcast(shares), ["bucket", "fold"]).withColumnRenamed("share", "f_suffix"), trees, depth)
+    of_all = shares.where("fold = -1").select("bucket", F.col("share").alias("_share"))
+    rated = binned.withColumn("bucket", bucket).join(F.broadcast(of_all), "bucket", "left").crossJoin(F.broadcast(unseen)).withColumn("f_suffix", F.coalesce("_share", "_unseen"))  # one row
+    if isinstance(model, float):
+        rated = rated.withColumn("score", F.lit(model))
     else:
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, weightCol="weight", seed=7, maxBins=32, stepSize=0.3).fit(vectors.transform(training))
-        #: Equal feature vectors are scored once.
-        cells = model.transform(vectors.transform(rated.select(*FEATURES).distinct())).select(*(F.col(c).alias(f"_{c}") for c in FEATURES), vector_to_array("probability")[1].alias("score"))
-        on = F.lit(True)
-        for c in FEATURES:
-            on = on & (F.col(c) == F.col(f"_{c}"))
-        rated = rated.join(cells, on)
+        rated = model.transform(_vectors().transform(rated)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return rated.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("score", 6).alias("score"))
