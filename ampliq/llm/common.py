@@ -19,12 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a temporary folder is
-    made and set as the session's checkpoint folder; it goes when Python ends.
+    Where a session on one machine names none (tests), a temporary folder is
+    made and set as its checkpoint folder; it goes when Python ends.  A cluster
+    must name one: RuntimeError otherwise.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="ampliq-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -32,15 +35,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; then delete ``consumed``.
 
     Cuts the lineage like ``checkpoint()`` but keeps the columnar, compressed
-    form, so later passes read only the columns they need.
+    form, so later passes read only the columns they need.  ``consumed`` are
+    results of this function that no later step reads.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    discard(*consumed)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*consumed: DataFrame) -> None:
+    """Delete what ``written`` wrote."""
+    for df in consumed:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A filter's bits: at most so many, BITS_A_KEY for each key below that; CHUNK of them are one row.
+MOST_BITS, BITS_A_KEY, CHUNK = 1 << 28, 10, 1 << 15
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, *columns: str, flag: str = "_maybe") -> DataFrame:
+    """``df`` with a boolean: false only for rows whose ``columns`` are no row of ``keys``.
+
+    A filter of one hash per key, built as bitmaps and broadcast: about a tenth
+    of the other rows are true too (more beyond MOST_BITS / BITS_A_KEY keys),
+    so an exact join must follow, which then shuffles few rows.  What is
+    broadcast is at most MOST_BITS / 8 bytes, 32 MB, however many keys there are.
+    """
+    bits = CHUNK
+    while bits < min(MOST_BITS, BITS_A_KEY * keys.count()):
+        bits *= 2
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    maps = keys.select(F.bitmap_bucket_number(at).alias("_chunk"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    spot = F.pmod(F.col("_at") - 1, F.lit(CHUNK)).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, spot % 8).bitwiseAND(F.lit(1)) == 1
+    joined = df.withColumn("_at", at).withColumn("_chunk", F.bitmap_bucket_number("_at")).join(F.broadcast(maps), "_chunk", "left")
+    return joined.withColumn(flag, F.coalesce(found, F.lit(False))).drop("_at", "_chunk", "_map")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 Documents with the same words are one node.  Nodes get MinHash signatures of
 their word n-grams; band and row counts follow from the recall wanted at the
-threshold.  Nodes that share a band form buckets, buckets that share nodes form
-coarse groups, and within a group every pair of nodes is verified on the full
-n-gram sets, in blocks whose size is fixed, so that a large group becomes many
-tasks.  Blocks return link counts and spanning edges, never all pairs.
+threshold.  Nodes that share a band form buckets.  Each node has a home, its
+largest bucket; the nodes of one home and of about one size make up blocks of a
+bounded number of n-grams.  A pair of blocks is a task, to which a node is sent
+only if it shares a bucket with a node of the other block; there the n-gram sets
+are compared in full.  Every pair of nodes has one pair of blocks, so none is
+counted twice.  Tasks return link counts and spanning edges, never all pairs.
 """
 
 from __future__ import annotations
@@ -18,12 +20,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ampliq.llm.common import text_or_empty, written
+from ampliq.llm.common import maybe_in, text_or_empty, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Nodes in a block; a task verifies two blocks.
-BLOCK = 128
+#: Nodes in a block, and n-grams (nodes of more make blocks of their own); a task verifies two blocks.
+BLOCK, BLOCK_GRAMS = 128, 1 << 20
+#: Texts of which more than this share of all rows are copies are joined by broadcast: fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 4096
+#: Names that a task remembers, so as to work out the n-grams of copies once.
+REMEMBERED = 1 << 18
 #: Columns of the incidence matrix multiplied at once.
 COLUMNS = 1 << 14
 
@@ -94,38 +101,42 @@ class MinHash:
         return out
 
 
-def words_of(text: str) -> Column:
+def words_of(text: str | Column) -> Column:
     """The words of a text with single spaces between them."""
     return F.trim(F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", " "))
 
 
-def node_name(text: str) -> Column:
-    """128 bits that name the sequence of words."""
-    words = words_of(text)
+def node_name(words: Column) -> Column:
+    """128 bits that name a sequence of words, as ``words_of`` gives it."""
     return F.concat_ws(":", F.hex(F.xxhash64(words)), F.hex(F.xxhash64(F.lit(1), words)))
 
 
 def _hashed(named: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, node, grams, bands); null bands without a word."""
+    """``named`` with grams and bands in place of the text; null bands without a word."""
+    rest = [c for c in named.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         minhash = MinHash(bands, rows)
         for batch in batches:
             size, sig = [], []
-            for text in batch.column(2):
+            for text in batch.column("text"):
                 grams = ngram_hashes(text.as_py(), cache, n)
                 size.append(len(grams))
                 sig.append(minhash(grams).view(np.int64) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "node", "grams", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int32()), pa.array(sig, pa.list_(pa.int64()))], [*rest, "grams", "bands"])
 
-    return named.mapInArrow(run, "doc_id long, node string, grams int, bands array<long>")
+    schema = T.StructType([*(f for f in named.schema if f.name in rest), T.StructField("grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return named.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) of every node in ``edges`` (a, b), roots being least nodes; edges of nodes are any ordered type.
+    """(node, root) of every node in ``edges`` (a, b), roots being least nodes; nodes are of any ordered type.
 
     Alternating large-star and small-star steps until nothing changes; each
     step joins each node with its least neighbour and keeps one edge per node.
+    Edges with a null end and edges of a node to itself link nothing; repeated
+    edges count once; no edge gives an empty result.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
@@ -133,10 +144,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, name)
+        large = written(large, name, now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        now = written(small, name)
+        now = written(small, name, large)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == before:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
@@ -209,63 +220,109 @@ def verify_blocks(table: pa.Table, threshold: float) -> pa.Table:
         "links": pa.array(count[some].tolist() + [0] * len(edges), pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_ngrams, is_first and node (the name of its words).
+def buckets_of(nodes: DataFrame) -> DataFrame:
+    """(node, bucket, size): the buckets of two nodes and more that each of ``nodes`` (node, bands) is in."""
+    rowed = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
+    sizes = written(rowed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "ngram-buckets")
+    likely = maybe_in(rowed, sizes, "bucket").where("_maybe").drop("_maybe")
+    return written(likely.join(sizes.hint("merge"), "bucket"), "ngram-members", sizes)
+
+
+def blocks_of(members: DataFrame, nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, copies, level, block): the block of every node that is in a bucket.
+
+    ``level`` grows by one where sizes grow by 1 / threshold, so linked nodes
+    are of one level or of two that follow on each other.
+    """
+    homes = members.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("h")).select("node", F.col("h.bucket").alias("home"))
+    step = math.log(1 / threshold)
+    placed = homes.join(nodes.select("node", "copies", "grams").hint("merge"), "node").withColumn("level", F.floor(F.log("grams") / step + 1e-9).cast("int"))
+    placed = written(placed, "ngram-homes")
+    room = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(float(BLOCK_GRAMS)) / F.exp((F.col("level") + 1) * step)).cast("int")))
+    parts = placed.groupBy("home", "level").agg(F.count("*").alias("n")).select("home", "level", F.ceil(F.col("n") / room).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    return written(placed.join(parts.hint("merge"), ["home", "level"]).select("node", "copies", "level", F.xxhash64("home", "level", part).alias("block")), "ngram-blocks", placed)
+
+
+def tasks_of(members: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(node, copies, block, i, j): the pairs of blocks i <= j to which each node goes."""
+    own = written(members.select("node", "bucket").join(blocked.hint("merge"), "node").select("bucket", "node", "copies", "block", "level"), "ngram-own")
+    others = own.groupBy("bucket", F.col("block").alias("other"), F.col("level").alias("_level")).agg(F.count("*").alias("_n"))
+    met = own.join(others.hint("merge"), "bucket").where((F.abs(F.col("level") - F.col("_level")) <= 1) & ((F.col("block") != F.col("other")) | (F.col("_n") > 1)))
+    return written(met.select("node", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct(), "ngram-tasks", own)
+
+
+def links_of(named: DataFrame, nodes: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
+    """(a, b, links): per task and node the copies it is linked to (b null), and edges that span what is linked."""
+    members = buckets_of(nodes)
+    blocked = blocks_of(members, nodes, threshold, block)
+    tasks = tasks_of(members, blocked)
+    sent = _gram_sets(named, blocked, n).join(tasks.hint("merge"), "node").select("i", "j", "block", "node", "copies", "set")
+    found = sent.groupBy("i", "j").applyInArrow(lambda table: verify_blocks(table, threshold), "a string, b string, links long")
+    return written(found, "ngram-found", members, blocked, tasks)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_ngrams, is_first, node (the name of its words) and the columns in ``keep``.
 
     Two documents are linked if the Jaccard similarity of their sets of word
     n-grams is at least ``threshold``; documents with the same words always
     are.  Texts under n words have one n-gram, of all their words; texts
     without a word (null, empty, blank) are linked to nothing.  ``class_id`` is
     the least doc_id among all that links connect, ``n_links`` counts the other
-    documents linked, ``is_first`` is true in one row of each class.  Repeated
-    rows count as copies of each other; a null doc_id is never a class's id
-    unless all its ids are null; an empty table gives an empty result.
+    documents linked, ``is_first`` is true in one row of each class (in all
+    rows of one id and the same words).  Repeated rows count as copies of each
+    other; a null doc_id is never a class's id unless all its ids are null; an
+    empty table gives an empty result.
 
     Candidates share a MinHash band (recall at the threshold as given);
-    verification is exact.  Texts are shuffled only for nodes in a bucket with
-    others.  Copies are merged before anything else, large groups are split
-    into blocks, and tasks return counts and spanning edges.
+    verification is exact.  Copies are merged before anything else.  Texts are
+    read twice; the second time a bounded filter leaves the n-gram sets of
+    nodes in buckets (and a tenth of the others) to be shuffled.
     """
     bands, rows = choose_bands(threshold, recall)
-    named = docs.select(docs[doc_id].cast("long").alias("doc_id"), words_of(text).alias("text"))
-    named = named.select("doc_id", node_name("text").alias("node"), "text")
+    named = docs.select(docs[doc_id].cast("long").alias("doc_id"), words_of(docs[text]).alias("text"), *(docs[c].alias(f"keep_{c}") for c in keep))
+    named = named.withColumn("node", node_name(F.col("text")))
     hashed = written(_hashed(named, bands, rows, n), "ngram-docs")
-    nodes = hashed.where("grams > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("bands").alias("bands"))
+    kept = [c for c in hashed.columns if c.startswith("keep_")]
+    nodes = hashed.where("grams > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("grams").alias("grams"), F.min("bands").alias("bands"))
     nodes = written(nodes, "ngram-nodes")
-    rowed = nodes.select("node", F.posexplode("bands").alias("band", "h")).select("node", F.xxhash64("band", "h").alias("bucket"))
-    buckets = rowed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1").select("bucket", "hub")
-    stars = rowed.join(buckets, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    coarse = written(components(stars, "ngram-coarse"), "ngram-coarse")
-    #: The hub of a group isn't the first of an edge, so it is added.
-    members = coarse.select("node", "root").unionAll(coarse.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(nodes.select("node", "copies"), "node")
-    sizes = members.groupBy("root").agg(F.count("*").alias("size")).select("root", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = written(members, "ngram-members")
-    grams = _gram_sets(named, members, n)
-    spread = members.join(grams, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "set")
-    found = spread.groupBy("root", "i", "j").applyInArrow(lambda table: verify_blocks(table, threshold), "a string, b string, links long")
-    found = written(found, "ngram-found")
+    found = links_of(named.select("node", "text"), nodes, threshold, n, block)
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = components(found.where("b is not null").select("a", "b"), "ngram-groups")
-    described = nodes.select("node", "copies", "least_id").join(links, "node", "left").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    described = written(described, "ngram-described")
+    described = nodes.select("node", "copies", "least_id").join(links.hint("merge"), "node", "left").join(groups.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    described = written(described, "ngram-described", nodes, found)
     #: The first document of a class: of the least id, and among the nodes of that id the least.
     classes = described.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "node")).alias("f")).select("root", F.col("f.least_id").alias("class_id"), F.col("f.node").alias("first_node"))
-    described = described.join(classes, "root").select(F.col("node").alias("_node"), "class_id", "first_node", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    described = described.withColumn("is_first_node", F.col("_node") == F.col("first_node"))
-    out = hashed.select("doc_id", "node", "grams").join(described, (F.col("node") == F.col("_node")) & (F.col("grams") > 0), "left")
-    return out.select("doc_id", F.when(F.col("grams") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("grams").cast("long").alias("n_ngrams"),
-                      ((F.col("grams") == 0) | (F.col("is_first_node") & F.col("doc_id").eqNullSafe(F.col("least_id")))).alias("is_first"), "node")
-
-
-def _gram_sets(named: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(node, set): the n-gram hashes of the nodes in ``members``, computed again from one text of each."""
+    classed = described.join(classes.hint("merge"), "root").select("node", "copies", "class_id", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.col("node") == F.col("first_node")).alias("is_first_node"))
+    classed = written(classed, "ngram-classes", described)
+    most = HOT_SHARE * hashed.count()
+    hot, rest = F.broadcast(classed.where(F.col("copies") > most)), classed.where(F.col("copies") <= most)
+    plain = hashed.select("doc_id", "node", "grams", *kept)
+    worded, blank = plain.where("grams > 0"), plain.where("grams = 0")
+    common = worded.join(hot, "node").unionByName(worded.join(hot.select("node"), "node", "left_anti").join(rest.hint("merge"), "node"))
+    first = F.col("is_first_node") & F.col("doc_id").eqNullSafe(F.col("least_id"))
+    back = [F.col(f"keep_{c}").alias(c) for c in keep]
+    out = common.select("doc_id", "class_id", "n_links", F.col("grams").cast("long").alias("n_ngrams"), first.alias("is_first"), "node", *back)
+    none = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_ngrams"), F.lit(True).alias("is_first"), "node", *back)
+    return out.unionByName(none)
+
+
+def _gram_sets(named: DataFrame, blocked: DataFrame, n: int) -> DataFrame:
+    """(node, set): the n-gram hashes of the nodes in ``blocked``, and of few others, computed again from one text of each."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
+        seen: set[str] = set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ngram_hashes(t.as_py(), cache, n).tobytes() for t in batch.column(1)], pa.binary())], ["node", "set"])
-
-    texts = named.select("node", "text").join(members.select("node").hint("merge"), "node", "left_semi")  # grows with the corpus: never broadcast
-    return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(sets, "node string, set binary")
+            names = batch.column(0).to_pylist()
+            fresh = []
+            for k, name in enumerate(names):
+                if name not in seen:
+                    fresh.append(k)
+                    seen.add(name)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in fresh], pa.string()), pa.array([ngram_hashes(batch.column(1)[k].as_py(), cache, n).tobytes() for k in fresh], pa.binary())], ["node", "set"])
+
+    likely = maybe_in(named, blocked, "node").where("_maybe").select("node", "text")
+    return likely.mapInArrow(sets, "node string, set binary").groupBy("node").agg(F.min("set").alias("set"))
