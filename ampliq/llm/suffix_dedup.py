@@ -3,12 +3,12 @@
 Window starts are grouped so that equal windows always meet: each window is
 filed under the least-hashed GRAM-byte string in it, its anchor.  Consecutive
 starts with one anchor form a run; a run's segment is the text its windows
-cover.  Runs whose anchor is found nowhere else hold no repeat.  Runs with equal
-segments are repeats as they stand.  What is left, different segments around one
-anchor, goes through an enhanced suffix array: suffixes sorted, a stack scan of
-the common prefixes for the interval tree, and a test of the bytes to the left
-that keeps the maximal repeats, each with all its occurrences.  An anchor with
-very many segments goes through no array: its windows are compared by 128 bits.
+cover.  Runs whose anchor is found nowhere else hold no repeat.  The different
+segments around one anchor, with the number of runs that have each, go through
+an enhanced suffix array: suffixes sorted, a stack scan of the common prefixes
+for the interval tree, and a test of the bytes to the left that keeps the maximal
+repeats, each with all its occurrences.  An anchor with very many segments goes
+through no array: its windows are compared by 128 bits.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ampliq.llm.common import text_or_empty, written
+from ampliq.llm.common import maybe_in, text_or_empty, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes hashed at once; bytes of segments in one suffix array; anchors with more different segments than HOT are compared by window, in SALTS parts.
@@ -120,13 +121,13 @@ def _runs(named: DataFrame, length: int) -> DataFrame:
                 row = np.array([r for r, _, _ in rows])[owner]
                 start = first + low - offsets[row]
                 keys = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(sg.view(np.int64)), batch.column(1).take(keys), batch.column(2).take(keys), pa.array((start << 16) | (n << 8) | off)], ["mh", "sg", "k1", "k2", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(sg.view(np.int64)), batch.column(1).take(keys), batch.column(2).take(keys), pa.array((start << 32) | (n << 16) | off)], ["mh", "sg", "k1", "k2", "place"])
 
     return named.mapInArrow(run, "mh long, sg long, k1 long, k2 long, place long")
 
 
 def _segments(joined: DataFrame, length: int) -> DataFrame:
-    """(gkey, w1, w2, mh, sg, lo, n, seg) of the runs in ``reps`` (array of mh, sg, kinds, place).
+    """(gkey, w1, w2, mh, sg, lo, n, runs, seg) of the runs in ``reps`` (array of mh, sg, kinds, runs, place).
 
     w1, w2 and seg: null and the segment, filed under its anchor; of hot
     anchors 128 bits of each window and null, filed under these and a salt.
@@ -138,15 +139,15 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
             for row, reps in enumerate(batch.column("reps")):
                 view = memoryview(data[offsets[row] : offsets[row + 1]])
                 for r in reps.as_py():
-                    start, n = r["place"] >> 16, (r["place"] >> 8) & 255
+                    start, n = r["place"] >> 32, (r["place"] >> 16) & 0xFFFF
                     if r["kinds"] <= HOT:
-                        out.append((r["mh"], None, None, r["mh"], r["sg"], 0, n, bytes(view[start : start + n + length - 1])))
+                        out.append((r["mh"], None, None, r["mh"], r["sg"], 0, n, r["runs"], bytes(view[start : start + n + length - 1])))
                         continue
                     salt = (r["sg"] % SALTS) * 0x9E3779B97F4A7C15
                     for p in range(n):
                         name = xxhash.xxh3_128_intdigest(view[start + p : start + p + length])
                         w1, w2 = (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63)
-                        out.append((((w1 + salt) & ((1 << 64) - 1)) - (1 << 63), w1, w2, r["mh"], r["sg"], p, 1, None))
+                        out.append((((w1 + salt) & ((1 << 64) - 1)) - (1 << 63), w1, w2, r["mh"], r["sg"], p, 1, r["runs"], None))
                     if len(out) > 4000:
                         yield _rows(out)
                         out = []
@@ -157,10 +158,10 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
                 yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gkey", "w1", "w2", "mh", "sg", "lo", "n", "seg"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gkey", "w1", "w2", "mh", "sg", "lo", "n", "runs", "seg"])
 
-    return joined.mapInArrow(run, "gkey long, w1 long, w2 long, mh long, sg long, lo int, n int, seg binary")
+    return joined.mapInArrow(run, "gkey long, w1 long, w2 long, mh long, sg long, lo int, n int, runs long, seg binary")
 
 
 def common_prefix_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -180,15 +181,20 @@ def common_prefix_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int,
     return out
 
 
-def maximal_repeats(segments: list[bytes], starts: list[int], length: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
+def maximal_repeats(segments: list[bytes], starts: list[int], length: int = LENGTH, runs: list[int] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(segment, offset)]) of each maximal repeat of at least ``length`` bytes, with all occurrences.
 
     Suffixes begin at the first ``starts`` positions of each segment and end
     with it.  What is left of a segment is unknown and counts as different.
+    A segment stands for as many ``runs``: one that has several is a leaf of
+    the tree that repeats as a whole, unless an interval has all of it.  No
+    segment, or none long enough, has no repeat.
     """
     positions, rest, owner, offset, joined = _suffixes(segments, starts)
     if not len(positions):
         return []
+    many = np.array(runs if runs is not None else [1] * len(segments)) > 1
+    alone = [(len(segments[k]), [(k, 0)]) for k in np.flatnonzero(many).tolist() if len(segments[k]) >= length and starts[k]]
     padded = np.frombuffer(joined + b"\0" * int(rest.max()), np.uint8)
     windows = np.lib.stride_tricks.sliding_window_view(padded, length)
     heads = np.ascontiguousarray(windows[positions]).view(f"S{length}").ravel()
@@ -199,7 +205,7 @@ def maximal_repeats(segments: list[bytes], starts: list[int], length: int = LENG
     some[:-1] |= equal
     picked = order[some]
     if not len(picked):
-        return []
+        return alone
     #: Only these can be in an interval; they are sorted by their whole suffixes.
     width = int(rest[picked].max())
     whole = np.lib.stride_tricks.sliding_window_view(padded, width)[positions[picked]].copy()
@@ -211,8 +217,10 @@ def maximal_repeats(segments: list[bytes], starts: list[int], length: int = LENG
     lcp = np.minimum(lcp, np.minimum(rest[picked[1:]], rest[picked[:-1]]))
     left = np.where(offset[picked] > 0, padded[positions[picked] - 1].astype(np.int64), -1 - picked)
     diverse = np.concatenate(([0], np.cumsum(left[1:] != left[:-1])))
-    return [(size, list(zip(owner[picked[a : b + 1]].tolist(), offset[picked[a : b + 1]].tolist(), strict=True)))
-            for size, a, b in common_prefix_intervals(lcp, length) if diverse[b] > diverse[a]]
+    found = [(size, list(zip(owner[picked[a : b + 1]].tolist(), offset[picked[a : b + 1]].tolist(), strict=True)))
+             for size, a, b in common_prefix_intervals(lcp, length) if diverse[b] > diverse[a]]
+    covered = {k for size, places in found for k, at in places if at == 0 and size == len(segments[k])}
+    return found + [leaf for leaf in alone if leaf[1][0][0] not in covered]
 
 
 def _suffixes(segments: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -223,31 +231,40 @@ def _suffixes(segments: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.
     return base[owner] + offset, sizes[owner] - offset, owner, offset, b"".join(segments)
 
 
-def _scan(segments: DataFrame, length: int) -> DataFrame:
+def _scan(segments: DataFrame, length: int, groups: bool = False) -> DataFrame:
     """(w1, w2, mh, sg, lo, n): stretches of repeated starts, from the maximal repeats of each group of segments.
 
-    Rows come sorted by gkey, w1 and w2; groups are put together up to ARRAY
-    bytes, and none has more than HOT segments.  Windows are compared with the
-    one before, and none is held; the first of equal ones keeps its w1 and w2,
-    since other salts may have its equal.
+    With ``groups`` one row per repeat and segment instead: (w1, w2, mh, sg, lo,
+    n, id), where n is the repeat's length less ``length`` plus 1 and id 64 bits
+    of its bytes.  Rows come sorted by gkey, w1 and w2; groups are put together
+    up to ARRAY bytes, and none has more than HOT segments.  Windows are
+    compared with the one before, and none is held; the first of equal ones
+    keeps its w1 and w2, since other salts may have its equal, unless several
+    runs have its segment.
     """
+    names = ["w1", "w2", "mh", "sg", "lo", "n", *["id"] * groups]
+
     def repeated(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
         marks = [np.zeros(r[4] + 1, np.int32) for r in rows]
-        for size, places in maximal_repeats([r[5] for r in rows], [r[4] for r in rows], length):
+        for size, places in maximal_repeats([r[6] for r in rows], [r[4] for r in rows], length, [r[5] for r in rows]):
+            k, at = places[0]
+            name = xxhash.xxh3_64_intdigest(rows[k][6][at : at + size]) - (1 << 63) if groups else 0
             for k, at in places:
                 marks[k][at] += 1
                 marks[k][at + size - length + 1] -= 1
+                if groups:
+                    out.append((None, None, rows[k][1], rows[k][2], rows[k][3] + at, size - length + 1, name))
         for r, mark in zip(rows, marks, strict=True):
-            if mark.any():
+            if not groups and mark.any():
                 on = np.concatenate(([0], np.cumsum(mark)[:-1] > 0, [0])).astype(np.int8)
                 step = np.diff(on)
                 out += [(None, None, r[1], r[2], r[3] + a, b - a) for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True)]
         return batch_of(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["w1", "w2", "mh", "sg", "lo", "n"])
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(len(names))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
@@ -256,13 +273,18 @@ def _scan(segments: DataFrame, length: int) -> DataFrame:
         last, held = None, None  # the window before, and the first of its equals while it has none
         for batch in batches:
             windows: list[tuple] = []
-            names = zip(batch.column("w1").to_pylist(), batch.column("w2").to_pylist(), strict=True)
-            for name, row in zip(names, zip(*(batch.column(c).to_pylist() for c in ("gkey", "mh", "sg", "lo", "n", "seg")), strict=True), strict=True):
-                if name[0] is not None:
-                    if (row[0], *name) != last:
+            keys = zip(batch.column("w1").to_pylist(), batch.column("w2").to_pylist(), strict=True)
+            for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("gkey", "mh", "sg", "lo", "n", "runs", "seg")), strict=True), strict=True):
+                if key[0] is not None:
+                    if groups:
+                        windows.append((*key, *row[1:5], key[0]))
+                        continue
+                    if row[5] > 1:
+                        windows.append((None, None, *row[1:5]))
+                    if (row[0], *key) != last:
                         if held:
                             windows.append(held)
-                        last, held = (row[0], *name), (*name, *row[1:5])
+                        last, held = (row[0], *key), (*key, *row[1:5])
                         continue
                     if held:  # both repeat; the first also tells the other salts
                         windows += [held, (None, None, *held[2:])]
@@ -270,9 +292,9 @@ def _scan(segments: DataFrame, length: int) -> DataFrame:
                     windows.append((None, None, *row[1:5]))
                     continue
                 if group and group[0][0] != row[0]:
-                    if len(group) > 1:
+                    if len(group) > 1 or group[0][5] > 1:
                         ready += group
-                        size += sum(len(r[5]) for r in group)
+                        size += sum(len(r[6]) for r in group)
                         if size > ARRAY:
                             yield repeated(ready)
                             ready, size = [], 0
@@ -282,12 +304,12 @@ def _scan(segments: DataFrame, length: int) -> DataFrame:
                 yield batch_of(windows)
         if held:
             yield batch_of([held])
-        if len(group) > 1:
+        if len(group) > 1 or group and group[0][5] > 1:
             ready += group
         if ready:
             yield repeated(ready)
 
-    return segments.mapInArrow(run, "w1 long, w2 long, mh long, sg long, lo int, n int")
+    return segments.mapInArrow(run, "w1 long, w2 long, mh long, sg long, lo int, n int" + ", id long" * groups)
 
 
 def named_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -307,21 +329,33 @@ def _stretches(parts: Column) -> Column:
     return F.aggregate(parts, F.array().cast("array<struct<lo:bigint,n:bigint>>"), add)
 
 
-def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, starts): per text, array<struct<start, n>> of window starts whose window is found elsewhere too."""
+def _filed(named: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, segments): the runs (mh, sg, k1, k2, n, places) of anchors that are found again, and what ``_segments`` makes of one run of each kind."""
     runs = written(_runs(named.select("doc_id", "k1", "k2", "text"), length), "suffix-runs")
-    again = runs.groupBy("mh").agg(F.count("*").alias("total")).where("total > 1").select("mh")
+    again = written(runs.groupBy("mh").agg(F.count("*").alias("total")).where("total > 1").select("mh"), "suffix-again")
+    likely = maybe_in(runs, again, "mh").where("_maybe").drop("_maybe")
     #: A text that repeats itself has many runs with one segment: they become one row, bounded by the text.
-    kept = runs.join(again, "mh").groupBy("mh", "sg", "k1", "k2").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
-    kept = written(kept, "suffix-kept")
-    kinds = kept.groupBy("mh", "sg").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", F.array_min("places").alias("place"))).alias("rep"))
+    kept = likely.join(again.hint("merge"), "mh").groupBy("mh", "sg", "k1", "k2").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
+    kept = written(kept, "suffix-kept", runs, again)
+    kinds = kept.groupBy("mh", "sg").agg(F.sum("n").alias("runs"), F.min(F.struct("k1", "k2", F.array_min("places").alias("place"))).alias("rep"))
     kinds = written(kinds, "suffix-kinds")
-    several = kinds.groupBy("mh").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = kinds.where("n > 1").select("mh", "sg", F.lit(0).alias("lo"), F.shiftright("rep.place", 8).bitwiseAND(F.lit(255)).cast("int").alias("n"))
-    reps = kinds.join(several, "mh").groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct("mh", "sg", "kinds", "rep.place")).alias("reps"))
-    segments = _segments(named.join(reps, ["k1", "k2"]), length)
+    of_anchor = kinds.groupBy("mh").agg(F.count("*").alias("kinds"))
+    reps = kinds.join(of_anchor.hint("merge"), "mh").groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct("mh", "sg", "kinds", "runs", "rep.place")).alias("reps"))
+    reps = written(reps, "suffix-reps", kinds)
+    texts = maybe_in(named.select("k1", "k2", "text"), reps, "k1", "k2").where("_maybe").drop("_maybe")
+    segments = _segments(texts.join(reps.hint("merge"), ["k1", "k2"]), length)
     #: Copies of a text bring its segments more than once.
-    segments = segments.groupBy("gkey", "w1", "w2", "mh", "sg", "lo", "n").agg(F.min("seg").alias("seg"))
+    return kept, segments.groupBy("gkey", "w1", "w2", "mh", "sg", "lo", "n", "runs").agg(F.min("seg").alias("seg"))
+
+
+def _checked(length: int) -> None:
+    if not GRAM <= length < 1 << 15:
+        raise ValueError(f"a length of {GRAM} to {(1 << 15) - 1} bytes, not {length}")
+
+
+def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(k1, k2, starts): per text, array<struct<start, n>> of window starts whose window is found elsewhere too."""
+    kept, segments = _filed(named, length)
     scanned = _scan(segments.repartition("gkey").sortWithinPartitions("gkey", "w1", "w2"), length)
     #: Of equal windows one row per salt is left; a window's rows never exceed SALTS, so a list of them is bounded.
     named_window = F.col("w1").isNotNull()
@@ -329,11 +363,33 @@ def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
     group = [F.col("w1"), F.col("w2"), *(F.when(~named_window, F.col(c)).alias(f"_{c}") for c in ("mh", "sg", "lo"))]
     scanned = scanned.groupBy(*group).agg(F.collect_list(where).alias("at")).where(F.col("w1").isNull() | (F.size("at") > 1)).select(F.explode("at").alias("at")).select("at.*")
     scanned = scanned.select("mh", "sg", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))
-    whole = whole.select("mh", "sg", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))
-    found = whole.unionByName(scanned).groupBy("mh", "sg").agg(_stretches(F.array_sort(F.collect_list(F.struct("lo", "n")))).alias("parts"))
-    placed = kept.select("mh", "sg", "k1", "k2", "places").join(found, ["mh", "sg"])
-    starts = F.flatten(F.transform("places", lambda p: F.transform("parts", lambda q: F.struct((F.shiftright(p, 16) + q["lo"]).alias("start"), q["n"].alias("n")))))
-    return placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list(starts)).alias("starts"))
+    found = scanned.groupBy("mh", "sg").agg(_stretches(F.array_sort(F.collect_list(F.struct("lo", "n")))).alias("parts"))
+    placed = kept.select("mh", "sg", "k1", "k2", "places").join(found.hint("merge"), ["mh", "sg"])
+    starts = F.flatten(F.transform("places", lambda p: F.transform("parts", lambda q: F.struct((F.shiftright(p, 32) + q["lo"]).alias("start"), q["n"].alias("n")))))
+    return written(placed.groupBy("k1", "k2").agg(F.flatten(F.collect_list(starts)).alias("starts")), "suffix-starts", kept)
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The maximal repeats themselves: id, length, doc_id and start (bytes), one row per occurrence.
+
+    A repeat is a string of ``length`` bytes or more that starts at two places
+    or more, in one document or several, and that the bytes left and right of
+    it don't extend at all of them; what lies beyond an anchor's segments isn't
+    seen, so long repeats come as several groups, one per anchor.  Every group
+    has all its occurrences.  Of hot anchors (more than HOT segments) groups
+    are strings of just ``length`` bytes.  ids are 64 bits of the bytes.  Null
+    and short texts have no repeat; repeated rows and rows of one id count each;
+    other columns are ignored; an empty table gives an empty result.
+    """
+    _checked(length)
+    named = named_texts(docs, doc_id, text)
+    kept, segments = _filed(named, length)
+    scanned = _scan(segments.repartition("gkey").sortWithinPartitions("gkey", "w1", "w2"), length, True)
+    placed = kept.select("mh", "sg", "k1", "k2", F.explode("places").alias("place")).join(scanned.hint("merge"), ["mh", "sg"])
+    placed = placed.select("id", (F.col("n") + length - 1).alias("length"), "k1", "k2", (F.shiftright("place", 32) + F.col("lo")).alias("start"))
+    every = placed.distinct().join(named.select("doc_id", "k1", "k2").hint("merge"), ["k1", "k2"])
+    several = every.groupBy("id", "length").agg(F.count("*").alias("times")).where("times > 1").select("id", "length")
+    return every.join(several.hint("merge"), ["id", "length"]).select("id", "length", "doc_id", "start")
 
 
 def cut(body: bytes, starts: list[dict] | None, length: int = LENGTH) -> tuple[list[bytes], int, int]:
@@ -356,7 +412,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     as empty; texts under ``length`` bytes stay whole; a document that is
     repeated whole loses all its bytes but keeps its row; repeated rows and null
     ids stay; an empty table gives an empty result.  In the kept text,
-    characters of which a part was removed are left out.
+    characters of which a part was removed are left out.  ``length`` is from
+    GRAM to 32,767 bytes, else ValueError.
 
     Copies of a text are counted where they arise and only their first run is
     carried on, so a large group of copies adds counts, not rows.  The windows
@@ -364,11 +421,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     by salt, so no group of rows is held by one task.  All per-text lists are
     bounded by the text.
     """
+    _checked(length)
     named = named_texts(docs, doc_id, text, keep)
-    joined = named.join(repeated_starts(named, length), ["k1", "k2"], "left")
+    starts = repeated_starts(named, length)
+    #: Texts without repeats pass by the shuffle.
+    flagged = maybe_in(named, starts, "k1", "k2")
+    joined = flagged.where("_maybe").drop("_maybe").join(starts.hint("merge"), ["k1", "k2"], "left")
+    joined = joined.unionByName(flagged.where("not _maybe").drop("_maybe").withColumn("starts", F.lit(None).cast(starts.schema["starts"].dataType)))
     kept = [c for c in joined.columns if c.startswith("keep_")]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    schema += "".join(f", `{c[5:]}` {joined.schema[c].dataType.simpleString()}" for c in kept)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), *(T.StructField(c, T.StringType()) for c in ["kept_sha256", "text"][: 1 + with_text]),
+                           *(T.StructField(c[5:], joined.schema[c].dataType) for c in kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

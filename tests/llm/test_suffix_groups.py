@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from test_operators import brute_repeats
 
 from ampliq.llm import suffix_dedup
@@ -15,9 +17,9 @@ def test_shared_passage_gives_bounded_groups(spark, monkeypatch):
     texts = [f"{words(30)} {passage} {words(30)}" for _ in range(60)] + [passage + passage, passage, passage, words(60)]
     whole = suffix_dedup.maximal_repeats
 
-    def bounded(segments, starts, length):
+    def bounded(segments, starts, length, runs):
         assert len(segments) <= 8, len(segments)
-        return whole(segments, starts, length)
+        return whole(segments, starts, length, runs)
 
     monkeypatch.setattr(suffix_dedup, "HOT", 8)
     monkeypatch.setattr(suffix_dedup, "ARRAY", 0)  # every group in an array of its own
@@ -25,3 +27,58 @@ def test_shared_passage_gives_bounded_groups(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = Counter((i, *b) for i, b in enumerate(brute_repeats(texts)))
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == want
+
+
+def occurrences(bodies, piece):
+    found = set()
+    for k, body in enumerate(bodies):
+        at = body.find(piece)
+        while at >= 0:
+            found.add((k, at))
+            at = body.find(piece, at + 1)
+    return found
+
+
+@pytest.mark.parametrize("hot", [512, 1])
+def test_repeat_groups_have_all_occurrences(spark, monkeypatch, hot):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    a, b = words(50), words(30)
+    texts = [a, a, f"{words(9)} {a} {words(9)}", f"{b} {words(5)} {b}", f"x{b[:230]}y", "", None, "ab" * 400, words(40)]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, id int")
+    bodies = [(t or "").encode() for t in texts]
+    groups = {}
+    for r in suffix_dedup.repeat_groups(df).collect():
+        groups.setdefault((r["id"], r["length"]), []).append((r["doc_id"], r["start"]))
+    assert groups
+    covered = [np.zeros(len(body) + 1, int) for body in bodies]
+    for (_, size), places in groups.items():
+        k, at = places[0]
+        assert size >= 200 and len(places) == len(set(places)) > 1
+        assert set(places) == occurrences(bodies, bodies[k][at : at + size])
+        for k, at in places:
+            covered[k][at : at + size] = 1
+    assert [int(c.sum()) for c in covered] == [n for _, n, _, _ in brute_repeats(texts)]
+    assert suffix_dedup.repeat_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [32, 60, 300, 1000])
+def test_other_lengths(spark, length):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    a = words(200)
+    texts = [f"{words(3)}{a}{words(4)}", f"{a[:700]}{words(9)}", a[100:], words(100), "z" * 2500, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter((i, *b) for i, b in enumerate(brute_repeats(texts, length)))
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df, length).collect()) == want
+    for bad in (31, 1 << 15):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(df, bad)
+
+
+def test_equal_segments_are_leaves_of_the_tree():
+    seg = b"q" * 100 + b"w" * 100
+    assert suffix_dedup.maximal_repeats([seg], [1], 200, [3]) == [(200, [(0, 0)])]
+    assert suffix_dedup.maximal_repeats([seg], [1], 200, [1]) == []
+    assert suffix_dedup.maximal_repeats([], [], 200) == []
