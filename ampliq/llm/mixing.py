@@ -92,16 +92,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, doc_id: s
     Columns: doc_id, size (words; null text: 0), source_size, target, rate,
     copies (0 to 3), taken (copies * size) and the columns in ``keep``.
     Documents without words get one copy, since they weigh nothing.  Sources may
-    be null (a source of its own).  Repeated rows with one id share a hash and
-    so may be taken together; other columns are ignored; an empty table gives an
-    empty result.  Every source's taken words miss its target by less than one
+    be null (a source of its own).  Repeated rows with one id and size share a
+    hash and come one after the other, in the order of their texts, so that
+    each row has copies of its own and reruns agree; other columns are ignored;
+    an empty table gives an empty result.  Every source's taken words miss its target by less than one
     document (if documents with a fractional rate are left to choose from).
 
     The text is read once and reduced to sizes.  Newton's iterations run on
     counts by source and size, so a hot source is summed before its shuffle.
-    The last copies are settled within one of BINS bins of a source.
+    The last copies are settled within one of BINS bins of a source; only its
+    rows are shuffled.
     """
-    sized = docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), count_words(text_or_empty(docs[text])).alias("size"), *(docs[c].alias(f"keep_{c}") for c in keep if c not in (doc_id, source)))
+    sized = docs.select(docs[doc_id].alias("doc_id"), docs[source].alias("source"), count_words(text_or_empty(docs[text])).alias("size"), F.xxhash64(docs[text]).alias("_tie"), *(docs[c].alias(f"keep_{c}") for c in keep if c not in (doc_id, source)))
     sized = written(sized, "mix-sizes")
     sizes = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     state = multipliers(sizes, source_targets(sizes, weights))
@@ -113,20 +115,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, doc_id: s
     hashed = (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")).bitwiseAND(F.lit((1 << 40) - 1)) + 1) / float(1 << 40)
     rated = rated.withColumns({"_whole": whole, "_at": F.when((part > 0) & (F.col("size") > 0), hashed / part)})
     rated = rated.withColumn("_bin", F.when(F.col("_at").isNotNull(), F.least(F.lit(BINS - 1), F.floor(F.least(F.col("_at"), F.lit(4.0)) * (BINS // 4)).cast("int"))))
-    by_bin = written(rated.groupBy("source", "target", "_bin").agg(F.sum(F.col("_whole") * F.col("size")).alias("_sure"), F.sum(F.when(F.col("_bin").isNotNull(), F.col("size"))).alias("_more")), "mix-bins")
+    by_bin = written(rated.groupBy("source", "_bin").agg(F.sum(F.col("_whole") * F.col("size")).alias("_sure"), F.sum(F.when(F.col("_bin").isNotNull(), F.col("size"))).alias("_more"), F.max("target").alias("target")), "mix-bins")
     of_source = by_bin.groupBy("source").agg((F.max("target") - F.sum("_sure")).alias("_missing"))
     upward = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = by_bin.where(F.col("_bin").isNotNull()).withColumn("_below", F.coalesce(F.sum("_more").over(upward), F.lit(0)))
-    bins = bins.join(of_source.withColumnRenamed("source", "_s"), _same("source", "_s")).select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), "_below", "_more", "_missing")
-    placed = rated.drop("_s").join(bins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")), "left")
-    #: Below the bin that reaches the missing words all get their copy; in it, those first in order.
-    state_of = F.when(F.col("_below") + F.col("_more") <= F.col("_missing"), 1).when(F.col("_below") < F.col("_missing"), 0)
-    placed = placed.withColumn("_state", F.when(F.col("_bin").isNotNull(), state_of))
-    settled = placed.where(~F.coalesce(F.col("_state") == 0, F.lit(False))).withColumn("_extra", F.coalesce(F.col("_state"), F.lit(0)))
-    order = Window.partitionBy("source").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.where(F.col("_state") == 0).withColumn("_sum", F.col("_below") + F.sum("size").over(order))
+    bins = bins.join(of_source.withColumnRenamed("source", "_s"), _same("source", "_s"))
+    #: One row a source: the bin that reaches the missing words; of those below it all get their copy, of those above none.
+    edges = bins.groupBy(F.col("source").alias("_e")).agg(
+        F.max(F.when(F.col("_below") < F.col("_missing"), F.col("_bin"))).alias("_edge"), F.max(F.when(F.col("_below") < F.col("_missing"), F.col("_below"))).alias("_below"), F.max("_missing").alias("_missing"))
+    placed = rated.drop("_s").join(written(edges, "mix-edges"), _same("source", "_e"), "left").drop("_e")
+    in_edge = F.coalesce(F.col("_bin") == F.col("_edge"), F.lit(False))
+    settled = placed.where(~in_edge).withColumn("_extra", F.coalesce((F.col("_bin") < F.col("_edge")).cast("int"), F.lit(0)))
+    order = Window.partitionBy("source").orderBy("_at", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = placed.where(in_edge).withColumn("_sum", F.col("_below") + F.sum("size").over(order))
     #: The document that passes the mark is taken if that comes nearer to it.
     edge = edge.withColumn("_extra", (F.col("_sum") - F.col("size") / 2 <= F.col("_missing")).cast("int")).drop("_sum")
-    copies = F.least(F.lit(MOST), F.col("_whole") + F.col("_extra"))
-    both = settled.unionByName(edge).withColumn("copies", copies)
+    both = settled.unionByName(edge).withColumn("copies", F.least(F.lit(MOST), F.col("_whole") + F.col("_extra")))
     return both.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"keep_{c}").alias(c) for c in keep if c not in (doc_id, source)), *(F.col(c) for c in keep if c == source))

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ampliq.llm.common import fold, written
 from ampliq.llm.quality_rules import text_counts
@@ -22,6 +24,8 @@ from ampliq.llm.quality_rules import text_counts
 #: Fourier features, kernel width over standardised statistics, ridge penalty, bins of scores, fraction bits of a feature.
 N_FEATURES, GAMMA, RIDGE, SCORE_BINS, BITS = 256, 0.05, 1e-3, 512, 10
 THRESHOLD = 0.7
+#: Sums of the normal equations that are added up side by side before the last level.
+PARTS = 256
 STATS = ("s_words", "s_word_length", "s_symbols", "s_upper", "s_digits", "s_bangs", "s_other", "s_lines", "s_dup_lines", "s_distinct", "s_repeat")
 
 
@@ -64,7 +68,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit_ridge(labelled: DataFrame, features: Fourier, ridge: float = RIDGE) -> np.ndarray:
-    """Weights from partition sums of the normal equations; the driver gets their fixed number of rows."""
+    """Weights from partition sums of the normal equations, added up in two levels; the driver gets their fixed number of rows."""
     n = N_FEATURES + 2
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,15 +79,17 @@ def fit_ridge(labelled: DataFrame, features: Fourier, ridge: float = RIDGE) -> n
                 z = np.concatenate((features(_matrix(part)), part.column("label").to_numpy(zero_copy_only=False)[:, None] * (1 << BITS)), 1)
                 total += np.rint(z.T @ z).astype(np.int64)  # whole numbers under 2^53: exact
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total.tolist(), pa.list_(pa.int64()))], ["i", "row"])
+            part = TaskContext.get().partitionId() % PARTS
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array(total.tolist(), pa.list_(pa.int64()))], ["i", "part", "row"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.array(r, np.int64) for r in table["row"].to_pylist()], 0)
-        return pa.table({"i": table["i"][:1], "row": pa.array([total.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"i": table["i"][:1], "part": table["part"][:1], "row": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-    parts = labelled.select(*STATS, "label").mapInArrow(sums, "i int, row array<long>")
+    shape = "i int, part int, row array<long>"
+    parts = labelled.select(*STATS, "label").mapInArrow(sums, shape)
     total = np.zeros((n, n))
-    for r in parts.groupBy("i").applyInArrow(add, "i int, row array<long>").collect():
+    for r in parts.groupBy("i", "part").applyInArrow(add, shape).groupBy("i").applyInArrow(add, shape).collect():
         total[r["i"]] = r["row"]
     total /= float(1 << 2 * BITS)
     rows = total[0, 0]
@@ -114,8 +120,7 @@ def _score(rows: DataFrame, features: Fourier, weights: np.ndarray, knots: tuple
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score, pa.float64())], [*keep, "score"])
 
     picked = rows.select(*keep, *STATS)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name in keep)
-    return picked.mapInArrow(run, f"{schema}, score double" if keep else "score double")
+    return picked.mapInArrow(run, T.StructType([*(f for f in picked.schema if f.name in keep), T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, holdout: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
