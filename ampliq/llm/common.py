@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``written`` writes within goes to a folder of its own, which is deleted in the end."""
+    _scratch.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _scratch.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; then delete ``consumed``.
 
@@ -42,7 +62,7 @@ def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
     form, so later passes read only the columns they need.  ``consumed`` are
     results of this function that no later step reads.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     discard(*consumed)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -53,9 +73,7 @@ def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
 def discard(*consumed: DataFrame) -> None:
     """Delete what ``written`` wrote."""
     for df in consumed:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_to)
 
 
 #: A filter's bits: at most so many, BITS_A_KEY for each key below that; CHUNK of them are one row.
