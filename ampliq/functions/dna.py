@@ -79,3 +79,9 @@ def first_match(window: Column, motif: Column, most: int, ambiguous: bool = Fals
 def hamming(a: Column, b: Column) -> Column:
     """Places at which strings of one width differ; null for different widths."""
     return F.when(F.length(a) == F.length(b), F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d)))
+
+
+def differences(a: Column, b: Column) -> Column:
+    """Columns that differ where both are of one width, else the edit distance of the sequences without gaps."""
+    bare = [F.replace(x, F.lit("-"), F.lit("")) for x in (a, b)]
+    return F.when(F.length(a) == F.length(b), hamming(a, b)).otherwise(F.levenshtein(*bare))

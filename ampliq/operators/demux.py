@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliq.functions.dna import first_match, let, reverse_complement
+from ampliq.sources.shared import small
 
 
 def collapse(reads: DataFrame) -> DataFrame:
@@ -19,11 +20,12 @@ def collapse(reads: DataFrame) -> DataFrame:
 def mid_hits(collapsed: DataFrame, samples: DataFrame, most: int = 1, start: int = 1, end: int = 40, longer_than: int = 150) -> DataFrame:
     """(pool, seq, n, patient, mid_order, pos): every tag of its pool that a read holds in positions start to end.
 
-    ``samples`` is a dimension of a few rows per pool; Spark broadcasts it if it is small.
+    ``samples`` is a dimension of a few rows per pool: it is broadcast after its
+    rows were counted, so that reads aren't shuffled by the few pools.
     """
     window = F.substring("seq", start, end - start + 1)
     tags = samples.select("pool", "patient", "mid_seq", "mid_order")
-    long = collapsed.where(F.length("seq") > longer_than).join(tags, "pool")
+    long = collapsed.where(F.length("seq") > longer_than).join(small(tags), "pool")
     found = long.withColumn("pos", F.explode(F.array(first_match(window, F.col("mid_seq"), most) + start - 1)))  # computed once, before the filter
     return found.where("pos is not null").select("pool", "seq", "n", "patient", "mid_order", "pos")
 
@@ -58,7 +60,7 @@ def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_le
     primers = samples.select("pool", "patient", "fw_primer", "rv_primer")
     #: The search costs far more than its rows weigh, so partitions aren't left to be merged by their bytes.
     spread = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = assigned.where("patient is not null").join(primers, ["pool", "patient"]).repartition(spread, "seq")
+    out = assigned.where("patient is not null").join(small(primers), ["pool", "patient"]).repartition(spread, "seq")
     head = F.substring("seq", start, end - start + 1)
     fw, rv, seq = F.col("fw_primer"), F.col("rv_primer"), F.col("seq")
     short = F.length("seq") <= min_len

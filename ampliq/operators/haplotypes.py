@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliq.functions.dna import hamming
+from ampliq.functions.dna import differences
+from ampliq.sources.shared import small
 
 SAMPLE = ("pool", "patient")
 
@@ -70,10 +71,12 @@ def aligned_haplotypes(reads: DataFrame) -> DataFrame:
 def with_master(aligned: DataFrame) -> DataFrame:
     """Append the master (most reads, then first by sequence) and the differences to it.
 
+    Of rows as wide as the master those are the columns that differ, gaps
+    included; of others the least number of bases changed, put in or left out.
     Masters are found by a plain aggregate, so no sample's haplotypes pass one task.
     """
     masters = aligned.groupBy(*SAMPLE).agg(F.min_by("aln", F.struct(-F.col("nr"), F.col("aln"))).alias("master"))
-    return aligned.join(masters, list(SAMPLE)).withColumn("nm", hamming(F.col("aln"), F.col("master")))
+    return aligned.join(masters, list(SAMPLE)).withColumn("nm", differences(F.col("aln"), F.col("master")))
 
 
 def name_haplotypes(aligned: DataFrame, max_difs: int = 250) -> DataFrame:
@@ -126,10 +129,26 @@ def equivalencies(named: DataFrame) -> DataFrame:
     return named.groupBy("pool", "seq").agg(F.count_distinct("patient").alias("patients"), F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", F.format_string("%03d", F.col("patient").cast("int")), "name"))), ";").alias("ids")).where("patients > 1")
 
 
+def genotype_distances(aligned: DataFrame, references: DataFrame) -> DataFrame:
+    """(key, pool, patient, nr, type, distance) of each haplotype to each reference (pool, type, aln) of its pool; references are few."""
+    every = aligned.join(small(references.select("pool", "type", F.col("aln").alias("ref"))), "pool")
+    return every.select(F.concat_ws(":", "pool", F.col("patient").cast("string"), "aln").alias("key"), "pool", "patient", "nr", "type", differences(F.col("aln"), F.col("ref")).alias("distance"))
+
+
 def genotype_call(distances: DataFrame) -> DataFrame:
-    """(key, type, least, next, ratio) from (key, type, distance): the nearest type and how far the next one is."""
-    ranked = distances.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("distance"), F.col("type")))).alias("d"))
-    return ranked.select("key", F.col("d")[0]["type"].alias("type"), F.col("d")[0]["distance"].alias("least"), F.get("d", F.lit(1))["distance"].alias("next"), F.round(F.get("d", F.lit(1))["distance"] / F.col("d")[0]["distance"], 2).alias("ratio"))
+    """(key, type, least, next, ratio) from (key, type, distance): the nearest type and how far the next one is.
+
+    Of equal distances the first type wins; null distances aren't looked at;
+    next is null where there is one type, ratio where the least is 0.
+    """
+    ranked = distances.where("distance is not null").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("distance"), F.col("type")))).alias("d"))
+    first, other = F.col("d")[0], F.get("d", F.lit(1))
+    return ranked.select("key", first["type"].alias("type"), first["distance"].alias("least"), other["distance"].alias("next"), F.round(F.try_divide(other["distance"], first["distance"]), 6).alias("ratio"))
+
+
+def genotype_means(wide: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """(pool, the percents of the types): means over the patients, each of the same weight however many reads it has."""
+    return wide.groupBy("pool").agg(*(F.round(F.avg(f"{t}_pct"), 2).alias(f"{t}_mean") for t in types))
 
 
 def genotype_pivot(typed: DataFrame, types: tuple[str, ...]) -> DataFrame:

@@ -11,55 +11,93 @@ from pyspark.sql import functions as F
 
 from ampliq.functions.dna import reverse_complement
 
+#: Pairs scored together.
+TOGETHER = 4096
 
-def _merged(a: np.ndarray, qa: np.ndarray, b: np.ndarray, qb: np.ndarray, min_ov: int, max_ov: int, err: float) -> tuple[list[str | None], list[str | None]]:
-    """Pairs of one shape: the overlap of least mismatch density (of equal ones the longest); the better base wins."""
-    n, la, lb = len(a), a.shape[1], b.shape[1]
-    best, size = np.full(n, np.inf), np.zeros(n, np.int64)
-    for o in range(min(max_ov, la, lb), min_ov - 1, -1):
-        density = (a[:, la - o :] != b[:, :o]).sum(1) / o
-        better = density < best
-        best[better], size[better] = density[better], o
-    seqs: list[str | None] = [None] * n
-    quals: list[str | None] = [None] * n
-    for i in np.flatnonzero(best <= err).tolist():
-        o = int(size[i])
-        left, right = qa[i, la - o :], qb[i, :o]
-        same = a[i, la - o :] == b[i, :o]
-        middle = np.where(left >= right, a[i, la - o :], b[i, :o])
-        quality = np.where(same, np.maximum(left, right), np.maximum(np.abs(left.astype(int) - right) + 33, 35)).astype(np.uint8)
-        seqs[i] = (a[i, : la - o].tobytes() + middle.astype(np.uint8).tobytes() + b[i, o:].tobytes()).decode()
-        quals[i] = (qa[i, : la - o].tobytes() + quality.tobytes() + qb[i, o:].tobytes()).decode()
-    return seqs, quals
+
+def _matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes): one row for each value, zeros after its end."""
+    sizes = np.array([len(v) for v in values])
+    out = np.zeros((len(values), int(sizes.max())), np.uint8)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(values), np.uint8)
+    return out, sizes
+
+
+def merge_batch(a: list[bytes], qa: list[bytes], b: list[bytes], qb: list[bytes], min_ov: int, max_ov: int, err: float) -> tuple[list[bytes | None], list[bytes | None], list[int | None]]:
+    """(merged, qualities, overlap) of each pair, nulls where none is good enough; ``b`` is in the orientation of ``a``.
+
+    All pairs are scored together, one overlap at a time, whatever their sizes:
+    ``a`` is moved to the right so that all its reads end in one column.
+    """
+    (right, la), (left, lb) = _matrix([x[::-1] for x in a]), _matrix(b)
+    right = right[:, ::-1]
+    (quality_a, _), (quality_b, _) = _matrix([x[::-1] for x in qa]), _matrix(qb)
+    quality_a, wa = quality_a[:, ::-1], right.shape[1]
+    best, size = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+    most = np.minimum(la, lb)
+    for o in range(int(most.max()), min_ov - 1, -1):
+        seen = min(o, max_ov)
+        fits = np.flatnonzero(most >= o)
+        density = (right[fits, wa - o : wa - o + seen] != left[fits, :seen]).sum(1) / seen
+        better = density < best[fits]
+        best[fits[better]], size[fits[better]] = density[better], o
+    good = best <= err
+    whole = int((la + lb - size).max())
+    at = np.arange(whole)
+    merged, quality = np.zeros((len(a), whole), np.uint8), np.zeros((len(a), whole), np.uint8)
+    of_a, of_b = at < la[:, None], (at >= (la - size)[:, None]) & (at < (la + lb - size)[:, None])
+    spot_a, spot_b = np.clip(at + (wa - la)[:, None], 0, wa - 1), np.clip(at - (la - size)[:, None], 0, left.shape[1] - 1)
+    x, y = np.take_along_axis(right, spot_a, 1), np.take_along_axis(left, spot_b, 1)
+    p, q = np.take_along_axis(quality_a, spot_a, 1), np.take_along_axis(quality_b, spot_b, 1)
+    both = of_a & of_b
+    first = np.where(both, p >= q, of_a)
+    merged[:] = np.where(first, x, y)
+    apart = np.maximum(np.abs(p.astype(np.int16) - q) + 33, 35)
+    quality[:] = np.where(both, np.where(x == y, np.maximum(p, q), apart), np.where(of_a, p, q))
+    ends = (la + lb - size).tolist()
+    return ([merged[i, :n].tobytes() if ok else None for i, (n, ok) in enumerate(zip(ends, good, strict=True))],
+            [quality[i, :n].tobytes() if ok else None for i, (n, ok) in enumerate(zip(ends, good, strict=True))], [int(o) if ok else None for o, ok in zip(size, good, strict=True)])
 
 
 def merge_pairs(r1: DataFrame, r2: DataFrame, min_ov: int = 20, max_ov: int = 300, err: float = 0.10) -> DataFrame:
-    """(pool, read_id, seq, qual) of every pair with one id; seq and qual are null where no overlap is good enough.
+    """(pool, read_id, seq, qual, overlap) of every pair with one id; nulls where no overlap is good enough.
 
-    Pairs meet by an equi-join on pool and id; within a batch all pairs of one
-    shape are scored together.
+    The overlap of the least mismatch density wins, of equal ones the longest;
+    densities of overlaps over ``max_ov`` are taken from their first ``max_ov``
+    bases.  Where bases differ the one of the higher quality stays (of equal
+    ones that of R1), with the difference as its quality, 2 at least; where they
+    agree the higher quality stays.  Pairs with a null, an empty read or
+    qualities of another length have no overlap.
+
+    Pairs meet by an equi-join on pool and id and are scored in matrices of
+    TOGETHER pairs.
     """
     other = r2.select("pool", "read_id", reverse_complement(F.col("seq")).alias("seq2"), F.reverse("qual").alias("qual2"))
     pairs = r1.select("pool", "read_id", "seq", "qual").join(other, ["pool", "read_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shapes: dict[tuple[int, int], list[int]] = {}
-            columns = [batch.column(c).to_pylist() for c in ("seq", "qual", "seq2", "qual2")]
-            for i, (s, q, t, u) in enumerate(zip(*columns, strict=True)):
-                if s and t and q and u and len(s) == len(q) and len(t) == len(u):
-                    shapes.setdefault((len(s), len(t)), []).append(i)
-            seqs: list[str | None] = [None] * batch.num_rows
-            quals: list[str | None] = [None] * batch.num_rows
-            for rows in shapes.values():
-                arrays = [np.stack([np.frombuffer(c[i].encode("ascii"), np.uint8) for i in rows]) for c in columns]
-                for i, s, q in zip(rows, *_merged(*arrays, min_ov, max_ov, err), strict=True):
-                    seqs[i], quals[i] = s, q
-            yield pa.RecordBatch.from_arrays([batch.column("pool"), batch.column("read_id"), pa.array(seqs, pa.string()), pa.array(quals, pa.string())], ["pool", "read_id", "seq", "qual"])
-
-    return pairs.mapInArrow(run, f"pool string, read_id {pairs.schema['read_id'].dataType.simpleString()}, seq string, qual string")
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(start, TOGETHER)
+                columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("seq", "qual", "seq2", "qual2")]
+                rows = [i for i, (s, q, t, u) in enumerate(zip(*columns, strict=True)) if s and t and q and u and len(s) == len(q) and len(t) == len(u)]
+                seqs: list = [None] * batch.num_rows
+                quals: list = [None] * batch.num_rows
+                sizes: list = [None] * batch.num_rows
+                if rows:
+                    for i, s, q, o in zip(rows, *merge_batch(*([c[i] for i in rows] for c in columns), min_ov, max_ov, err), strict=True):
+                        seqs[i], quals[i], sizes[i] = s, q, o
+                yield pa.RecordBatch.from_arrays([batch.column("pool"), batch.column("read_id"), pa.array(seqs, pa.binary()).cast(pa.string()), pa.array(quals, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32())], ["pool", "read_id", "seq", "qual", "overlap"])
+
+    return pairs.mapInArrow(run, f"pool string, read_id {pairs.schema['read_id'].dataType.simpleString()}, seq string, qual string, overlap int")
 
 
 def merge_report(merged: DataFrame) -> DataFrame:
-    out = merged.groupBy("pool").agg(F.count("seq").alias("extended"), F.count_if(F.col("seq").isNull()).alias("no_ext"))
-    return out.withColumn("yield_pct", F.round(F.col("extended") * 100 / (F.col("extended") + F.col("no_ext")), 1))
+    """pool, extended, no_ext, raw (both) and yield_pct."""
+    out = merged.groupBy("pool").agg(F.count("seq").alias("extended"), F.count_if(F.col("seq").isNull()).alias("no_ext"), F.count("*").alias("raw"))
+    return out.withColumn("yield_pct", F.round(F.col("extended") * 100 / F.col("raw"), 1))
+
+
+def overlap_histogram(merged: DataFrame) -> DataFrame:
+    """(pool, overlap, n) of the pairs that were merged."""
+    return merged.where("overlap is not null").groupBy("pool", "overlap").agg(F.count("*").alias("n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliq.functions.dna import bases_below, phred
+from ampliq.functions.dna import PHRED_OFFSET, bases_below
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -35,15 +37,26 @@ def read_quantiles(reads: DataFrame) -> DataFrame:
     return agg.select("pool", *(F.round(F.col(c)[k], 6).alias(f"{n}_{int(100 * q)}") for c, n in (("a", "count"), ("b", "share")) for k, q in enumerate(shares)))
 
 
+def position_counts(reads: DataFrame) -> DataFrame:
+    """(pool, pos, q, n): bases by position and quality.  Characters are counted; only the counts are decoded."""
+    bases = reads.select("pool", F.posexplode(F.split("qual", "")).alias("pos", "c")).groupBy("pool", "pos", "c").agg(F.count("*").alias("n"))
+    return bases.where("c <> ''").select("pool", (F.col("pos") + 1).alias("pos"), (F.ascii("c") - PHRED_OFFSET).alias("q"), "n")
+
+
 def by_position(reads: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """Exact quantiles of quality by pool and position.
 
     Bases are counted by (pool, position, quality) first, so that the quantiles
     are taken from a few dozen counts, however many reads there are.
     """
-    counts = reads.select("pool", F.posexplode(phred(F.col("qual"))).alias("pos", "q")).groupBy("pool", "pos", "q").agg(F.count("*").alias("n"))
-    agg = counts.groupBy("pool", "pos").agg(F.percentile("q", F.array(*map(F.lit, quantiles)), F.col("n")).alias("x"), F.sum("n").alias("reads"))
-    return agg.select("pool", (F.col("pos") + 1).alias("pos"), "reads", *(F.round(F.col("x")[k], 6).alias(f"q{int(100 * q)}") for k, q in enumerate(quantiles)))
+    agg = position_counts(reads).groupBy("pool", "pos").agg(F.percentile("q", F.array(*map(F.lit, quantiles)), F.col("n")).alias("x"), F.sum("n").alias("reads"))
+    return agg.select("pool", "pos", "reads", *(F.round(F.col("x")[k], 6).alias(f"q{int(100 * q)}") for k, q in enumerate(quantiles)))
+
+
+def side_by_side(profiles: dict[str, DataFrame], expected: DataFrame, slack: int = 0) -> DataFrame:
+    """Profiles by position of several kinds of reads (R1, R2, merged), one below the other, up to each pool's expected length plus ``slack``."""
+    every = reduce(lambda a, b: a.unionByName(b), (df.withColumn("kind", F.lit(name)) for name, df in profiles.items()))
+    return every.join(F.broadcast(expected), "pool").where(F.col("pos") <= F.col("expected") + slack)  # one row a pool
 
 
 def sliding_quality(profile: DataFrame, width: int = 10, whole: bool = False) -> DataFrame:
@@ -81,3 +94,10 @@ def below_own_q99(reads: DataFrame) -> DataFrame:
     scored = by_read(reads)
     cut = scored.groupBy("pool").agg(F.percentile("below_q30", 0.99).alias("q99"))
     return scored.join(cut, "pool").where("below_q30 < q99").groupBy("pool", "below_q30").agg(F.count("*").alias("n"))
+
+
+def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int = 30) -> DataFrame:
+    """(pool, bin, starts_at, n) of ``value`` in ``bins`` equal bins from ``low`` to ``high``; bin 0 lies below, bins + 1 from ``high`` on."""
+    cell = F.when(F.col(value) < low, 0).when(F.col(value) >= high, bins + 1).otherwise(F.floor((F.col(value) - low) * bins / (high - low)) + 1)
+    counts = rows.where(F.col(value).isNotNull()).groupBy("pool", cell.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return counts.select("pool", "bin", F.round(low + (F.col("bin") - 1) * (high - low) / bins, 6).alias("starts_at"), "n")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampliq.functions.dna import reverse_complement
-from ampliq.operators import demux, haplotypes as hap, merge, quality, yields
-from ampliq.sources.derived import RECIPE, derived_reads, samples
+from ampliq.operators import alignment, demux, dimensions, haplotypes as hap, merge, quality, yields
+from ampliq.sources import sequences
+from ampliq.sources.derived import RECIPE, derived_reads, primer_sheet, sample_sheet, samples, tag_sheet
+from ampliq.sources.shared import once, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,7 +51,16 @@ _STEPS: dict[str, str] = {
     "nh": "SELECT pool, patient, printf('Hpl.%d.%04d', nm, row_number() OVER (PARTITION BY pool, patient, nm ORDER BY nr DESC, aln)) AS name, nr AS reads, round(nr * 100 / sum(nr) OVER (PARTITION BY pool, patient), 2) AS freq, nm, replace(aln, '-', '') AS seq FROM nm WHERE nm <= 250",
     "cl": "SELECT pool, patient, unnest(range(1, length(aln) + 1)) AS pos, unnest(string_split(aln, '')) AS base, nr FROM al",
     "fs": "SELECT pool, patient, count(*) AS hpl, max(nm) AS max_mut, max(freq) AS master_pct, sum(reads) AS reads FROM nh GROUP BY ALL",
-    "ty": "SELECT pool, patient, chr(CAST(65 + hap % 4 AS INT)) AS type, count(*) AS nr FROM reads GROUP BY ALL",
+    "rf": "SELECT pool, chr(CAST(65 + patient AS INT)) AS type, master AS aln FROM ms WHERE patient < 4",
+    "gd": "SELECT al.pool, al.patient, al.aln, al.nr, rf.type, hamming(al.aln, rf.aln) AS distance FROM al JOIN rf USING (pool)",
+    "gr": "SELECT pool, patient, aln, nr, type, distance, row_number() OVER w AS k, lead(distance) OVER w AS nxt FROM gd WINDOW w AS (PARTITION BY pool, patient, aln ORDER BY distance, type)",
+    "ty": "SELECT pool, patient, type, sum(nr) AS nr FROM gr WHERE k = 1 GROUP BY ALL",
+    "gp": "SELECT pool, patient, A, B, C, D, {pct} FROM (SELECT pool, patient, {sums} FROM ty GROUP BY ALL)",
+    "mg": """SELECT pool, read_id, CASE WHEN read_id % 7 = 0 THEN NULL ELSE seq END AS seq, CASE WHEN read_id % 7 = 0 THEN NULL WHEN length(seq) > 180
+              THEN concat(substr(qual, 1, length(seq) - 180), array_to_string(list_transform(range(length(seq) - 179, 181), lambda p: CASE WHEN p = 150 AND read_id % 5 = 1 THEN chr(greatest(ascii(substr(qual, p, 1)) - 2, 35)) ELSE greatest(substr(qual, p, 1), 'I') END), ''), repeat('I', length(seq) - 180))
+              ELSE array_to_string(list_transform(string_split(qual, ''), lambda q: greatest(q, 'I')), '') END AS qual, CASE WHEN read_id % 7 = 0 THEN NULL WHEN length(seq) > 180 THEN 360 - length(seq) ELSE length(seq) END AS overlap FROM reads""",
+    "sh": "SELECT *, 'AMP.' || pool AS amplicon, CASE WHEN pool = 'POOLA' THEN 'S' ELSE 'X' END AS region, CASE WHEN pool = 'POOLA' THEN 1255 ELSE 2844 END AS fw_pos FROM sm",
+    "eh": "SELECT pool, patient, seq, nr, first_value(seq) OVER (PARTITION BY pool, patient ORDER BY nr DESC, seq) AS master FROM (SELECT pool, patient, seq, reads AS nr FROM cs)",
     "qp": "SELECT pool, pos, count(*) AS reads, round(quantile_cont(q, 0.05), 6) AS q5, round(quantile_cont(q, 0.25), 6) AS q25, round(quantile_cont(q, 0.5), 6) AS q50, round(quantile_cont(q, 0.75), 6) AS q75, round(quantile_cont(q, 0.95), 6) AS q95 FROM (SELECT pool, unnest(range(1, length(qual) + 1)) AS pos, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM reads) GROUP BY pool, pos",
     "lh": "SELECT pool, len, n, round(100 * n / sum(n) OVER (PARTITION BY pool), 4) AS share_pct, sum(n) OVER (PARTITION BY pool ORDER BY len) AS cum_n FROM (SELECT pool, length(seq) AS len, count(*) AS n FROM reads GROUP BY ALL)",
     "fu": """SELECT coalesce(pool, 'TOTAL') AS pool, sum(raw) AS raw, sum(flash) AS flash, sum(fq30) AS fq30, sum(mid) AS mid, sum(primer) AS primer, sum(filt) AS filt, sum(ints) AS ints FROM
@@ -58,6 +70,10 @@ _STEPS: dict[str, str] = {
 }
 
 
+_TYPES = ("A", "B", "C", "D")
+_STEPS["gp"] = _STEPS["gp"].format(pct=", ".join(f"round({t} * 100 / (A + B + C + D), 2) AS {t}_pct" for t in _TYPES), sums=", ".join(f"sum(CASE WHEN type = '{t}' THEN nr ELSE 0 END) AS {t}" for t in _TYPES))
+
+
 def _sql(body: str) -> str:
     """``body`` after the steps that it uses, itself or through other steps."""
     import re
@@ -72,40 +88,47 @@ def _sql(body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s.strip()})" for n, s in _STEPS.items() if n in names) + "\n" + body
 
 
-def _query(oracle: str | None, name: str | None = None) -> Callable:
+def _query(oracle: str) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if oracle:
-            ORACLE_SQL[key] = _sql(oracle)
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = _sql(oracle)
         return f
     return add
 
 
-def _big(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})
-
-
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
     return quality.filter_q30(derived_reads(spark, d))
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    return demux.assign_mid(demux.collapse(_filtered(spark, d)), samples(derived_reads(spark, d)))
+    return demux.assign_mid(demux.collapse(_filtered(spark, d)), samples(spark, d))
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
-    return demux.match_primers(_assigned(spark, d), samples(derived_reads(spark, d)))
+    """Written once per session: the searches are what costs, and a dozen reports read their result."""
+    return once(spark, d, "matched", lambda: demux.match_primers(_assigned(spark, d), samples(spark, d)))
+
+
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "profile", lambda: quality.by_position(derived_reads(spark, d)))
 
 
 def _haplotypes(spark: SparkSession, d: str) -> DataFrame:
     return demux.collapse_haplotypes(_matched(spark, d))
 
 
+def _consensus(spark: SparkSession, d: str) -> DataFrame:
+    return hap.consensus(hap.strand_join(hap.abundant(_haplotypes(spark, d))))
+
+
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
     return hap.aligned_haplotypes(derived_reads(spark, d))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @_query("SELECT read_id, pool, width, below AS below_q30 FROM ok")
 def q30_filter(spark: SparkSession, d: str) -> DataFrame:
     return _filtered(spark, d).select("read_id", "pool", "width", "below_q30")
@@ -128,12 +151,12 @@ def qc_read_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT * FROM qp")
 def qc_pos_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return quality.by_position(derived_reads(spark, d))
+    return _profile(spark, d)
 
 
 @_query("SELECT pool, pos, " + ", ".join(f"round(q{q}, 6) AS q{q}" for q in (5, 25, 50, 75, 95)) + " FROM (SELECT pool, pos, max(pos) OVER (PARTITION BY pool) AS last, " + ", ".join(f"avg(q{q}) OVER (PARTITION BY pool ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS q{q}" for q in (5, 25, 50, 75, 95)) + " FROM qp) WHERE pos <= last - 10")
 def qc_pos_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return quality.sliding_quality(quality.by_position(derived_reads(spark, d)))
+    return quality.sliding_quality(_profile(spark, d))
 
 
 @_query("SELECT pool, " + ", ".join(f"round(quantile_cont(length(seq), {q}), 6) AS len{int(100 * q)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM reads GROUP BY pool")
@@ -161,21 +184,60 @@ def qc_below_q99(spark: SparkSession, d: str) -> DataFrame:
     return quality.below_own_q99(derived_reads(spark, d))
 
 
-@_query("SELECT pool, count(*) FILTER (read_id % 7 <> 0) AS extended, count(*) FILTER (read_id % 7 = 0) AS no_ext, round(count(*) FILTER (read_id % 7 <> 0) * 100 / count(*), 1) AS yield_pct FROM reads GROUP BY pool")
-def merge_yield(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs cut from both ends of each read; every seventh second mate is another sequence."""
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs cut from both ends of each read; every seventh second mate is another sequence, some have one wrong base of low quality in the overlap."""
     reads = derived_reads(spark, d)
+    c, size = F.col, F.length("seq")
     r1 = reads.select("pool", "read_id", F.substring("seq", 1, 180).alias("seq"), F.substring("qual", 1, 180).alias("qual"))
-    tail = F.substring(F.col("seq"), F.greatest(F.length("seq") - 179, F.lit(1)), F.lit(180))
-    foreign = F.translate(F.repeat(F.md5(F.concat(F.lit("x"), F.col("read_id").cast("string"))), 5), "0123456789abcdef", "ACGTACGTACGTACGT")
-    mate = F.when(F.col("read_id") % 7 == 0, foreign).otherwise(reverse_complement(tail))
-    r2 = reads.select("pool", "read_id", mate.alias("seq"), F.repeat(F.lit("I"), F.length(mate)).alias("qual"))
-    return merge.merge_report(merge.merge_pairs(r1, r2))
+    start = F.greatest(size - 179, F.lit(1))
+    wrong = (c("read_id") % 5 == 1) & (size > 180)
+    whole = F.when(wrong, F.concat(F.substring("seq", 1, 149), F.translate(F.substring("seq", 150, 1), "ACGTN", "CATGA"), F.substring(c("seq"), F.lit(151), size))).otherwise(c("seq"))
+    high = F.when(wrong, F.concat(F.repeat(F.lit("I"), F.lit(149)), F.lit("#"), F.repeat(F.lit("I"), size - 150))).otherwise(F.repeat(F.lit("I"), size))
+    foreign = F.translate(F.repeat(F.md5(F.concat(F.lit("x"), c("read_id").cast("string"))), 5), "0123456789abcdef", "ACGTACGTACGTACGT")
+    mate = F.when(c("read_id") % 7 == 0, foreign).otherwise(reverse_complement(F.substring(whole, start, F.lit(180))))
+    qual = F.when(c("read_id") % 7 == 0, F.repeat(F.lit("I"), F.length(foreign))).otherwise(F.reverse(F.substring(high, start, F.lit(180))))
+    return r1, reads.select("pool", "read_id", mate.alias("seq"), qual.alias("qual"))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_pairs(*_pairs(spark, d))
+
+
+@_query("SELECT * FROM mg")
+def merge_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The merged pairs, against the reads from which they were cut."""
+    return _merged(spark, d)
+
+
+@_query("SELECT pool, count(seq) AS extended, count(*) - count(seq) AS no_ext, count(*) AS raw, round(count(seq) * 100 / count(*), 1) AS yield_pct FROM mg GROUP BY pool")
+def merge_yield(spark: SparkSession, d: str) -> DataFrame:
+    return merge.merge_report(_merged(spark, d))
+
+
+@_query("SELECT pool, overlap, count(*) AS n FROM mg WHERE overlap IS NOT NULL GROUP BY ALL")
+def merge_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return merge.overlap_histogram(_merged(spark, d))
+
+
+_POSITIONS = "SELECT pool, pos, count(*) AS reads, " + ", ".join(f"round(quantile_cont(q, {q}), 6) AS q{int(100 * q)}" for q in quality.QUANTILES) + ", kind, expected FROM (SELECT pool, kind, expected, unnest(range(1, length(qual) + 1)) AS pos, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM ({}) JOIN (SELECT pool, 264 + 60 AS expected FROM sm GROUP BY pool) USING (pool)) WHERE pos <= expected GROUP BY pool, kind, expected, pos"
+
+
+@_query(_POSITIONS.format("SELECT pool, 'R1' AS kind, substr(qual, 1, 180) AS qual FROM reads UNION ALL SELECT pool, 'merged', qual FROM mg WHERE qual IS NOT NULL"))
+def qc_pos_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """First reads and merged ones side by side, up to the expected length of raw reads."""
+    expected = dimensions.expected_length(sample_sheet(spark, d), primer_sheet(spark, d), raw=True)
+    kinds = {"R1": _pairs(spark, d)[0], "merged": _merged(spark, d).where("qual is not null")}
+    return quality.side_by_side({k: quality.by_position(v) for k, v in kinds.items()}, expected)
+
+
+@_query("SELECT pool, bin, round((bin - 1) * 10, 6) AS starts_at, n FROM (SELECT pool, CAST(CASE WHEN below >= 300 THEN 31 ELSE below * 30 // 300 + 1 END AS INT) AS bin, count(*) AS n FROM rq GROUP BY ALL)")
+def below_q30_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return quality.histogram(quality.by_read(derived_reads(spark, d)), "below_q30", 0.0, 300.0)
 
 
 @_query("SELECT pool, seq, n, patient, mid_order, pos FROM hits WHERE pos IS NOT NULL")
 def mid_match(spark: SparkSession, d: str) -> DataFrame:
-    return demux.mid_hits(demux.collapse(_filtered(spark, d)), samples(derived_reads(spark, d)))
+    return demux.mid_hits(demux.collapse(_filtered(spark, d)), samples(spark, d))
 
 
 @_query("SELECT pool, seq, n, patient FROM asg")
@@ -255,7 +317,7 @@ def strand_full_outer(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT * FROM cs")
 def strand_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return hap.consensus(hap.strand_join(hap.abundant(_haplotypes(spark, d))))
+    return _consensus(spark, d)
 
 
 @_query("SELECT pool, patient, seq FROM sj")
@@ -302,13 +364,10 @@ def indel_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _funnel(spark: SparkSession, d: str) -> DataFrame:
-    reads = derived_reads(spark, d)
-    matched = _matched(spark, d)
-    kept = hap.abundant(demux.collapse_haplotypes(matched))
-    ones = reads.groupBy("pool").agg(F.count("*").alias("n"))
-    return yields.funnel({
-        "raw": ones, "flash": ones, "fq30": quality.filter_q30(reads).groupBy("pool").agg(F.count("*").alias("n")), "mid": matched, "primer": matched.where("trimmed is not null"),
-        "filt": kept.withColumnRenamed("nr", "n"), "ints": hap.consensus(hap.strand_join(kept)).withColumnRenamed("reads", "n")})
+    kept = hap.abundant(_haplotypes(spark, d))
+    filt = kept.groupBy("pool").agg(F.sum("nr").alias("filt"))
+    ints = hap.consensus(hap.strand_join(kept)).groupBy("pool").agg(F.sum("reads").alias("ints"))
+    return yields.join_counts([yields.read_counts(quality.by_read(derived_reads(spark, d))), yields.match_counts(_matched(spark, d)), filt, ints])
 
 
 @_query("SELECT * FROM fu")
@@ -324,7 +383,7 @@ def yield_step_pct(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT pool, patient, sum(reads) AS reads, round(log10(sum(reads)), 6) AS log_reads FROM cs GROUP BY ALL")
 def final_coverage_log(spark: SparkSession, d: str) -> DataFrame:
-    final = hap.consensus(hap.strand_join(hap.abundant(_haplotypes(spark, d)))).groupBy("pool", "patient").agg(F.sum("reads").alias("reads"))
+    final = _consensus(spark, d).groupBy("pool", "patient").agg(F.sum("reads").alias("reads"))
     return yields.coverage_log(final)
 
 
@@ -343,19 +402,143 @@ def hap_equivalencies(spark: SparkSession, d: str) -> DataFrame:
     return hap.equivalencies(hap.name_haplotypes(_aligned(spark, d)))
 
 
-_TYPES = ("A", "B", "C", "D")
+def _called(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(distances, calls): types are the masters of the first four patients of a pool."""
+    aligned = _aligned(spark, d)
+    masters = hap.with_master(aligned).where("patient < 4").select("pool", F.char((F.lit(65) + F.col("patient")).cast("long")).alias("type"), F.col("master").alias("aln")).distinct()
+    distances = hap.genotype_distances(aligned, masters)
+    return distances, hap.genotype_call(distances)
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    reads = derived_reads(spark, d)
-    return reads.groupBy("pool", "patient", F.char((F.lit(65) + F.col("hap") % 4).cast("long")).alias("type")).agg(F.count("*").alias("nr"))
+    distances, calls = _called(spark, d)
+    own = distances.groupBy("key", "pool", "patient").agg(F.max("nr").alias("nr"))
+    return own.join(calls.select("key", "type"), "key").groupBy("pool", "patient", "type").agg(F.sum("nr").alias("nr"))
+
+
+@_query("SELECT concat_ws(':', pool, CAST(patient AS VARCHAR), aln) AS key, type, distance AS least, nxt AS next, CASE WHEN distance > 0 THEN round(nxt / distance, 6) END AS ratio FROM gr WHERE k = 1")
+def genotype_calls(spark: SparkSession, d: str) -> DataFrame:
+    return _called(spark, d)[1]
 
 
-@_query("SELECT pool, patient, " + ", ".join(f"{t}, round({t} * 100 / (A + B + C + D), 2) AS {t}_pct" for t in _TYPES) + " FROM (SELECT pool, patient, " + ", ".join(f"sum(CASE WHEN type = '{t}' THEN nr ELSE 0 END) AS {t}" for t in _TYPES) + " FROM ty GROUP BY ALL)")
+@_query("SELECT * FROM gp")
 def genotype_pivot(spark: SparkSession, d: str) -> DataFrame:
     return hap.genotype_pivot(_typed(spark, d), _TYPES)
 
 
+@_query("SELECT pool, " + ", ".join(f"round(avg({t}_pct), 2) AS {t}_mean" for t in _TYPES) + " FROM gp GROUP BY pool")
+def genotype_means(spark: SparkSession, d: str) -> DataFrame:
+    return hap.genotype_means(hap.genotype_pivot(_typed(spark, d), _TYPES), _TYPES)
+
+
 @_query("SELECT pool, patient, string_agg(type || ' ' || (p // 10) || '.' || (p % 10) || '%', '; ' ORDER BY p DESC, type) AS mix FROM (SELECT *, CAST(round(nr * 1000 / sum(nr) OVER (PARTITION BY pool, patient)) AS INT) AS p FROM ty) GROUP BY ALL")
 def genotype_mix(spark: SparkSession, d: str) -> DataFrame:
     return hap.genotype_mix(_typed(spark, d))
+
+
+@_query("SELECT pool, patient, string_agg(base, '' ORDER BY pos) AS aln, nr FROM (SELECT pool, patient, aln AS whole, nr, unnest(range(1, length(aln) + 1)) AS pos, unnest(string_split(aln, '')) AS base FROM al WHERE aln LIKE '%-%') c JOIN (SELECT pool, patient, pos FROM (SELECT pool, patient, unnest(range(1, length(aln) + 1)) AS pos, unnest(string_split(aln, '')) AS base FROM al WHERE aln LIKE '%-%') GROUP BY ALL HAVING NOT bool_and(base = '-')) k USING (pool, patient, pos) GROUP BY pool, patient, whole, nr")
+def allgap_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Of the haplotypes with a deletion alone, the alignments without columns that are gaps in all of them."""
+    return hap.drop_gap_columns(_aligned(spark, d).where("aln like '%-%'"))
+
+
+@_query("SELECT pool, patient, seq, nr, levenshtein(seq, master) AS nm FROM eh")
+def consensus_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Differences to the master in a multiple alignment of each sample's consensus haplotypes, whose sequences are the alignment's without gaps."""
+    star = alignment.star_alignment(_consensus(spark, d).select("pool", "patient", "seq", F.col("reads").alias("nr")))
+    named = hap.with_master(star.select("pool", "patient", "aln", "nr"))
+    return named.select("pool", "patient", F.replace("aln", F.lit("-"), F.lit("")).alias("seq"), "nr", "nm")
+
+
+@_query("SELECT pool, patient, printf('Hpl.%d.%04d', nm, row_number() OVER (PARTITION BY pool, patient, nm ORDER BY nr DESC, seq)) AS name, nr AS reads, round(nr * 100 / sum(nr) OVER (PARTITION BY pool, patient), 2) AS freq, nm, seq FROM (SELECT *, levenshtein(seq, master) AS nm FROM eh)")
+def consensus_names(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus that passed the filters and both strands, named by its differences."""
+    return hap.name_haplotypes(_consensus(spark, d).select("pool", "patient", F.col("seq").alias("aln"), F.col("reads").alias("nr")))
+
+
+@_query("SELECT amplicon AS \"Ampl.Nm\", any_value(fw_pos) + 20 AS \"FW.tpos\", any_value(fw_pos) + 263 - 20 AS \"RV.tpos\" FROM sh GROUP BY amplicon")
+def primer_positions(spark: SparkSession, d: str) -> DataFrame:
+    used = dimensions.used_primers(dimensions.inner_positions(primer_sheet(spark, d)), sample_sheet(spark, d))
+    return used.select("`Ampl.Nm`", "`FW.tpos`", "`RV.tpos`")
+
+
+@_query("SELECT pool, 264 AS merged_length, 264 + 60 AS raw_length FROM sm GROUP BY pool")
+def expected_lengths(spark: SparkSession, d: str) -> DataFrame:
+    tables = sample_sheet(spark, d), primer_sheet(spark, d)
+    plain, raw = dimensions.expected_length(*tables), dimensions.expected_length(*tables, raw=True)
+    return plain.join(raw.withColumnRenamed("expected", "raw_length"), "pool").withColumnRenamed("expected", "merged_length")
+
+
+@_query("SELECT pool, coalesce(patient, -1) AS patient, sum(n) AS reads FROM asg GROUP BY ALL")
+def mid_counts_by_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Tags assigned by the tables of samples, tags and primers, written as TSV and read again."""
+    tables = []
+    for name, table, schema in (("samples", sample_sheet(spark, d), sequences.SAMPLES), ("tags", tag_sheet(spark, d), None), ("primers", primer_sheet(spark, d), sequences.PRIMERS)):
+        path = _folder(spark, f"sheet-{name}")
+        sequences.write_tsv(table, path)
+        tables.append(sequences.read_tsv(spark, path, schema or table.schema))
+    resolved = dimensions.resolved_samples(*tables).withColumn("patient", F.col("patient").cast("bigint"))
+    return demux.mid_counts(demux.assign_mid(demux.collapse(_filtered(spark, d)), resolved))
+
+
+@_query("SELECT patient, amplicon, reads, pool, region FROM (SELECT patient, 'AMP.' || pool AS amplicon, sum(reads) AS reads FROM cs GROUP BY ALL) JOIN (SELECT pool, patient, amplicon, region FROM sh) USING (patient, amplicon)")
+def consensus_by_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Reads by patient and amplicon with the pool of the first such sample and the amplicon's region."""
+    results = _consensus(spark, d).groupBy("patient", F.concat(F.lit("AMP."), "pool").alias("amplicon")).agg(F.sum("reads").alias("reads"))
+    return dimensions.with_region(dimensions.pool_of(results, sample_sheet(spark, d)), primer_sheet(spark, d)).select("patient", "amplicon", "reads", "pool", "region")
+
+
+@_query("SELECT region, count(*) AS n, " + ", ".join(f"round(quantile_cont(fn_reads, {q}), 6) AS \"{n}\"" for q, n in ((0, "min"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (1, "max"))) + " FROM pc JOIN (SELECT DISTINCT pool, region FROM sh) USING (pool) GROUP BY region")
+def region_summary(spark: SparkSession, d: str) -> DataFrame:
+    counters = demux.primer_counters(_matched(spark, d)).withColumn("amplicon", F.concat(F.lit("AMP."), "pool"))
+    return dimensions.five_numbers(dimensions.with_region(counters, primer_sheet(spark, d)), "region", "fn_reads")
+
+
+def _read_back(spark: SparkSession, path: str) -> DataFrame:
+    back = sequences.read_fastq(spark, path)
+    return back.select(F.regexp_extract("file", "pool=([^/]+)/", 1).alias("pool"), F.col("read_id").cast("long").alias("read_id"), "seq", "qual")
+
+
+@_query("SELECT pool, read_id, seq, qual FROM ok")
+def fastq_gzip(spark: SparkSession, d: str) -> DataFrame:
+    """The filtered reads, written as gzipped FASTQ in a folder for each pool and read again."""
+    path = _folder(spark, "fastq")
+    sequences.write_fastq(_filtered(spark, d), path)
+    return _read_back(spark, path)
+
+
+@_query("SELECT pool, read_id, seq, qual FROM reads")
+def fastq_plain(spark: SparkSession, d: str) -> DataFrame:
+    """All reads, written as plain FASTQ and read again in splits."""
+    path = _folder(spark, "fastq")
+    sequences.write_fastq(derived_reads(spark, d), path, compression="none")
+    return _read_back(spark, path)
+
+
+@_query("SELECT pool, patient, name, reads, freq, seq FROM nh")
+def fasta_haplotypes(spark: SparkSession, d: str) -> DataFrame:
+    """Named haplotypes, written as FASTA in folders by pool and patient and read again."""
+    path = _folder(spark, "fasta")
+    sequences.write_fasta(hap.name_haplotypes(_aligned(spark, d)), path)
+    back = sequences.read_haplotypes(spark, path)
+    return back.select(F.regexp_extract("file", "pool=([^/]+)/", 1).alias("pool"), F.regexp_extract("file", "patient=([^/]+)/", 1).cast("long").alias("patient"), "name", "reads", "freq", "seq")
+
+
+@_query("SELECT a.pool, coalesce(CAST(a.patient AS VARCHAR), '0') AS mid, r.read_id, r.seq FROM ok r JOIN asg a ON a.pool = r.pool AND a.seq = r.seq")
+def fasta_by_mid(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with their tag, 0 for none, written as FASTA in folders by pool and tag and read again."""
+    path = _folder(spark, "reads-fasta")
+    tagged = _filtered(spark, d).select("pool", "seq", "read_id").join(_assigned(spark, d), ["pool", "seq"]).withColumn("mid", F.coalesce(F.col("patient").cast("string"), F.lit("0")))
+    sequences.write_reads_fasta(tagged, path)
+    back = sequences.read_fasta(spark, path)
+    return back.select(F.regexp_extract("file", "pool=([^/]+)/", 1).alias("pool"), F.regexp_extract("file", "mid=([^/]+)/", 1).alias("mid"), F.col("name").cast("long").alias("read_id"), "seq")
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY pool) AS INT) AS line_no, concat_ws(' ', rpad(pool, 5, ' '), lpad(raw, w1, ' '), lpad(kept, w2, ' ')) AS value FROM (SELECT pool, CAST(count(*) AS VARCHAR) AS raw, CAST(count(*) FILTER (below / width <= 0.05) AS VARCHAR) AS kept FROM rq GROUP BY pool), (SELECT CAST(greatest(3, max(length(CAST(a AS VARCHAR)))) AS INT) AS w1, CAST(greatest(4, max(length(CAST(b AS VARCHAR)))) AS INT) AS w2 FROM (SELECT count(*) AS a, count(*) FILTER (below / width <= 0.05) AS b FROM rq GROUP BY pool))")
+def filter_report(spark: SparkSession, d: str) -> DataFrame:
+    """The filter's counts as a text report, written and read again; its lines after the heading."""
+    path = _folder(spark, "report")
+    table = quality.q30_counts(derived_reads(spark, d)).select("pool", "raw", "kept")
+    sequences.write_report(table, path, ["pool"], "Filter")
+    lines = spark.read.text(path).where("value like 'POOL%'")
+    return lines.select(F.row_number().over(Window.orderBy("value")).cast("int").alias("line_no"), "value")

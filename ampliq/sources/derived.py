@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RECIPE = Path(__file__).with_name("derived_reads.sql").read_text()
-_written: dict[tuple[str, str], str] = {}
-
+from ampliq.sources.shared import once
 
-def _shared(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="ampliq-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+RECIPE = Path(__file__).with_name("derived_reads.sql").read_text()
 
 
 def derived_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +18,35 @@ def derived_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written once per session as Parquet, as a run's reads would lie in files:
     the queries then scan only the columns they need.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        path = f"{_shared(spark)}/reads-{uuid.uuid4().hex}"
-        spark.sql(RECIPE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")).write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
-
-
-def samples(reads: DataFrame) -> DataFrame:
-    """One row per pool and patient with its tag, its primers and its place in the pool's order."""
-    distinct = reads.select("pool", "patient", "mid_seq", "fw_primer", "rv_primer").distinct()
-    return distinct.withColumn("mid_order", F.row_number().over(Window.partitionBy("pool").orderBy("patient")))
+    return once(spark, sf_dir, "reads", lambda: spark.sql(RECIPE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per pool and patient with its tag, its primers and its place in the pool's order; written once, so that its size is known."""
+    def build() -> DataFrame:
+        distinct = derived_reads(spark, sf_dir).select("pool", "patient", "mid_seq", "fw_primer", "rv_primer").distinct()
+        return distinct.withColumn("mid_order", F.row_number().over(Window.partitionBy("pool").orderBy("patient")))
+
+    return once(spark, sf_dir, "samples", build)
+
+
+def sample_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples as a sample sheet has them: all text, tags and primers by name."""
+    c = F.col
+    return samples(spark, sf_dir).select(
+        c("patient").cast("string").alias("Patient.ID"), c("mid_order").cast("string").alias("MID"), F.concat(F.lit("AMP."), "pool").alias("Primer.ID"),
+        F.when(c("pool") == "POOLA", "S").otherwise("X").alias("Region"), F.lit("ref").alias("RefSeq.ID"), c("pool").alias("Pool.Nm"))
+
+
+def tag_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags by name; a tag of the second pool is numbered on from those of the first, as each pool has tags of its own."""
+    return samples(spark, sf_dir).select(F.col("pool").alias("Pool.Nm"), F.col("mid_order").cast("string").alias("MID.ID"), F.col("mid_seq").alias("MID.Seq"))
+
+
+def primer_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One amplicon per pool, at made-up positions of a genome."""
+    c = F.col
+    at = F.when(c("pool") == "POOLA", 1255).otherwise(2844)
+    one = samples(spark, sf_dir).groupBy("pool").agg(F.min("fw_primer").alias("fw"), F.min("rv_primer").alias("rv"))
+    return one.select(F.concat(F.lit("AMP."), "pool").alias("Ampl.Nm"), F.when(c("pool") == "POOLA", "S").otherwise("X").alias("Region"), c("fw").alias("Primer.FW"), c("rv").alias("Primer.RV"),
+                      at.alias("FW.pos"), (at + 263).alias("RV.pos"), F.lit(0).alias("FW.tpos"), F.lit(0).alias("RV.tpos"), F.lit(1).alias("Aa.ipos"), F.lit(74).alias("Aa.lpos"))

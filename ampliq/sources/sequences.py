@@ -1,8 +1,11 @@
-"""FASTQ and FASTA files, tab-separated tables, and their sinks."""
+"""FASTQ and FASTA files, tab-separated tables, text reports, and their sinks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,48 +14,139 @@ MIDS = T.StructType([T.StructField("MID.ID", T.StringType()), T.StructField("MID
 PRIMERS = T.StructType([*(T.StructField(n, T.StringType()) for n in ("Ampl.Nm", "Region", "Primer.FW", "Primer.RV")), *(T.StructField(n, T.IntegerType()) for n in ("FW.pos", "RV.pos", "FW.tpos", "RV.tpos", "Aa.ipos", "Aa.lpos"))])
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, block, at, value, head, seq, qual): whole records of each split, and the lines left over at its ends (head is null).
+
+    A split may begin anywhere in a record.  A line that begins with @ and is
+    followed by one that begins with + two lines on is a heading: after a line
+    of qualities, which may begin with @ too, that line would be a sequence.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, at = None, [], 0
+        out: list[tuple] = []
+
+        def taken(end: bool) -> None:
+            nonlocal held, at
+            k = 0
+            while len(held) - k >= 4 or end and k < len(held):
+                if len(held) - k >= 4 and held[k][:1] == "@" and held[k + 2][:1] == "+":
+                    out.append((*here, at + k, None, held[k], held[k + 1], held[k + 3]))
+                    k += 4
+                else:
+                    out.append((*here, at + k, held[k], None, None, None))
+                    k += 1
+            held, at = held[k:], at + k
+
+        def rows() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["file", "block", "at", "value", "head", "seq", "qual"])
+
+        for batch in batches:
+            files, blocks, values = (batch.column(c).to_pylist() for c in ("file", "block", "value"))
+            for file, block, value in zip(files, blocks, values, strict=True):
+                if (file, block) != here:
+                    if here:
+                        taken(True)
+                    here, held, at = (file, block), [], 0
+                held.append(value)
+            taken(False)
+            if out:
+                yield rows()
+                out = []
+        if here:
+            taken(True)
+        if out:
+            yield rows()
+
+    return lines.mapInArrow(run, "file string, block long, at long, value string, head string, seq string, qual string")
+
+
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, read_id, seq, qual) of four-line FASTQ files, plain or gzipped.
 
-    A record may begin anywhere in a split, so lines are numbered within each
-    file: files are read whole, one task each, as gzip demands anyway.
+    Plain files are split as Spark splits text, gzipped ones are one task each.
+    Records within a split are put together where they are read; the lines at
+    its ends, a few per split, are numbered within their file and put together
+    by fours.  A record that a file ends in the midst of is left out; empty
+    reads have empty strings; carriage returns at line ends are no part of them.
     """
-    lines = spark.read.option("wholetext", False).text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_at"))
-    spot = F.row_number().over(Window.partitionBy("file").orderBy("_at")) - 1
-    numbered = lines.withColumn("_n", spot).withColumns({"record": F.floor(F.col("_n") / 4), "line": F.col("_n") % 4})
-    rows = numbered.groupBy("file", "record").agg(*(F.max(F.when(F.col("line") == k, F.col("value"))).alias(name) for k, name in ((0, "head"), (1, "seq"), (3, "qual"))))
-    return rows.select("file", F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), "seq", "qual")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+    parsed = _records(lines)
+    spot = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1  # a few lines for each split
+    loose = parsed.where("head is null").withColumn("_n", spot).withColumns({"record": F.floor(F.col("_n") / 4), "line": F.col("_n") % 4})
+    loose = loose.groupBy("file", "record").agg(*(F.max(F.when(F.col("line") == k, F.col("value"))).alias(name) for k, name in ((0, "head"), (1, "seq"), (3, "qual"))), F.count("*").alias("_lines")).where("_lines = 4")
+    every = parsed.where("head is not null").select("file", "head", "seq", "qual").unionByName(loose.select("file", "head", "seq", "qual"))
+    return every.select("file", F.regexp_extract("head", r"^@(\S*)", 1).alias("read_id"), "seq", "qual")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, name, seq); ``>`` never occurs within a sequence, so records are split at it."""
     rows = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     return rows.select("file", F.trim(head).alias("name"), F.regexp_replace(F.substring("value", F.length(head) + 1, F.length("value")), r"\s", "").alias("seq"))
 
 
-def read_haplotypes(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA whose names are ``name|reads|freq``."""
+def read_haplotypes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """FASTA whose names are ``name|reads|freq``; counts that a name lacks, or that are no numbers, are null."""
     part = F.split("name", r"\|")
-    return read_fasta(spark, path).select("file", part[0].alias("name"), part[1].cast("long").alias("reads"), part[2].cast("double").alias("freq"), "seq")
+    count = lambda k: F.get(part, F.lit(k))
+    return read_fasta(spark, path).select("file", part[0].alias("name"), count(1).try_cast("long").alias("reads"), count(2).try_cast("double").alias("freq"), "seq")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
 
 
+def write_tsv(table: DataFrame, path: str) -> None:
+    table.write.csv(path, sep="\t", header=True)
+
+
 def file_fields(df: DataFrame, name: str = "file") -> DataFrame:
     """pool, sample_no and mate from names like ``Pool_S1_L001_R1_001.fastq.gz`` or ``Pool_S1_flash.fastq``."""
     base = F.substring_index(F.col(name), "/", -1)
     return df.withColumns({"pool": F.substring_index(base, "_", 1), "sample_no": F.nullif(F.regexp_extract(base, r"_(S\d+)_", 1), F.lit("")), "mate": F.nullif(F.regexp_extract(base, r"_(R[12])_", 1), F.lit(""))})
 
 
-def write_fastq(reads: DataFrame, path: str, by: tuple[str, ...] = ("pool",)) -> None:
-    text = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id").cast("string")), "seq", F.lit("+"), "qual")
-    reads.select(*by, text.alias("value")).write.partitionBy(*by).option("compression", "gzip").text(path)
+def _text(column: str | Column) -> Column:
+    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+
+
+def write_fastq(reads: DataFrame, path: str, by: tuple[str, ...] = ("pool",), compression: str = "gzip") -> None:
+    """Four lines for each read, in folders by ``by``; a null id, sequence or quality is an empty line."""
+    text = F.concat(F.lit("@"), _text("read_id"), F.lit("\n"), _text("seq"), F.lit("\n+\n"), _text("qual"))
+    reads.select(*by, text.alias("value")).write.partitionBy(*by).option("compression", compression).text(path)
 
 
 def write_fasta(haplotypes: DataFrame, path: str, by: tuple[str, ...] = ("pool", "patient")) -> None:
-    """Names are ``name|reads|freq``."""
-    head = F.concat_ws("|", F.concat(F.lit(">"), F.col("name")), F.col("reads").cast("string"), F.col("freq").cast("string"))
-    haplotypes.select(*by, F.concat_ws("\n", head, "seq").alias("value")).write.partitionBy(*by).text(path)
+    """Names are ``name|reads|freq``, nulls being empty, in folders by ``by``."""
+    head = F.concat(F.lit(">"), _text("name"), F.lit("|"), _text("reads"), F.lit("|"), _text("freq"))
+    haplotypes.select(*by, F.concat(head, F.lit("\n"), _text("seq")).alias("value")).write.partitionBy(*by).text(path)
+
+
+def write_reads_fasta(reads: DataFrame, path: str, by: tuple[str, ...] = ("pool", "mid")) -> None:
+    """Reads as FASTA named by their ids, in folders by pool and tag, which are replaced whole."""
+    reads.select(*by, F.concat(F.lit(">"), _text("read_id"), F.lit("\n"), _text("seq")).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def report_lines(table: DataFrame, order: list[str], title: str | None = None) -> DataFrame:
+    """(line_no, value): a small table as text, columns as wide as their longest value, in the order of ``order``.
+
+    Numbers stand to the right, other values to the left, nulls are NA.  For
+    reports of pools, samples and files: the rows pass through one window.
+    """
+    shown = table.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")).alias(c) for c in table.columns), F.row_number().over(Window.orderBy(*order)).alias("_n"))
+    wide = shown.agg(*(F.max(F.length(F.col(f"`{c}`"))).alias(c) for c in table.columns)).first()
+    cells, heads = [], []
+    for f in table.schema:
+        n = max(wide[f.name] or 0, len(f.name))
+        right = isinstance(f.dataType, T.NumericType)
+        cells.append((F.lpad if right else F.rpad)(F.col(f"`{f.name}`"), n, " "))
+        heads.append(f.name.rjust(n) if right else f.name.ljust(n))
+    top = [title, ""] if title else []
+    first = table.sparkSession.createDataFrame([(k, v) for k, v in enumerate([*top, " ".join(heads)], 1 - len(top) - 1)], "line_no int, value string")
+    return first.unionByName(shown.select(F.col("_n").cast("int").alias("line_no"), F.rtrim(F.concat_ws(" ", *cells)).alias("value")))
+
+
+def write_report(table: DataFrame, path: str, order: list[str], title: str | None = None) -> None:
+    """A small table as one text file."""
+    report_lines(table, order, title).repartition(1).sortWithinPartitions("line_no").select("value").write.text(path)
