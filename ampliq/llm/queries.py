@@ -48,6 +48,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_table(read_table(spark, sf_dir, "documents")).drop("clips")
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clips of the stored form of every document, found by parsing and decoding the files."""
+    return media.clip_rows(media.media_table(read_table(spark, sf_dir, "documents"), with_media=True))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(read_table(spark, sf_dir, "documents"))
 
@@ -57,5 +62,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_quality_rules, op4_suffix_dedup, op5_license_scan, op6_quality_classifier, op7_mixing, op8_media, op9_language_id, op10_url_filter)}
+    f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_quality_rules, op4_suffix_dedup, op5_license_scan, op6_quality_classifier, op7_mixing, op8_media, media_clips, op9_language_id, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE, "op5_license_scan": licenses.ORACLE}
