@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampliq.functions.dna import let
+from ampliq.sources.shared import delete, shared_dir
+
+__all__ = ["CHUNK", "SPACES", "WORD", "count_words", "discard", "fold", "let", "maybe_in", "read_table", "scratch", "shared_dir", "text_or_empty", "written"]
+
 #: A word is a run of characters other than these six.
 SPACES = "\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a session on one machine names none (tests), a temporary folder is
-    made and set as its checkpoint folder; it goes when Python ends.  A cluster
-    must name one: RuntimeError otherwise.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="ampliq-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 _scratch: list[str] = []
 
 
@@ -46,13 +29,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _delete(spark, _scratch.pop())
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _scratch.pop())
 
 
 def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
@@ -73,7 +50,7 @@ def written(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
 def discard(*consumed: DataFrame) -> None:
     """Delete what ``written`` wrote."""
     for df in consumed:
-        _delete(df.sparkSession, df.written_to)
+        delete(df.sparkSession, df.written_to)
 
 
 #: A filter's bits: at most so many, BITS_A_KEY for each key below that; CHUNK of them are one row.
@@ -108,11 +85,6 @@ def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def count_words(text: Column) -> Column:
     return F.length(F.translate(F.regexp_replace(text, WORD, "x"), SPACES, "")).cast("long")
 

@@ -27,6 +27,8 @@ SCRIPTS = (
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x32000, "other"))
 #: A script is a language's if at least this share of its letters are of it.
 SCRIPT_SHARE = 0.001
+#: Languages that a model has at most, those of most letters: 33 MB of scores.
+LANGS = 256
 
 
 @cache
@@ -62,37 +64,47 @@ def _trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word[inner], (mixed[inner] >> np.uint64(17)).astype(np.int64), script
 
 
-def train(docs: DataFrame, text: str, lang: str) -> dict:
-    """Trigram and script counts per language over all rows with a language: {"langs", "logs", "allowed"}.
+def train(docs: DataFrame, text: str, lang: str, langs: int = LANGS) -> dict:
+    """Trigram and script counts per language over all rows with a text and a language: {"langs", "logs", "allowed"}.
 
     Tasks add up their rows first, so a hot language costs no more than any
-    other; what reaches the driver is bounded by languages times buckets.
+    other.  The ``langs`` languages of most letters are learnt, of equal ones
+    the first names, so that a column of many values can't swell the model;
+    what reaches the driver is bounded by languages times buckets.  Rows without
+    a letter count nothing; without any row the model has no language.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for name, own in sums.items():
+                used = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(own[used], pa.int64())], ["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             for body, name in zip(batch.column(0), batch.column(1), strict=True):
+                if len(sums) >= LANGS and name.as_py() not in sums:
+                    yield from counted()
                 own = sums.setdefault(name.as_py(), np.zeros(BUCKETS + N_SCRIPTS, np.int64))
                 codes = _codes(body.as_py())
                 for at in range(0, len(codes), CHUNK):
                     _, bucket, script = _trigrams(codes[at : at + CHUNK])
                     own += np.bincount(np.concatenate((bucket, script + BUCKETS)), minlength=len(own))
-        for name, own in sums.items():
-            used = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(own[used], pa.int64())], ["lang", "bucket", "n"])
+        yield from counted()
 
     rows = docs.select(docs[text].alias("text"), docs[lang].alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    logs, allowed = np.zeros((BUCKETS, max(1, len(langs)))), np.ones((N_SCRIPTS, max(1, len(langs))), bool)
-    for k, name in enumerate(langs):
+    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    whole = counts.groupBy("lang").agg(F.sum("n").alias("letters"), F.collect_list(F.struct("bucket", "n")).alias("cells"))  # bounded by the buckets
+    found = sorted(whole.orderBy(F.desc("letters"), "lang").limit(langs).collect(), key=lambda r: r["lang"])
+    logs, allowed = np.zeros((BUCKETS, max(1, len(found)))), np.ones((N_SCRIPTS, max(1, len(found))), bool)
+    for k, row in enumerate(found):
         own = np.zeros(BUCKETS + N_SCRIPTS)
-        part = counts[counts["lang"] == name]
-        own[part["bucket"].to_numpy()] = part["n"].to_numpy()
+        own[[c["bucket"] for c in row["cells"]]] = [c["n"] for c in row["cells"]]
         logs[:, k] = np.log((own[:BUCKETS] + 0.5) / (own[:BUCKETS].sum() + 0.5 * BUCKETS))
         allowed[:, k] = own[BUCKETS:] >= SCRIPT_SHARE * max(1, own[BUCKETS:].sum())
     allowed |= ~allowed.any(1, keepdims=True)  # a script that none has leaves all
-    return {"langs": langs, "logs": logs.astype(np.float32), "allowed": allowed}
+    return {"langs": [r["lang"] for r in found], "logs": logs.astype(np.float32), "allowed": allowed}
 
 
 def word_scores(text: str, model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +221,9 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, spans: bool =
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
 
 
-def language_id(docs: DataFrame, switch: float = SWITCH) -> DataFrame:
-    """Train on the folds other than 2 of ``docs`` (all of their rows) and predict all rows."""
-    model = train(docs.where(fold("doc_id") != 2), "text", "lang")
-    out = identify(docs, model, switch)
+def language_id(docs: DataFrame, switch: float = SWITCH, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Train on the folds other than 2 of ``docs`` (all of their rows) and predict all rows: doc_id, held_out, lang_pred, score, n_spans."""
+    plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang"))
+    model = train(plain.where(fold("doc_id") != 2), "text", "lang")
+    out = identify(plain, model, switch)
     return out.select("doc_id", (fold("doc_id") == 2).alias("held_out"), "lang_pred", "score", "n_spans")
-
-
