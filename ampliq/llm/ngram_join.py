@@ -2,8 +2,8 @@
 
 Documents with the same words are one node.  Nodes get MinHash signatures of
 their word n-grams; band and row counts follow from the recall wanted at the
-threshold.  Nodes that share a band form buckets.  Each node has a home, its
-largest bucket; the nodes of one home and of about one size make up blocks of a
+threshold.  Nodes that share a band form buckets.  Each node has a home, the
+largest bucket near it; the nodes of one home and of about one size make up blocks of a
 bounded number of n-grams.  A pair of blocks is a task, to which a node is sent
 only if it shares a bucket with a node of the other block; there the n-gram sets
 are compared in full.  Every pair of nodes has one pair of blocks, so none is
@@ -26,7 +26,7 @@ from ampliq.llm.common import maybe_in, text_or_empty, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Nodes in a block, and n-grams (nodes of more make blocks of their own); a task verifies two blocks.
-BLOCK, BLOCK_GRAMS = 128, 1 << 20
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
 #: Texts of which more than this share of all rows are copies are joined by broadcast: fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 4096
 #: Names that a task remembers, so as to work out the n-grams of copies once.
@@ -231,10 +231,13 @@ def buckets_of(nodes: DataFrame) -> DataFrame:
 def blocks_of(members: DataFrame, nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     """(node, copies, level, block): the block of every node that is in a bucket.
 
-    ``level`` grows by one where sizes grow by 1 / threshold, so linked nodes
+    Its home is the largest bucket that some node in one of its own buckets is
+    in, so the nodes of a group of near copies have one home.  ``level`` grows by one where sizes grow by 1 / threshold, so linked nodes
     are of one level or of two that follow on each other.
     """
-    homes = members.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("h")).select("node", F.col("h.bucket").alias("home"))
+    own = members.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("h"))
+    tops = members.select("node", "bucket").join(own.hint("merge"), "node").groupBy("bucket").agg(F.max("h").alias("h"))
+    homes = members.select("node", "bucket").join(tops.hint("merge"), "bucket").groupBy("node").agg(F.max("h").alias("h")).select("node", F.col("h.bucket").alias("home"))
     step = math.log(1 / threshold)
     placed = homes.join(nodes.select("node", "copies", "grams").hint("merge"), "node").withColumn("level", F.floor(F.log("grams") / step + 1e-9).cast("int"))
     placed = written(placed, "ngram-homes")
@@ -245,11 +248,25 @@ def blocks_of(members: DataFrame, nodes: DataFrame, threshold: float, block: int
 
 
 def tasks_of(members: DataFrame, blocked: DataFrame) -> DataFrame:
-    """(node, copies, block, i, j): the pairs of blocks i <= j to which each node goes."""
+    """(node, copies, block, i, j): the pairs of blocks i <= j to which each node goes.
+
+    Blocks meet if a bucket has nodes of both.  Where those nodes, counted for
+    each bucket, are a quarter of a block or more, the whole block goes to the
+    pair, else they alone: so about as many rows arise as there are tasks for
+    the nodes, however many buckets two blocks share.
+    """
     own = written(members.select("node", "bucket").join(blocked.hint("merge"), "node").select("bucket", "node", "copies", "block", "level"), "ngram-own")
-    others = own.groupBy("bucket", F.col("block").alias("other"), F.col("level").alias("_level")).agg(F.count("*").alias("_n"))
-    met = own.join(others.hint("merge"), "bucket").where((F.abs(F.col("level") - F.col("_level")) <= 1) & ((F.col("block") != F.col("other")) | (F.col("_n") > 1)))
-    return written(met.select("node", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct(), "ngram-tasks", own)
+    spread = written(own.groupBy("bucket", "block", "level").agg(F.count("*").alias("n")), "ngram-spread")
+    others = spread.select("bucket", F.col("block").alias("other"), F.col("level").alias("_level"))
+    met = spread.join(others.hint("merge"), "bucket").where(F.abs(F.col("level") - F.col("_level")) <= 1).select("bucket", "block", "other", "n")
+    sizes = blocked.groupBy("block").agg(F.count("*").alias("size"))
+    pairs = met.groupBy("block", "other").agg(F.sum("n").alias("touched")).join(sizes.hint("merge"), "block").where("block <> other or size > 1")
+    pairs = written(pairs.select("block", "other", (4 * F.col("touched") >= F.col("size")).alias("dense")), "ngram-pairs")
+    whole = blocked.select("node", "copies", "block").join(pairs.where("dense").select("block", "other").hint("merge"), "block")
+    some = met.join(pairs.where("not dense").select("block", "other").hint("merge"), ["block", "other"]).select("bucket", "block", "other")
+    some = own.select("bucket", "node", "copies", "block").join(some.hint("merge"), ["bucket", "block"]).select("block", "node", "copies", "other").distinct()
+    sent = whole.unionByName(some).select("node", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return written(sent, "ngram-tasks", own, spread, pairs)
 
 
 def links_of(named: DataFrame, nodes: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
