@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ampliq.functions.dna import let
 from ampliq.sources.shared import delete, shared_dir
 
-__all__ = ["CHUNK", "SPACES", "WORD", "count_words", "discard", "fold", "let", "maybe_in", "read_table", "scratch", "shared_dir", "text_or_empty", "written"]
+__all__ = ["CHARACTER", "CHUNK", "SPACE", "WORD", "count_words", "discard", "fold", "let", "maybe_in", "read_table", "scratch", "shared_dir", "text_or_empty", "written"]
 
-#: A word is a run of characters other than these six.
-SPACES = "\t\n\x0b\x0c\r "
-WORD = r"[^\x20\x09-\x0D]+"
+#: A word is a run of characters other than six.
+SPACE, CHARACTER = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+WORD = f"{CHARACTER}+"
 
 
 _scratch: list[str] = []
@@ -86,7 +86,8 @@ def text_or_empty(text: str | Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.length(F.translate(F.regexp_replace(text, WORD, "x"), SPACES, "")).cast("long")
+    """Words of ``text``: each becomes one character, with what is between it and the next; what is before the first goes."""
+    return F.length(F.regexp_replace(F.regexp_replace(text, f"{WORD}{SPACE}*", "x"), f"^{SPACE}+", "")).cast("long")
 
 
 def fold(doc_id: str | Column) -> Column:

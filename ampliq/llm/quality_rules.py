@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.llm.common import SPACES, let, text_or_empty, written
+from ampliq.llm.common import CHARACTER, SPACE, let, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
 #: Cells of a rate's grid: rates are clipped to this, so a sketch has at most GRID + 1 counts.
@@ -56,22 +56,20 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     n_text, n_words, word_chars, n_symbols, n_upper, n_letters, n_digits, n_bangs, n_lines,
     n_dup_lines, n_distinct_words, n_repeat_words, all long.
     """
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-
-    def without(chars: str) -> Column:
-        return (F.length("_t") - F.length(F.translate(F.col("_t"), chars, ""))).cast("long")
+    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(CHARACTER))
 
     def matching(pattern: str) -> Column:
+        """Characters that match; patterns cost much less than a translation of each character."""
         return (F.length("_t") - F.length(F.regexp_replace("_t", f"{pattern}+", ""))).cast("long")
 
     out = docs.withColumn("_t", text_or_empty(text))
-    out = out.withColumn("_words", F.array_remove(F.split(F.translate("_t", SPACES, " " * len(SPACES)), " "), "")).withColumn("_lines", lines)
+    out = out.withColumn("_words", F.array_remove(F.split(F.col("_t"), f"{SPACE}+"), "")).withColumn("_lines", lines)
     out = out.withColumn("_windows", _repeat_words("_words"))
     repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
     return out.withColumns({
         "n_text": F.length("_t").cast("long"), "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(F.col("_t"), SPACES, "")).cast("long"), "n_symbols": without(SYMBOLS),
-        "n_upper": matching(r"\p{Lu}"), "n_letters": matching(r"\p{L}"), "n_digits": without("0123456789"), "n_bangs": without("!"),
+        "word_chars": matching(CHARACTER), "n_symbols": matching(f"[{SYMBOLS}]"),
+        "n_upper": matching(r"\p{Lu}"), "n_letters": matching(r"\p{L}"), "n_digits": matching("[0-9]"), "n_bangs": matching("!"),
         "n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_distinct_words": F.size(F.array_distinct("_words")).cast("long"),
         "n_repeat_words": F.when(repeated, _covered("_windows")).otherwise(F.lit(0)).cast("long"),
