@@ -7,7 +7,7 @@ cover.  Runs whose anchor is found nowhere else hold no repeat.  The different
 segments around one anchor, with the number of runs that have each, go through
 an enhanced suffix array: suffixes sorted, a stack scan of the common prefixes
 for the interval tree, and a test of the bytes to the left that keeps the maximal
-repeats, each with all its occurrences.  An anchor with very many segments goes
+repeats, each with all its occurrences.  An anchor with very many windows goes
 through no array: its windows are compared by 128 bits.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from ampliq.llm.common import maybe_in, text_or_empty, written
 
 LENGTH, GRAM = 200, 32
-#: Bytes hashed at once; bytes of segments in one suffix array; anchors with more different segments than HOT are compared by window, in SALTS parts.
-REGION, ARRAY, HOT, SALTS = 1 << 20, 1 << 18, 512, 64
+#: Bytes hashed at once; bytes of segments in one suffix array; anchors with more windows in different segments than HOT are compared by window, in SALTS parts.
+REGION, ARRAY, HOT, SALTS = 1 << 20, 1 << 18, 1 << 17, 64
 _POSITION = np.uint64((1 << 22) - 1)
 _DRAW = np.random.Generator(np.random.PCG64(4))
 _TABLE = _DRAW.integers(0, 1 << 63, 256, np.int64).astype(np.uint64)
@@ -127,7 +127,7 @@ def _runs(named: DataFrame, length: int) -> DataFrame:
 
 
 def _segments(joined: DataFrame, length: int) -> DataFrame:
-    """(gkey, w1, w2, mh, sg, lo, n, runs, seg) of the runs in ``reps`` (array of mh, sg, kinds, runs, place).
+    """(gkey, w1, w2, mh, sg, lo, n, runs, seg) of the runs in ``reps`` (array of mh, sg, windows, runs, place).
 
     w1, w2 and seg: null and the segment, filed under its anchor; of hot
     anchors 128 bits of each window and null, filed under these and a salt.
@@ -140,7 +140,7 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
                 view = memoryview(data[offsets[row] : offsets[row + 1]])
                 for r in reps.as_py():
                     start, n = r["place"] >> 32, (r["place"] >> 16) & 0xFFFF
-                    if r["kinds"] <= HOT:
+                    if r["windows"] <= HOT:
                         out.append((r["mh"], None, None, r["mh"], r["sg"], 0, n, r["runs"], bytes(view[start : start + n + length - 1])))
                         continue
                     salt = (r["sg"] % SALTS) * 0x9E3779B97F4A7C15
@@ -237,7 +237,7 @@ def _scan(segments: DataFrame, length: int, groups: bool = False) -> DataFrame:
     With ``groups`` one row per repeat and segment instead: (w1, w2, mh, sg, lo,
     n, id), where n is the repeat's length less ``length`` plus 1 and id 64 bits
     of its bytes.  Rows come sorted by gkey, w1 and w2; groups are put together
-    up to ARRAY bytes, and none has more than HOT segments.  Windows are
+    up to ARRAY bytes, and none has more than HOT windows.  Windows are
     compared with the one before, and none is held; the first of equal ones
     keeps its w1 and w2, since other salts may have its equal, unless several
     runs have its segment.
@@ -333,19 +333,19 @@ def _filed(named: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(kept, segments): the runs (mh, sg, k1, k2, n, places) of anchors that are found again, and what ``_segments`` makes of one run of each kind."""
     runs = written(_runs(named.select("doc_id", "k1", "k2", "text"), length), "suffix-runs")
     again = written(runs.groupBy("mh").agg(F.count("*").alias("total")).where("total > 1").select("mh"), "suffix-again")
+    #: Nearly all runs of other anchors go here, without a join that would bring a hot anchor to one task; the rest go by the totals below.
     likely = maybe_in(runs, again, "mh").where("_maybe").drop("_maybe")
     #: A text that repeats itself has many runs with one segment: they become one row, bounded by the text.
-    kept = likely.join(again.hint("merge"), "mh").groupBy("mh", "sg", "k1", "k2").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
+    kept = likely.groupBy("mh", "sg", "k1", "k2").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
     kept = written(kept, "suffix-kept", runs, again)
     kinds = kept.groupBy("mh", "sg").agg(F.sum("n").alias("runs"), F.min(F.struct("k1", "k2", F.array_min("places").alias("place"))).alias("rep"))
     kinds = written(kinds, "suffix-kinds")
-    of_anchor = kinds.groupBy("mh").agg(F.count("*").alias("kinds"))
-    reps = kinds.join(of_anchor.hint("merge"), "mh").groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct("mh", "sg", "kinds", "runs", "rep.place")).alias("reps"))
+    of_anchor = kinds.groupBy("mh").agg(F.sum(F.shiftright("rep.place", 16).bitwiseAND(F.lit(0xFFFF))).alias("windows"), F.sum("runs").alias("total")).where("total > 1").drop("total")
+    reps = kinds.join(of_anchor.hint("merge"), "mh").groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct("mh", "sg", "windows", "runs", "rep.place")).alias("reps"))
     reps = written(reps, "suffix-reps", kinds)
-    texts = maybe_in(named.select("k1", "k2", "text"), reps, "k1", "k2").where("_maybe").drop("_maybe")
-    segments = _segments(texts.join(reps.hint("merge"), ["k1", "k2"]), length)
-    #: Copies of a text bring its segments more than once.
-    return kept, segments.groupBy("gkey", "w1", "w2", "mh", "sg", "lo", "n", "runs").agg(F.min("seg").alias("seg"))
+    #: Copies of a text become one before they are joined, so each segment arises once.
+    texts = maybe_in(named.select("k1", "k2", "text"), reps, "k1", "k2").where("_maybe").groupBy("k1", "k2").agg(F.min("text").alias("text"))
+    return kept, _segments(texts.join(reps.hint("merge"), ["k1", "k2"]), length)
 
 
 def _checked(length: int) -> None:
@@ -376,7 +376,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     or more, in one document or several, and that the bytes left and right of
     it don't extend at all of them; what lies beyond an anchor's segments isn't
     seen, so long repeats come as several groups, one per anchor.  Every group
-    has all its occurrences.  Of hot anchors (more than HOT segments) groups
+    has all its occurrences.  Of hot anchors (more than HOT windows) groups
     are strings of just ``length`` bytes.  ids are 64 bits of the bytes.  Null
     and short texts have no repeat; repeated rows and rows of one id count each;
     other columns are ignored; an empty table gives an empty result.
