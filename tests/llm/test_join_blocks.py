@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 from pyspark.sql import functions as F
-from test_operators import brute_links
+from test_llm_operators import brute_links
 
 from ampliq.llm import ngram_join
 from ampliq.llm.common import maybe_in

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import SF, WORDS, odd_rows
+from test_llm_operators import SF, WORDS, odd_rows
 
 from ampliq.llm import langid, mixing, quality_model
 

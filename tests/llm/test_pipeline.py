@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_links, brute_repeats
+from test_llm_operators import brute_links, brute_repeats
 
 import corpus_pipeline
 from ampliq.llm import quality_model

@@ -5,7 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from test_operators import SF, same
+from test_llm_operators import SF, same
 
 from ampliq.llm import quality_rules, urls
 

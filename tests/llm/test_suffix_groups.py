@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import brute_repeats
+from test_llm_operators import brute_repeats
 
 from ampliq.llm import suffix_dedup
 
