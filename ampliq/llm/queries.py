@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliq.llm import bpe, langid, licenses, media, mixing, ngram_join, quality_model, quality_rules, suffix_dedup, urls
+from ampliq.llm import bpe, fim, langid, licenses, media, mixing, ngram_join, phrases, quality_model, quality_rules, sharding, suffix_dedup, urls
 from ampliq.llm.common import read_table
 
 
@@ -61,6 +61,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(read_table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def shard_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that move, and where, when the weights of the shards change and one joins."""
+    return sharding.moves(read_table(spark, sf_dir, "documents"), "doc_id", sharding.BEFORE, sharding.AFTER)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_quality_rules, op4_suffix_dedup, op5_license_scan, op6_quality_classifier, op7_mixing, op8_media, media_clips, op9_language_id, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE, "op5_license_scan": licenses.ORACLE}
+    f.__name__: f for f in (op1_byte_bpe, op2_ngram_join, op3_quality_rules, op4_suffix_dedup, op5_license_scan, op6_quality_classifier, op7_mixing, op8_media, media_clips, op9_language_id, op10_url_filter, op11_sharding, shard_moves, op12_phrases, op13_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE, "op5_license_scan": licenses.ORACLE, "op11_sharding": sharding.ORACLE, "shard_moves": sharding.MOVES_ORACLE, "op12_phrases": phrases.ORACLE, "op13_fill_in_middle": fim.ORACLE}
