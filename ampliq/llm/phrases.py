@@ -30,7 +30,7 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_RELATION = "lang string, own int, words array<string>, codes array<int>, gaps array<int>, pieces array<int>"
+_RELATION = "lang string, own int, block binary"
 _COUNTS = "lang string, phrase string, n long"
 #: Parts among which a language's phrases are ranked before the last ranking.
 PARTS = 64
@@ -56,13 +56,16 @@ def find_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _relation_batch(lang: str, own: int, words: pa.Array, codes: np.ndarray, at: np.ndarray, pieces: np.ndarray) -> pa.RecordBatch:
-    """One block as a row; places and pieces as differences, which take next to no space."""
+    """One block as a row, compressed; places and pieces as differences, which take next to no space."""
     def one(values: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     less = lambda x: pa.array(np.diff(x, prepend=0), pa.int32())
-    columns = [pa.array([lang], pa.string()), pa.array([own], pa.int32()), one(words), one(pa.array(codes.ravel(), pa.int32())), one(less(at)), one(less(pieces))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "own", "words", "codes", "gaps", "pieces"])
+    inner = pa.RecordBatch.from_arrays([one(words), one(pa.array(codes.ravel(), pa.int32())), one(less(at)), one(less(pieces))], ["words", "codes", "gaps", "pieces"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, inner.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(inner)
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([own], pa.int32()), pa.array([sink.getvalue()], pa.binary())], ["lang", "own", "block"])
 
 
 def occurrence_blocks(lang: str, texts: list[bytes], more: int) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,7 @@ def occurrence_blocks(lang: str, texts: list[bytes], more: int) -> Iterator[pa.R
 
 
 def occurrences(docs: DataFrame, lang: str, text: str, more: int) -> DataFrame:
-    """Relation 1 in blocks: lang, own (places below it are counted here), distinct words, codes, gaps and pieces as differences."""
+    """Relation 1 in blocks: lang, own (places below it are counted here), and distinct words, codes, places and pieces as compressed bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("lang").dictionary_encode()
@@ -95,7 +98,8 @@ def occurrences(docs: DataFrame, lang: str, text: str, more: int) -> DataFrame:
 def _unpacked(batch: pa.RecordBatch, k: int) -> Iterator[tuple[str, int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """(lang, own, words, codes by row, places, pieces) of each block."""
     for i in range(batch.num_rows):
-        words, codes, gaps, pieces = (batch.column(c)[i].values for c in ("words", "codes", "gaps", "pieces"))
+        inner = pa.ipc.open_stream(batch.column("block")[i].as_buffer()).read_next_batch()
+        words, codes, gaps, pieces = (inner.column(c)[0].values for c in ("words", "codes", "gaps", "pieces"))
         yield batch.column("lang")[i].as_py(), batch.column("own")[i].as_py(), words, codes.to_numpy().reshape(-1, k), np.cumsum(gaps.to_numpy()), np.cumsum(pieces.to_numpy())
 
 
