@@ -65,7 +65,7 @@ def _relation_batch(lang: str, own: int, words: pa.Array, codes: np.ndarray, at:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, inner.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_batch(inner)
-    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([own], pa.int32()), pa.array([sink.getvalue()], pa.binary())], ["lang", "own", "block"])
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([own], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lang", "own", "block"])
 
 
 def occurrence_blocks(lang: str, texts: list[bytes], more: int) -> Iterator[pa.RecordBatch]:
