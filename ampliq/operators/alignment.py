@@ -15,48 +15,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ampliq.functions import gotoh
+from ampliq.functions.gotoh import align_pairs
+from ampliq.operators import progressive
+from ampliq.operators.haplotypes import abundant
+from ampliq.sources.shared import small
+
 SAMPLE = ("pool", "patient")
-#: Costs of a mismatch and of a gap column.
+#: Costs of a mismatch and of a gap column in the star alignment.
 MISMATCH, GAP = 1, 1
-#: Pairs aligned together.
-TOGETHER = 256
 
 
 def align(master: bytes, others: list[bytes]) -> list[tuple[bytes, list[int]]]:
     """Of each sequence, (bases at the master's positions, '-' where it has none; bases inserted before each position and at the end).
 
     Global alignments of least cost; of equal ones substitutions before gaps,
-    gaps as far to the left as that allows.  All rows of the cost matrix are
-    filled for all sequences together.
+    gaps as far to the left as that allows.
     """
-    m, most = len(master), max(map(len, others), default=0)
-    rows = np.zeros((len(others), most), np.uint8)
-    for k, s in enumerate(others):
-        rows[k, : len(s)] = np.frombuffer(s, np.uint8)
-    ramp = GAP * np.arange(most + 1)
-    cost = np.zeros((m + 1, len(others), most + 1), np.int32)
-    cost[0] = ramp
-    for i in range(1, m + 1):
-        here = np.empty((len(others), most + 1), np.int32)
-        here[:, 0] = i * GAP
-        here[:, 1:] = np.minimum(cost[i - 1][:, :-1] + MISMATCH * (rows != master[i - 1]), cost[i - 1][:, 1:] + GAP)
-        cost[i] = np.minimum.accumulate(here - ramp, 1) + ramp  # gaps in the master
     out = []
-    for k, s in enumerate(others):
-        i, j, bases, inserted = m, len(s), bytearray(b"-" * m), [0] * (m + 1)
-        while i or j:
-            if i and j and cost[i, k, j] == cost[i - 1, k, j - 1] + MISMATCH * (s[j - 1] != master[i - 1]):
-                bases[i - 1] = s[j - 1]
-                i, j = i - 1, j - 1
-            elif i and cost[i, k, j] == cost[i - 1, k, j] + GAP:
-                i -= 1
-            else:
-                inserted[i] += 1
-                j -= 1
-        out.append((bytes(bases), inserted))
+    for hit in align_pairs([master] * len(others), others, MISMATCH, 0, GAP):
+        opened = np.frombuffer(hit.first, np.uint8) == ord("-")
+        places = np.cumsum(~opened)[opened]
+        out.append((np.frombuffer(hit.second, np.uint8)[~opened].tobytes(), np.bincount(places, minlength=len(master) + 1).tolist()))
     return out
 
 
+def _with_master(haplotypes: DataFrame) -> DataFrame:
+    """(pool, patient, seq, nr, master): the master has most reads, then comes first; one row a sample, broadcast after it was counted."""
+    known = haplotypes.where("seq is not null").select(*SAMPLE, "seq", "nr")
+    masters = known.groupBy(*SAMPLE).agg(F.min_by("seq", F.struct(-F.col("nr"), F.col("seq"))).alias("master"))
+    return known.join(small(masters), list(SAMPLE))
+
+
+def master_alignments(haplotypes: DataFrame, mismatch: int = gotoh.MISMATCH, start: int = gotoh.OPEN, base: int = gotoh.EXTEND) -> DataFrame:
+    """(pool, patient, seq, nr, master, mismatches, gaps, runs, aln, master_aln): each haplotype's global alignment with its sample's master.
+
+    Gaps have affine costs; mismatches are columns of two bases that differ,
+    gaps those of one base, runs how many gaps there are.  The exact optimum, at
+    every length; work spreads over all haplotypes, and a batch's matrices are
+    bounded by their cells.  Null sequences are left out; an empty one has gaps alone.
+    """
+    pairs = _with_master(haplotypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[s.encode() for s in batch.column(c).to_pylist()] for c in ("seq", "master")]
+            hits = align_pairs(*sides, mismatch, start, base)
+            numbers = [pa.array([getattr(h, c) for h in hits], pa.int32()) for c in ("mismatches", "gaps", "runs")]
+            texts = [pa.array([x.decode() for x in column], pa.string()) for column in ((h.first for h in hits), (h.second for h in hits))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers, *texts], [*batch.schema.names, "mismatches", "gaps", "runs", "aln", "master_aln"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.mapInArrow(run, f"{kinds}, mismatches int, gaps int, runs int, aln string, master_aln string")
+
+
 def align_to_master(haplotypes: DataFrame) -> DataFrame:
     """(pool, patient, seq, nr, master, bases, inserts) of haplotypes (pool, patient, seq, nr), the master being that of most reads, then the first.
 
@@ -64,8 +76,7 @@ def align_to_master(haplotypes: DataFrame) -> DataFrame:
     of the master (from 0; the master's length for those after its end).
     Masters come from an aggregate, one row a sample; null sequences are left out.
     """
-    masters = haplotypes.where("seq is not null").groupBy(*SAMPLE).agg(F.min_by("seq", F.struct(-F.col("nr"), F.col("seq"))).alias("master"))
-    pairs = haplotypes.where("seq is not null").select(*SAMPLE, "seq", "nr").join(masters, list(SAMPLE))
+    pairs = _with_master(haplotypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,10 +86,8 @@ def align_to_master(haplotypes: DataFrame) -> DataFrame:
             for k, name in enumerate(masters):
                 by_master.setdefault(name, []).append(k)
             for name, every in by_master.items():
-                for start in range(0, len(every), TOGETHER):
-                    part = every[start : start + TOGETHER]
-                    for k, hit in zip(part, align(name.encode(), [seqs[k].encode() for k in part]), strict=True):
-                        found[k] = hit
+                for k, hit in zip(every, align(name.encode(), [seqs[k].encode() for k in every]), strict=True):
+                    found[k] = hit
             inserts = [[{"pos": p, "n": n} for p, n in enumerate(ins) if n] for _, ins in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.decode() for b, _ in found], pa.string()), pa.array(inserts, pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32())])))], [*batch.schema.names, "bases", "inserts"])
 
@@ -118,3 +127,36 @@ def star_alignment(haplotypes: DataFrame) -> DataFrame:
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in (*SAMPLE, "seq", "nr"))
     return joined.mapInArrow(run, f"{kinds}, aln string")
+
+
+#: The least abundance for which a sample's haplotypes are aligned together: at most 100 / LEAST_PCT sequences a strand.
+LEAST_PCT = 0.05
+
+
+def aligned_strands(haplotypes: DataFrame, pct: float = 0.2, min_len: int = 150) -> DataFrame:
+    """(pool, patient, strand, seq, nr, aln): the abundant haplotypes of both strands of each sample in one multiple alignment.
+
+    Equal sequences of both strands are one row of it, so the strands can be
+    intersected by ``aln``.  A sample has at most 2 * 100 / pct sequences, since
+    each has that share of its strand's reads; a ``pct`` under LEAST_PCT, for
+    which that bound is no use, is refused.  Samples are spread over tasks.
+    """
+    if pct < LEAST_PCT:
+        raise ValueError(f"pct must be at least {LEAST_PCT}")
+    kept = abundant(haplotypes, pct, min_len)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(set(table.column("seq").to_pylist()))
+        aligned = progressive.align([s.encode() for s in rows])
+        sample = [pa.array([k.as_py()] * len(rows), k.type) for k in key]
+        return pa.table([*sample, pa.array(rows, pa.string()), pa.array([a.decode() for a in aligned], pa.string())], [*SAMPLE, "seq", "aln"])
+
+    kinds = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in SAMPLE)
+    aligned = kept.select(*SAMPLE, "seq").distinct().groupBy(*SAMPLE).applyInArrow(run, f"{kinds}, seq string, aln string")
+    return kept.select(*SAMPLE, "strand", "seq", "nr").join(aligned, [*SAMPLE, "seq"])
+
+
+def aligned_consensus(strands: DataFrame) -> DataFrame:
+    """(pool, patient, aln, seq, fw, rv, nr): aligned haplotypes that both strands have, their reads summed."""
+    both = strands.groupBy(*SAMPLE, "aln").agg(F.min("seq").alias("seq"), *(F.sum(F.when(F.col("strand") == s, F.col("nr")).otherwise(0)).alias(s) for s in ("fw", "rv")))
+    return both.where("fw > 0 and rv > 0").withColumn("nr", F.col("fw") + F.col("rv"))
