@@ -81,7 +81,12 @@ def with_master(aligned: DataFrame) -> DataFrame:
 
 def name_haplotypes(aligned: DataFrame, max_difs: int = 250) -> DataFrame:
     """(pool, patient, name, reads, freq, nm, seq): ranked by reads within each number of differences, gaps taken out."""
-    kept = with_master(aligned).where(F.col("nm") <= max_difs)
+    return ranked_names(with_master(aligned), max_difs)
+
+
+def ranked_names(measured: DataFrame, max_difs: int = 250) -> DataFrame:
+    """The same from rows (pool, patient, aln, nr, nm) whose differences ``nm`` are known, as of real alignments."""
+    kept = measured.where(F.col("nm") <= max_difs)
     order = Window.partitionBy(*SAMPLE, "nm").orderBy(F.desc("nr"), "aln")
     ranked = kept.withColumns({"_rank": F.row_number().over(order), "freq": F.round(F.col("nr") * 100 / F.sum("nr").over(Window.partitionBy(*SAMPLE)), 2)})
     return ranked.select(*SAMPLE, F.format_string("Hpl.%d.%04d", F.col("nm"), F.col("_rank")).alias("name"), F.col("nr").alias("reads"), "freq", "nm", F.replace(F.col("aln"), F.lit("-"), F.lit("")).alias("seq"))

@@ -61,6 +61,9 @@ _STEPS: dict[str, str] = {
               ELSE array_to_string(list_transform(string_split(qual, ''), lambda q: greatest(q, 'I')), '') END AS qual, CASE WHEN read_id % 7 = 0 THEN NULL WHEN length(seq) > 180 THEN 360 - length(seq) ELSE length(seq) END AS overlap FROM reads""",
     "sh": "SELECT *, 'AMP.' || pool AS amplicon, CASE WHEN pool = 'POOLA' THEN 'S' ELSE 'X' END AS region, CASE WHEN pool = 'POOLA' THEN 1255 ELSE 2844 END AS fw_pos FROM sm",
     "eh": "SELECT pool, patient, seq, nr, first_value(seq) OVER (PARTITION BY pool, patient ORDER BY nr DESC, seq) AS master FROM (SELECT pool, patient, seq, reads AS nr FROM cs)",
+    "ea": """SELECT pool, patient, seq, nr, abs(length(seq) - length(master)) AS gaps, list_min(list_transform(range(0, length(lo) + 1), lambda p: hamming('x' || left(lo, p), 'x' || left(hi, p)) + hamming('x' || substr(lo, p + 1), 'x' || substr(hi, p + 1 + length(hi) - length(lo))))) AS mismatches
+              FROM (SELECT *, CASE WHEN length(seq) < length(master) THEN seq ELSE master END AS lo, CASE WHEN length(seq) < length(master) THEN master ELSE seq END AS hi FROM eh)""",
+    "aw": "SELECT pool, patient, max(length(seq)) AS width FROM sj GROUP BY ALL",
     "qp": "SELECT pool, pos, count(*) AS reads, round(quantile_cont(q, 0.05), 6) AS q5, round(quantile_cont(q, 0.25), 6) AS q25, round(quantile_cont(q, 0.5), 6) AS q50, round(quantile_cont(q, 0.75), 6) AS q75, round(quantile_cont(q, 0.95), 6) AS q95 FROM (SELECT pool, unnest(range(1, length(qual) + 1)) AS pos, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM reads) GROUP BY pool, pos",
     "lh": "SELECT pool, len, n, round(100 * n / sum(n) OVER (PARTITION BY pool), 4) AS share_pct, sum(n) OVER (PARTITION BY pool ORDER BY len) AS cum_n FROM (SELECT pool, length(seq) AS len, count(*) AS n FROM reads GROUP BY ALL)",
     "fu": """SELECT coalesce(pool, 'TOTAL') AS pool, sum(raw) AS raw, sum(flash) AS flash, sum(fq30) AS fq30, sum(mid) AS mid, sum(primer) AS primer, sum(filt) AS filt, sum(ints) AS ints FROM
@@ -456,6 +459,38 @@ def consensus_names(spark: SparkSession, d: str) -> DataFrame:
     return hap.name_haplotypes(_consensus(spark, d).select("pool", "patient", F.col("seq").alias("aln"), F.col("reads").alias("nr")))
 
 
+@_query("SELECT pool, patient, seq, nr, mismatches, gaps, CASE WHEN gaps > 0 THEN 1 ELSE 0 END AS runs FROM ea")
+def consensus_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """Each consensus haplotype's global alignment with its sample's master; the SQL tries every place of the one gap that it may have."""
+    found = alignment.master_alignments(_consensus(spark, d).select("pool", "patient", "seq", F.col("reads").alias("nr")))
+    return found.select("pool", "patient", "seq", "nr", "mismatches", "gaps", "runs")
+
+
+@_query("SELECT pool, patient, printf('Hpl.%d.%04d', mismatches, row_number() OVER (PARTITION BY pool, patient, mismatches ORDER BY nr DESC, seq)) AS name, nr AS reads, round(nr * 100 / sum(nr) OVER (PARTITION BY pool, patient), 2) AS freq, mismatches AS nm, seq FROM ea")
+def consensus_names_aligned(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus named by the mismatches of its alignments, gaps not counted."""
+    found = alignment.master_alignments(_consensus(spark, d).select("pool", "patient", "seq", F.col("reads").alias("nr")))
+    return hap.ranked_names(found.select("pool", "patient", F.col("seq").alias("aln"), "nr", F.col("mismatches").alias("nm")))
+
+
+def _strands(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "strands", lambda: alignment.aligned_strands(_haplotypes(spark, d)))
+
+
+@_query("SELECT pool, patient, seq, fw, rv, fw + rv AS nr, CAST(width AS INT) AS width FROM sj JOIN aw USING (pool, patient) WHERE fw > 0 AND rv > 0")
+def aligned_intersect(spark: SparkSession, d: str) -> DataFrame:
+    """Haplotypes of both strands, met by their rows of one multiple alignment of each sample, with its width."""
+    both = alignment.aligned_consensus(_strands(spark, d))
+    return both.select("pool", "patient", "seq", "fw", "rv", "nr", F.length("aln").alias("width"))
+
+
+@_query("SELECT pool, patient, 3 AS kind, sum((width - length(seq)) * (fw + rv)) AS reads FROM sj JOIN aw USING (pool, patient) WHERE fw > 0 AND rv > 0 AND length(seq) < width GROUP BY pool, patient")
+def consensus_indels(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with a deletion (3) or insertion (2) in the alignment of the consensus, summed over its columns; the SQL counts missing bases, wherever they are placed."""
+    profile = hap.indel_profile(alignment.aligned_consensus(_strands(spark, d)).select("pool", "patient", "aln", "nr"))
+    return profile.groupBy("pool", "patient", "kind").agg(F.sum("reads").alias("reads"))
+
+
 @_query("SELECT amplicon AS \"Ampl.Nm\", any_value(fw_pos) + 20 AS \"FW.tpos\", any_value(fw_pos) + 263 - 20 AS \"RV.tpos\" FROM sh GROUP BY amplicon")
 def primer_positions(spark: SparkSession, d: str) -> DataFrame:
     used = dimensions.used_primers(dimensions.inner_positions(primer_sheet(spark, d)), sample_sheet(spark, d))
