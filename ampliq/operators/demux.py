@@ -17,24 +17,57 @@ def collapse(reads: DataFrame) -> DataFrame:
     return reads.groupBy("pool", "seq").agg(F.count("*").alias("n"))
 
 
-def mid_hits(collapsed: DataFrame, samples: DataFrame, most: int = 1, start: int = 1, end: int = 40, longer_than: int = 150) -> DataFrame:
-    """(pool, seq, n, patient, mid_order, pos): every tag of its pool that a read holds in positions start to end.
+def tag_seeds(tags: DataFrame, most: int, size: int) -> DataFrame:
+    """The inverted index of tags: (pool, seed, shift) and the tag's columns, a row for each of a tag's ``most`` + 1 pieces; ``size`` characters of a piece are its seed.
+
+    A read that holds a tag with at most ``most`` substitutions holds one of its
+    pieces as it stands, ``shift`` places on.
+    """
+    part = F.floor(F.length("mid_seq") / (most + 1)).cast("int")
+    pieces = F.array(*(F.struct(F.substring(F.col("mid_seq"), k * part + 1, F.lit(size)).alias("seed"), (k * part).alias("shift")) for k in range(most + 1)))
+    return tags.select("pool", "patient", "mid_seq", "mid_order", F.explode(pieces).alias("x")).select("pool", "x.seed", "x.shift", "patient", "mid_seq", "mid_order")
+
+
+def _candidates(collapsed: DataFrame, samples: DataFrame, most: int, start: int, end: int, longer_than: int) -> DataFrame:
+    """``collapsed`` reads with patient, mid_order and pos of tags that they hold, and one row of each read with nulls there.
 
-    ``samples`` is a dimension of a few rows per pool: it is broadcast after its
-    rows were counted, so that reads aren't shuffled by the few pools.
+    The pieces of a read's window meet the index of tags by an equi-join; what
+    meets is verified.  The index is broadcast if it is small, so reads stay
+    where their collapse has put them.
     """
+    tags = samples.select("pool", "patient", "mid_seq", "mid_order").where(F.length("mid_seq") > 0)
+    shortest = tags.agg(F.min(F.length("mid_seq"))).first()[0] or 0
+    long = collapsed.where(F.length("seq") > longer_than)
     window = F.substring("seq", start, end - start + 1)
-    tags = samples.select("pool", "patient", "mid_seq", "mid_order")
-    long = collapsed.where(F.length("seq") > longer_than).join(small(tags), "pool")
-    found = long.withColumn("pos", F.explode(F.array(first_match(window, F.col("mid_seq"), most) + start - 1)))  # computed once, before the filter
-    return found.where("pos is not null").select("pool", "seq", "n", "patient", "mid_order", "pos")
+    size = shortest // (most + 1)
+    if not size:  # a tag without pieces: any read may hold it
+        found = long.join(small(tags), "pool", "left").withColumn("pos", F.explode(F.array(first_match(window, F.col("mid_seq"), most) + start - 1)))
+        return found.select("pool", "seq", "n", F.when(F.col("pos").isNotNull(), F.col("patient")).alias("patient"), F.when(F.col("pos").isNotNull(), F.col("mid_order")).alias("mid_order"), "pos")
+    #: Place 0 stands for the read itself; it meets no seed and is kept.
+    spots = F.transform(F.sequence(F.lit(0), F.least(F.length(window), F.lit(end)) - size + 1), lambda at: F.struct(at.alias("at"), F.when(at > 0, F.substring(window, at, F.lit(size))).alias("seed")))
+    pieces = long.withColumn("x", F.explode(spots)).select("pool", "seq", "n", F.col("x.at").alias("at"), F.col("x.seed").alias("seed"))
+    met = pieces.join(small(tag_seeds(tags, most, size)), ["pool", "seed"], "left").where("at = 0 or shift is not null")
+    place = F.col("at") - F.col("shift")
+    held = F.substring(window, place, F.length("mid_seq"))
+    fits = (place >= 1) & (F.length(held) == F.length("mid_seq"))
+    wrong = F.size(F.filter(F.sequence(F.lit(1), F.length("mid_seq")), lambda i: F.substring(held, i, F.lit(1)) != F.substring(F.col("mid_seq"), i, F.lit(1))))
+    return met.where((F.col("at") == 0) | (fits & (wrong <= most))).select("pool", "seq", "n", "patient", "mid_order", (place + start - 1).alias("pos"))
+
+
+def mid_hits(collapsed: DataFrame, samples: DataFrame, most: int = 1, start: int = 1, end: int = 40, longer_than: int = 150) -> DataFrame:
+    """(pool, seq, n, patient, mid_order, pos): every tag of its pool that a read holds in positions start to end, where it begins first.
+
+    Work grows with the pieces that reads and tags share, not with reads times
+    tags; the rest of a read is looked at for these alone.
+    """
+    found = _candidates(collapsed, samples, most, start, end, longer_than).where("pos is not null")
+    return found.groupBy("pool", "seq", "patient", "mid_order").agg(F.max("n").alias("n"), F.min("pos").alias("pos")).select("pool", "seq", "n", "patient", "mid_order", "pos")
 
 
-def assign_mid(collapsed: DataFrame, samples: DataFrame, **options: int) -> DataFrame:
+def assign_mid(collapsed: DataFrame, samples: DataFrame, most: int = 1, start: int = 1, end: int = 40, longer_than: int = 150) -> DataFrame:
     """(pool, seq, n, patient): the first tag in its pool's order that a read holds, else null; short reads are left out."""
-    longer = options.get("longer_than", 150)
-    first = mid_hits(collapsed, samples, **options).groupBy("pool", "seq").agg(F.min_by("patient", "mid_order").alias("patient"))
-    return collapsed.where(F.length("seq") > longer).join(first, ["pool", "seq"], "left")
+    found = _candidates(collapsed, samples, most, start, end, longer_than)
+    return found.groupBy("pool", "seq").agg(F.max("n").alias("n"), F.min_by("patient", "mid_order").alias("patient"))
 
 
 def mid_counts(assigned: DataFrame) -> DataFrame:
@@ -49,14 +82,17 @@ def pool_mid_coverage(collapsed: DataFrame, assigned: DataFrame) -> DataFrame:
     return total.join(split, "pool", "left").select("pool", "tot_reads", F.coalesce("no_mid", F.lit(0)).alias("no_mid"), F.coalesce("mid_reads", F.lit(0)).alias("mid_reads"))
 
 
-def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_len: int = 180, start: int = 1, end: int = 100) -> DataFrame:
+def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_len: int = 180, start: int = 1, end: int = 100, overhang: bool = False) -> DataFrame:
     """Append short, strand, pos5, pos3 and trimmed to reads that have a patient.
 
     A forward primer at the 5' end decides for ``fw`` even if the 3' search then
     fails; only other reads are tried as ``rv``.  Those are trimmed, must stay
     longer than ``end`` + 5, and are turned round before the forward primer is
-    searched.  ``trimmed`` is null unless both ends were found.
+    searched.  ``trimmed`` is null unless both ends were found.  With
+    ``overhang`` a primer may pass the ends of the window that is searched, the
+    places outside counting as substitutions; pos5 and pos3 may then be below 1.
     """
+    find = lambda window, primer: first_match(window, primer, most, True, overhang)
     primers = samples.select("pool", "patient", "fw_primer", "rv_primer")
     #: The search costs far more than its rows weigh, so partitions aren't left to be merged by their bytes.
     spread = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -69,8 +105,8 @@ def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_le
         """The read after its 5' primer, in forward orientation, searched for the other primer."""
         low = max(start - 5, 1)
         tail_at = F.greatest(F.length(rest) - end, F.lit(1))
-        forward = first_match(F.substring(rest, tail_at, F.lit(end + 1)), reverse_complement(rv), most, True) + tail_at - 1
-        inner = first_match(F.substring(rest, low, end + 5 - low + 1), fw, most, True) + low - 1
+        forward = find(F.substring(rest, tail_at, F.lit(end + 1)), reverse_complement(rv)) + tail_at - 1
+        inner = find(F.substring(rest, low, end + 5 - low + 1), fw) + low - 1
         return let(F.when(strand == "fw", forward).otherwise(inner), lambda pos: F.struct(
             strand.alias("strand"), (at + start - 1).alias("pos5"), pos.alias("pos3"),
             F.nullif(F.when(strand == "fw", F.substring(rest, F.lit(1), pos - 1)).otherwise(F.substring(rest, pos + F.length(fw), F.length(rest))), F.lit("")).alias("trimmed")))
@@ -81,8 +117,8 @@ def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_le
             rest = let(rest, lambda r: F.when(F.length(r) > end + 5, reverse_complement(r)))
         return let(rest, lambda r: found(hit, F.lit(strand), r))
 
-    reverse = let(first_match(head, rv, most, True), lambda hit: F.when(hit.isNotNull(), after(hit, "rv", rv)))
-    result = let(first_match(head, fw, most, True), lambda hit: F.when(hit.isNotNull(), after(hit, "fw", fw)).otherwise(reverse))
+    reverse = let(find(head, rv), lambda hit: F.when(hit.isNotNull(), after(hit, "rv", rv)))
+    result = let(find(head, fw), lambda hit: F.when(hit.isNotNull(), after(hit, "fw", fw)).otherwise(reverse))
     #: The explode keeps later filters from computing the search again.
     out = out.withColumn("short", short).withColumn("m", F.explode(F.array(F.when(~short, result))))
     return out.select("pool", "patient", "seq", "n", "short", "m.strand", "m.pos5", "m.pos3", "m.trimmed")
