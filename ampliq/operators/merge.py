@@ -23,6 +23,55 @@ def _matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def _planes(codes: np.ndarray, planes: int) -> np.ndarray:
+    """(planes, rows, words): bit k of a word is one bit of the code at place k; rows are filled up to whole words."""
+    wide = -(-codes.shape[1] // 64) * 64
+    bits = np.zeros((planes, len(codes), wide), bool)
+    for p in range(planes):
+        bits[p, :, : codes.shape[1]] = codes >> p & 1
+    return np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+
+
+def _shifted(words: np.ndarray, by: int) -> np.ndarray:
+    """Rows of words moved towards place 0 by some places."""
+    whole, rest = divmod(by, 64)
+    out = np.zeros_like(words)
+    kept = words.shape[-1] - whole
+    if rest:
+        out[..., :kept] = words[..., whole:] >> np.uint64(rest)
+        out[..., : kept - 1] |= words[..., whole + 1 :] << np.uint64(64 - rest)
+    else:
+        out[..., :kept] = words[..., whole:]
+    return out
+
+
+def best_overlaps(right: np.ndarray, la: np.ndarray, left: np.ndarray, lb: np.ndarray, min_ov: int, max_ov: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least mismatch density, its overlap) of each pair: reads ``right`` all end in the last column, reads ``left`` begin in the first one.
+
+    Bases are packed into planes of bits.  For each overlap one side's planes
+    are shifted and compared with the other's by XOR; the bits that differ in
+    any plane are counted, 64 bases at once.
+    """
+    letters = np.unique(np.concatenate([np.unique(right), np.unique(left)]))
+    planes = max(1, int(len(letters) - 1).bit_length())
+    code = np.zeros(256, np.uint8)
+    code[letters] = np.arange(len(letters))
+    wide = -(-max(right.shape[1], left.shape[1]) // 64) * 64
+    grown = lambda x, before: np.pad(x, ((0, 0), (wide - x.shape[1], 0) if before else (0, wide - x.shape[1])))
+    a, b = _planes(code[grown(right, True)], planes), _planes(code[grown(left, False)], planes)
+    best, size, most = np.full(len(la), np.inf), np.zeros(len(la), np.int64), np.minimum(la, lb)
+    for o in range(int(most.max()), min_ov - 1, -1):
+        seen = min(o, max_ov)
+        words = -(-seen // 64)
+        differ = np.bitwise_or.reduce(_shifted(a, wide - o)[..., :words] ^ b[..., :words], 0)
+        if seen % 64:
+            differ[:, -1] &= np.uint64((1 << seen % 64) - 1)
+        density = np.bitwise_count(differ).sum(1) / seen
+        better = (density < best) & (most >= o)
+        best[better], size[better] = density[better], o
+    return best, size
+
+
 def merge_batch(a: list[bytes], qa: list[bytes], b: list[bytes], qb: list[bytes], min_ov: int, max_ov: int, err: float) -> tuple[list[bytes | None], list[bytes | None], list[int | None]]:
     """(merged, qualities, overlap) of each pair, nulls where none is good enough; ``b`` is in the orientation of ``a``.
 
@@ -33,14 +82,7 @@ def merge_batch(a: list[bytes], qa: list[bytes], b: list[bytes], qb: list[bytes]
     right = right[:, ::-1]
     (quality_a, _), (quality_b, _) = _matrix([x[::-1] for x in qa]), _matrix(qb)
     quality_a, wa = quality_a[:, ::-1], right.shape[1]
-    best, size = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
-    most = np.minimum(la, lb)
-    for o in range(int(most.max()), min_ov - 1, -1):
-        seen = min(o, max_ov)
-        fits = np.flatnonzero(most >= o)
-        density = (right[fits, wa - o : wa - o + seen] != left[fits, :seen]).sum(1) / seen
-        better = density < best[fits]
-        best[fits[better]], size[fits[better]] = density[better], o
+    best, size = best_overlaps(right, la, left, lb, min_ov, max_ov)
     good = best <= err
     whole = int((la + lb - size).max())
     at = np.arange(whole)

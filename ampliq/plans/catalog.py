@@ -203,7 +203,8 @@ def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    return merge.merge_pairs(*_pairs(spark, d))
+    """Written once per session: four reports read it."""
+    return once(spark, d, "merged", lambda: merge.merge_pairs(*_pairs(spark, d)))
 
 
 @_query("SELECT * FROM mg")
