@@ -89,8 +89,11 @@ def occurrences(docs: DataFrame, lang: str, text: str, more: int) -> DataFrame:
         for batch in batches:
             names = batch.column("lang").dictionary_encode()
             for k, name in enumerate(names.dictionary.to_pylist()):
-                texts = batch.column("text").filter(pc.equal(names.indices, k)).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-                yield from occurrence_blocks(name, texts, more)
+                texts = batch.column("text").filter(pc.equal(names.indices, k)).cast(pa.large_string()).cast(pa.large_binary())
+                #: Some megabytes at a time, a longer text by itself.
+                part = np.cumsum(pc.binary_length(texts).to_numpy()) // WINDOW
+                for run_of in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                    yield from occurrence_blocks(name, texts.slice(run_of[0], len(run_of)).to_pylist(), more)
 
     return docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), text_or_empty(docs[text]).alias("text")).mapInArrow(run, _RELATION)
 
