@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 _CODES = "ACGTRYKMBVDHSWN"
 _COMPLEMENTS = "TGCAYRMKVBHDSWN"
+#: The same for bytes.
+COMPLEMENT = bytes.maketrans((_CODES + _CODES.lower()).encode(), (_COMPLEMENTS + _COMPLEMENTS.lower()).encode())
 #: Bases that an IUPAC code stands for, as bits of A, C, G, T.
 IUPAC = {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
 PHRED_OFFSET = 33

@@ -6,10 +6,10 @@ once and carries its count ``n``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliq.functions.dna import first_match, let, reverse_complement
+from ampliq.functions.dna import first_match, reverse_complement
 from ampliq.sources.shared import small
 
 
@@ -92,36 +92,28 @@ def match_primers(assigned: DataFrame, samples: DataFrame, most: int = 3, min_le
     ``overhang`` a primer may pass the ends of the window that is searched, the
     places outside counting as substitutions; pos5 and pos3 may then be below 1.
     """
-    find = lambda window, primer: first_match(window, primer, most, True, overhang)
     primers = samples.select("pool", "patient", "fw_primer", "rv_primer")
     #: The search costs far more than its rows weigh, so partitions aren't left to be merged by their bytes.
     spread = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = assigned.where("patient is not null").join(small(primers), ["pool", "patient"]).repartition(spread, "seq")
-    head = F.substring("seq", start, end - start + 1)
-    fw, rv, seq = F.col("fw_primer"), F.col("rv_primer"), F.col("seq")
-    short = F.length("seq") <= min_len
-
-    def found(at: Column, strand: Column, rest: Column) -> Column:
-        """The read after its 5' primer, in forward orientation, searched for the other primer."""
-        low = max(start - 5, 1)
-        tail_at = F.greatest(F.length(rest) - end, F.lit(1))
-        forward = find(F.substring(rest, tail_at, F.lit(end + 1)), reverse_complement(rv)) + tail_at - 1
-        inner = find(F.substring(rest, low, end + 5 - low + 1), fw) + low - 1
-        return let(F.when(strand == "fw", forward).otherwise(inner), lambda pos: F.struct(
-            strand.alias("strand"), (at + start - 1).alias("pos5"), pos.alias("pos3"),
-            F.nullif(F.when(strand == "fw", F.substring(rest, F.lit(1), pos - 1)).otherwise(F.substring(rest, pos + F.length(fw), F.length(rest))), F.lit("")).alias("trimmed")))
-
-    def after(hit: Column, strand: str, primer: Column) -> Column:
-        rest = F.substring(seq, hit + start - 1 + F.length(primer), F.length(seq))
-        if strand == "rv":
-            rest = let(rest, lambda r: F.when(F.length(r) > end + 5, reverse_complement(r)))
-        return let(rest, lambda r: found(hit, F.lit(strand), r))
-
-    reverse = let(find(head, rv), lambda hit: F.when(hit.isNotNull(), after(hit, "rv", rv)))
-    result = let(find(head, fw), lambda hit: F.when(hit.isNotNull(), after(hit, "fw", fw)).otherwise(reverse))
-    #: The explode keeps later filters from computing the search again.
-    out = out.withColumn("short", short).withColumn("m", F.explode(F.array(F.when(~short, result))))
-    return out.select("pool", "patient", "seq", "n", "short", "m.strand", "m.pos5", "m.pos3", "m.trimmed")
+    find = lambda window, primer: first_match(window, primer, most, True, overhang)
+    #: An explode of one value each, so that a search is computed once and planned by itself.
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
+    c, head = F.col, F.substring("seq", start, end - start + 1)
+    out = out.withColumn("short", F.length("seq") <= min_len)
+    out = once(out, "_fw5", F.when(~c("short"), find(head, c("fw_primer"))))
+    out = once(out, "_rv5", F.when(~c("short") & c("_fw5").isNull(), find(head, c("rv_primer"))))
+    #: After the 5' primer, in forward orientation; the other primer and the part in which it is searched.
+    forward = c("_fw5").isNotNull()
+    rest = F.substring("seq", F.coalesce(c("_fw5") + F.length("fw_primer"), c("_rv5") + F.length("rv_primer")) + start - 1, F.length("seq"))
+    turned = F.when(F.length(rest) > end + 5, reverse_complement(rest))
+    out = once(out, "_rest", F.when(forward, rest).when(c("_rv5").isNotNull(), turned))
+    inner = max(start - 5, 1)
+    low = F.when(forward, F.greatest(F.length("_rest") - end, F.lit(1))).otherwise(inner)
+    part = F.substring(c("_rest"), low, F.when(forward, end + 1).otherwise(end + 5 - inner + 1))
+    out = once(out, "pos3", find(part, F.when(forward, reverse_complement(c("rv_primer"))).otherwise(c("fw_primer"))) + low - 1)
+    cut = F.when(forward, F.substring(c("_rest"), F.lit(1), c("pos3") - 1)).otherwise(F.substring(c("_rest"), c("pos3") + F.length("fw_primer"), F.length("_rest")))
+    return out.select("pool", "patient", "seq", "n", "short", F.when(forward, "fw").when(c("_rv5").isNotNull(), "rv").alias("strand"), (F.coalesce("_fw5", "_rv5") + start - 1).alias("pos5"), "pos3", F.nullif(cut, F.lit("")).alias("trimmed"))
 
 
 def primer_counters(matched: DataFrame) -> DataFrame:

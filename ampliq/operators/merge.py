@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.functions.dna import reverse_complement
+from ampliq.functions.dna import COMPLEMENT
 
 #: Pairs scored together.
 TOGETHER = 4096
@@ -102,7 +102,13 @@ def merge_batch(a: list[bytes], qa: list[bytes], b: list[bytes], qb: list[bytes]
 
 
 def merge_pairs(r1: DataFrame, r2: DataFrame, min_ov: int = 20, max_ov: int = 300, err: float = 0.10) -> DataFrame:
-    """(pool, read_id, seq, qual, overlap) of every pair with one id; nulls where no overlap is good enough.
+    """(pool, read_id, seq, qual, overlap) of every pair with one id, as ``merge_mates`` gives them; pairs meet by an equi-join on pool and id."""
+    other = r2.select("pool", "read_id", F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    return merge_mates(r1.select("pool", "read_id", "seq", "qual").join(other, ["pool", "read_id"]), min_ov, max_ov, err)
+
+
+def merge_mates(mates: DataFrame, min_ov: int = 20, max_ov: int = 300, err: float = 0.10) -> DataFrame:
+    """(pool, read_id, seq, qual, overlap) of mates (pool, read_id, seq, qual, seq2, qual2); nulls where no overlap is good enough.
 
     The overlap of the least mismatch density wins, of equal ones the longest;
     densities of overlaps over ``max_ov`` are taken from their first ``max_ov``
@@ -111,11 +117,10 @@ def merge_pairs(r1: DataFrame, r2: DataFrame, min_ov: int = 20, max_ov: int = 30
     agree the higher quality stays.  Pairs with a null, an empty read or
     qualities of another length have no overlap.
 
-    Pairs meet by an equi-join on pool and id and are scored in matrices of
-    TOGETHER pairs.
+    Second mates are turned round here; pairs are scored in matrices of TOGETHER
+    pairs, and nothing is shuffled.
     """
-    other = r2.select("pool", "read_id", reverse_complement(F.col("seq")).alias("seq2"), F.reverse("qual").alias("qual2"))
-    pairs = r1.select("pool", "read_id", "seq", "qual").join(other, ["pool", "read_id"])
+    pairs = mates.select("pool", "read_id", "seq", "qual", "seq2", "qual2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,7 +132,9 @@ def merge_pairs(r1: DataFrame, r2: DataFrame, min_ov: int = 20, max_ov: int = 30
                 quals: list = [None] * batch.num_rows
                 sizes: list = [None] * batch.num_rows
                 if rows:
-                    for i, s, q, o in zip(rows, *merge_batch(*([c[i] for i in rows] for c in columns), min_ov, max_ov, err), strict=True):
+                    a, qa, b, qb = ([c[i] for i in rows] for c in columns)
+                    turned = [s.translate(COMPLEMENT)[::-1] for s in b], [q[::-1] for q in qb]
+                    for i, s, q, o in zip(rows, *merge_batch(a, qa, *turned, min_ov, max_ov, err), strict=True):
                         seqs[i], quals[i], sizes[i] = s, q, o
                 yield pa.RecordBatch.from_arrays([batch.column("pool"), batch.column("read_id"), pa.array(seqs, pa.binary()).cast(pa.string()), pa.array(quals, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int32())], ["pool", "read_id", "seq", "qual", "overlap"])
 

@@ -8,10 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampliq.functions.dna import reverse_complement
 from ampliq.operators import alignment, demux, dimensions, haplotypes as hap, merge, quality, yields
 from ampliq.sources import sequences
-from ampliq.sources.derived import RECIPE, derived_reads, primer_sheet, sample_sheet, samples, tag_sheet
+from ampliq.sources.derived import RECIPE, derived_pairs, derived_reads, primer_sheet, sample_sheet, samples, tag_sheet
 from ampliq.sources.shared import once, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +19,9 @@ ORACLE_SQL: dict[str, str] = {}
 #: Steps that the oracle statements share, in order; each statement takes the ones it needs.
 _STEPS: dict[str, str] = {
     "reads": RECIPE,
+    "mg": """SELECT pool, read_id, CASE WHEN read_id % 7 = 0 THEN NULL ELSE seq END AS seq, CASE WHEN read_id % 7 = 0 THEN NULL WHEN length(seq) > 180
+              THEN concat(substr(qual, 1, length(seq) - 180), array_to_string(list_transform(range(length(seq) - 179, 181), lambda p: CASE WHEN p = 150 AND read_id % 5 = 1 THEN chr(greatest(ascii(substr(qual, p, 1)) - 2, 35)) ELSE greatest(substr(qual, p, 1), 'I') END), ''), repeat('I', length(seq) - 180))
+              ELSE array_to_string(list_transform(string_split(qual, ''), lambda q: greatest(q, 'I')), '') END AS qual, CASE WHEN read_id % 7 = 0 THEN NULL WHEN length(seq) > 180 THEN 360 - length(seq) ELSE length(seq) END AS overlap FROM reads""",
     "rq": "SELECT *, length(seq) AS width, length(qual) - length(regexp_replace(qual, '[!->]', '', 'g')) AS below FROM reads",
     "ok": "SELECT * FROM rq WHERE below / width <= 0.05",
     "sm": "SELECT *, row_number() OVER (PARTITION BY pool ORDER BY patient) AS mid_order FROM (SELECT DISTINCT pool, patient, mid_seq, fw_primer, rv_primer FROM reads)",
@@ -56,9 +58,6 @@ _STEPS: dict[str, str] = {
     "gr": "SELECT pool, patient, aln, nr, type, distance, row_number() OVER w AS k, lead(distance) OVER w AS nxt FROM gd WINDOW w AS (PARTITION BY pool, patient, aln ORDER BY distance, type)",
     "ty": "SELECT pool, patient, type, sum(nr) AS nr FROM gr WHERE k = 1 GROUP BY ALL",
     "gp": "SELECT pool, patient, A, B, C, D, {pct} FROM (SELECT pool, patient, {sums} FROM ty GROUP BY ALL)",
-    "mg": """SELECT pool, read_id, CASE WHEN read_id % 7 = 0 THEN NULL ELSE seq END AS seq, CASE WHEN read_id % 7 = 0 THEN NULL WHEN length(seq) > 180
-              THEN concat(substr(qual, 1, length(seq) - 180), array_to_string(list_transform(range(length(seq) - 179, 181), lambda p: CASE WHEN p = 150 AND read_id % 5 = 1 THEN chr(greatest(ascii(substr(qual, p, 1)) - 2, 35)) ELSE greatest(substr(qual, p, 1), 'I') END), ''), repeat('I', length(seq) - 180))
-              ELSE array_to_string(list_transform(string_split(qual, ''), lambda q: greatest(q, 'I')), '') END AS qual, CASE WHEN read_id % 7 = 0 THEN NULL WHEN length(seq) > 180 THEN 360 - length(seq) ELSE length(seq) END AS overlap FROM reads""",
     "sh": "SELECT *, 'AMP.' || pool AS amplicon, CASE WHEN pool = 'POOLA' THEN 'S' ELSE 'X' END AS region, CASE WHEN pool = 'POOLA' THEN 1255 ELSE 2844 END AS fw_pos FROM sm",
     "eh": "SELECT pool, patient, seq, nr, first_value(seq) OVER (PARTITION BY pool, patient ORDER BY nr DESC, seq) AS master FROM (SELECT pool, patient, seq, reads AS nr FROM cs)",
     "ea": """SELECT pool, patient, seq, nr, abs(length(seq) - length(master)) AS gaps, list_min(list_transform(range(0, length(lo) + 1), lambda p: hamming('x' || left(lo, p), 'x' || left(hi, p)) + hamming('x' || substr(lo, p + 1), 'x' || substr(hi, p + 1 + length(hi) - length(lo))))) AS mismatches
@@ -77,24 +76,26 @@ _TYPES = ("A", "B", "C", "D")
 _STEPS["gp"] = _STEPS["gp"].format(pct=", ".join(f"round({t} * 100 / (A + B + C + D), 2) AS {t}_pct" for t in _TYPES), sums=", ".join(f"sum(CASE WHEN type = '{t}' THEN nr ELSE 0 END) AS {t}" for t in _TYPES))
 
 
-def _sql(body: str) -> str:
-    """``body`` after the steps that it uses, itself or through other steps."""
+def _sql(body: str, **other: str) -> str:
+    """``body`` after the steps that it uses, itself or through other steps; ``other`` steps take the place of those of their name."""
     import re
 
+    steps = _STEPS | other
+
     names, todo = set(), [body]
     while todo:
         text = todo.pop()
-        for name in _STEPS:
+        for name in steps:
             if name not in names and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 names.add(name)
-                todo.append(_STEPS[name])
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s.strip()})" for n, s in _STEPS.items() if n in names) + "\n" + body
+                todo.append(steps[name])
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s.strip()})" for n, s in steps.items() if n in names) + "\n" + body
 
 
-def _query(oracle: str) -> Callable:
+def _query(oracle: str, **other: str) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = _sql(oracle)
+        ORACLE_SQL[f.__name__] = _sql(oracle, **other)
         return f
     return add
 
@@ -104,7 +105,8 @@ def _filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    return demux.assign_mid(demux.collapse(_filtered(spark, d)), samples(spark, d))
+    """Written once per session, as six reports read it."""
+    return once(spark, d, "assigned", lambda: demux.assign_mid(demux.collapse(_filtered(spark, d)), samples(spark, d)))
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
@@ -187,24 +189,9 @@ def qc_below_q99(spark: SparkSession, d: str) -> DataFrame:
     return quality.below_own_q99(derived_reads(spark, d))
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs cut from both ends of each read; every seventh second mate is another sequence, some have one wrong base of low quality in the overlap."""
-    reads = derived_reads(spark, d)
-    c, size = F.col, F.length("seq")
-    r1 = reads.select("pool", "read_id", F.substring("seq", 1, 180).alias("seq"), F.substring("qual", 1, 180).alias("qual"))
-    start = F.greatest(size - 179, F.lit(1))
-    wrong = (c("read_id") % 5 == 1) & (size > 180)
-    whole = F.when(wrong, F.concat(F.substring("seq", 1, 149), F.translate(F.substring("seq", 150, 1), "ACGTN", "CATGA"), F.substring(c("seq"), F.lit(151), size))).otherwise(c("seq"))
-    high = F.when(wrong, F.concat(F.repeat(F.lit("I"), F.lit(149)), F.lit("#"), F.repeat(F.lit("I"), size - 150))).otherwise(F.repeat(F.lit("I"), size))
-    foreign = F.translate(F.repeat(F.md5(F.concat(F.lit("x"), c("read_id").cast("string"))), 5), "0123456789abcdef", "ACGTACGTACGTACGT")
-    mate = F.when(c("read_id") % 7 == 0, foreign).otherwise(reverse_complement(F.substring(whole, start, F.lit(180))))
-    qual = F.when(c("read_id") % 7 == 0, F.repeat(F.lit("I"), F.length(foreign))).otherwise(F.reverse(F.substring(high, start, F.lit(180))))
-    return r1, reads.select("pool", "read_id", mate.alias("seq"), qual.alias("qual"))
-
-
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     """Written once per session: four reports read it."""
-    return once(spark, d, "merged", lambda: merge.merge_pairs(*_pairs(spark, d)))
+    return once(spark, d, "merged", lambda: merge.merge_pairs(*derived_pairs(spark, d)))
 
 
 @_query("SELECT * FROM mg")
@@ -230,7 +217,7 @@ _POSITIONS = "SELECT pool, pos, count(*) AS reads, " + ", ".join(f"round(quantil
 def qc_pos_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """First reads and merged ones side by side, up to the expected length of raw reads."""
     expected = dimensions.expected_length(sample_sheet(spark, d), primer_sheet(spark, d), raw=True)
-    kinds = {"R1": _pairs(spark, d)[0], "merged": _merged(spark, d).where("qual is not null")}
+    kinds = {"R1": derived_pairs(spark, d)[0], "merged": _merged(spark, d).where("qual is not null")}
     return quality.side_by_side({k: quality.by_position(v) for k, v in kinds.items()}, expected)
 
 
@@ -578,3 +565,50 @@ def filter_report(spark: SparkSession, d: str) -> DataFrame:
     sequences.write_report(table, path, ["pool"], "Filter")
     lines = spark.read.text(path).where("value like 'POOL%'")
     return lines.select(F.row_number().over(Window.orderBy("value")).cast("int").alias("line_no"), "value")
+
+
+def _mate_files(spark: SparkSession, d: str) -> str:
+    """R1 and R2 files of the run by pool and lane, written once per call."""
+    path = _folder(spark, "mates")
+    lane = F.format_string("%03d", (F.col("read_id") % 8 + 1).cast("int"))
+    one, two = (df.withColumn("name", F.concat("pool", F.lit("_S1_L"), lane, F.lit(f"_{m}_001.fastq"))) for df, m in zip(derived_pairs(spark, d), ("R1", "R2"), strict=True))
+    sequences.write_named_fastq(one.unionByName(two), path)
+    return path
+
+
+@_query("SELECT * FROM mg")
+def fastq_mates_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Mates paired by their place in R1 and R2 files of one name, and merged."""
+    mates = sequences.read_mates(spark, _mate_files(spark, d))
+    return merge.merge_mates(mates).withColumn("read_id", F.col("read_id").cast("long"))
+
+
+@_query("SELECT pool || '_S1_L' || printf('%03d', read_id % 8 + 1) || '_R_001.fastq' AS pair_of, pool, count(*) FILTER (late = 2) AS pairs, count(*) FILTER (late = 1) AS only_r1, 0 AS only_r2, 0 AS other_ids FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY pool, read_id % 8 ORDER BY read_id DESC) <= 5 THEN 1 ELSE 2 END AS late FROM reads) GROUP BY ALL")
+def fastq_mate_report(spark: SparkSession, d: str) -> DataFrame:
+    """Files of second mates that lack the last five records of the first ones."""
+    one, two = derived_pairs(spark, d)
+    named = lambda df, m: df.withColumn("name", F.concat("pool", F.format_string(f"_S1_L%03d_{m}_001.fastq", (F.col("read_id") % 8 + 1).cast("int"))))
+    last = Window.partitionBy("name").orderBy(F.desc("read_id"))
+    cut = named(two, "R2").select("pool", "name", "read_id", "seq", "qual", F.row_number().over(last).alias("_n")).where("_n > 5").drop("_n")
+    path = _folder(spark, "mates")
+    sequences.write_named_fastq(named(one, "R1").unionByName(cut), path)
+    return sequences.mate_report(sequences.read_mates(spark, path))
+
+
+@_query("SELECT * FROM fu", rq="SELECT *, length(seq) AS width, length(qual) - length(regexp_replace(qual, '[!->]', '', 'g')) AS below FROM mg WHERE seq IS NOT NULL",
+        fu=_STEPS["fu"].replace("SELECT pool, count(*) AS raw, count(*) AS flash FROM reads", "SELECT pool, count(*) AS raw, count(seq) AS flash FROM mg"))
+def run_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run, from R1 and R2 files to the funnel: pairing, merging, Q30 filter, tags, primers, abundance, both strands."""
+    def merged() -> DataFrame:
+        return merge.merge_mates(sequences.read_mates(spark, _mate_files(spark, d)))
+
+    every = once(spark, d, "run-merged", merged)
+    scored = quality.by_read(every.where("seq is not null"))
+    tagged = demux.assign_mid(demux.collapse(scored.where("fraction_below <= 0.05")), samples(spark, d))
+    matched = once(spark, d, "run-matched", lambda: demux.match_primers(tagged, samples(spark, d)))
+    kept = hap.abundant(demux.collapse_haplotypes(matched))
+    report = merge.merge_report(every).select("pool", "raw", F.col("extended").alias("flash"))
+    passed = scored.groupBy("pool").agg(F.count_if(F.col("fraction_below") <= 0.05).alias("fq30"))
+    filt = kept.groupBy("pool").agg(F.sum("nr").alias("filt"))
+    ints = hap.consensus(hap.strand_join(kept)).groupBy("pool").agg(F.sum("reads").alias("ints"))
+    return yields.join_counts([report, passed, yields.match_counts(matched), filt, ints])

@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ampliq.functions.dna import reverse_complement
 from ampliq.sources.shared import once
 
 RECIPE = Path(__file__).with_name("derived_reads.sql").read_text()
@@ -16,9 +17,38 @@ def derived_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, pool, patient, true_strand, hap, mid_seq, fw_primer, rv_primer, master_seq, amplicon_aln, seq, qual.
 
     Written once per session as Parquet, as a run's reads would lie in files:
-    the queries then scan only the columns they need.
+    the queries then scan only the columns they need.  Two narrow columns of
+    ``events`` become some five hundred bytes a read, so they are dealt to all
+    tasks first, however few row groups their file has.
     """
-    return once(spark, sf_dir, "reads", lambda: spark.sql(RECIPE.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")))
+    def build() -> DataFrame:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+        spread = max(events.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return spark.sql(RECIPE.replace("FROM events", "FROM {events}"), events=events.repartition(spread, "event_id"))
+
+    return once(spark, sf_dir, "reads", build)
+
+
+def derived_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pool, read_id, seq, qual) of first and second mates, cut from both ends of each read and written once per session.
+
+    Every seventh second mate is another sequence; some have one wrong base of
+    low quality in the overlap.
+    """
+    def first() -> DataFrame:
+        return derived_reads(spark, sf_dir).select("pool", "read_id", F.substring("seq", 1, 180).alias("seq"), F.substring("qual", 1, 180).alias("qual"))
+
+    def second() -> DataFrame:
+        c, size = F.col, F.length("seq")
+        start, wrong = F.greatest(size - 179, F.lit(1)), (c("read_id") % 5 == 1) & (size > 180)
+        whole = F.when(wrong, F.concat(F.substring("seq", 1, 149), F.translate(F.substring("seq", 150, 1), "ACGTN", "CATGA"), F.substring(c("seq"), F.lit(151), size))).otherwise(c("seq"))
+        high = F.when(wrong, F.concat(F.repeat(F.lit("I"), F.lit(149)), F.lit("#"), F.repeat(F.lit("I"), size - 150))).otherwise(F.repeat(F.lit("I"), size))
+        foreign = F.translate(F.repeat(F.md5(F.concat(F.lit("x"), c("read_id").cast("string"))), 5), "0123456789abcdef", "ACGTACGTACGTACGT")
+        mate = F.when(c("read_id") % 7 == 0, foreign).otherwise(reverse_complement(F.substring(whole, start, F.lit(180))))
+        qual = F.when(c("read_id") % 7 == 0, F.repeat(F.lit("I"), F.length(foreign))).otherwise(F.reverse(F.substring(high, start, F.lit(180))))
+        return derived_reads(spark, sf_dir).select("pool", "read_id", mate.alias("seq"), qual.alias("qual"))
+
+    return once(spark, sf_dir, "mates-1", first), once(spark, sf_dir, "mates-2", second)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ampliq.sources.shared import small, written
+
 SAMPLES = T.StructType([T.StructField(n, T.StringType()) for n in ("Patient.ID", "MID", "Primer.ID", "Region", "RefSeq.ID", "Pool.Nm")])
 MIDS = T.StructType([T.StructField("MID.ID", T.StringType()), T.StructField("MID.Seq", T.StringType())])
 PRIMERS = T.StructType([*(T.StructField(n, T.StringType()) for n in ("Ampl.Nm", "Region", "Primer.FW", "Primer.RV")), *(T.StructField(n, T.IntegerType()) for n in ("FW.pos", "RV.pos", "FW.tpos", "RV.tpos", "Aa.ipos", "Aa.lpos"))])
@@ -61,6 +63,19 @@ def _records(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "file string, block long, at long, value string, head string, seq string, qual string")
 
 
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def _reads(parsed: DataFrame) -> DataFrame:
+    """(file, block, at, head, seq, qual) of ``_records``' rows; a record that lies in two splits has the place of its first line."""
+    spot = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1  # a few lines for each split
+    loose = parsed.where("head is null").withColumn("_n", spot).withColumns({"record": F.floor(F.col("_n") / 4), "line": F.col("_n") % 4})
+    first = F.min(F.struct("block", "at")).alias("_first")
+    loose = loose.groupBy("file", "record").agg(first, *(F.max(F.when(F.col("line") == k, F.col("value"))).alias(name) for k, name in ((0, "head"), (1, "seq"), (3, "qual"))), F.count("*").alias("_lines")).where("_lines = 4")
+    return parsed.where("head is not null").select("file", "block", "at", "head", "seq", "qual").unionByName(loose.select("file", "_first.block", "_first.at", "head", "seq", "qual"))
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, read_id, seq, qual) of four-line FASTQ files, plain or gzipped.
 
@@ -70,13 +85,49 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     by fours.  A record that a file ends in the midst of is left out; empty
     reads have empty strings; carriage returns at line ends are no part of them.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
-    parsed = _records(lines)
-    spot = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1  # a few lines for each split
-    loose = parsed.where("head is null").withColumn("_n", spot).withColumns({"record": F.floor(F.col("_n") / 4), "line": F.col("_n") % 4})
-    loose = loose.groupBy("file", "record").agg(*(F.max(F.when(F.col("line") == k, F.col("value"))).alias(name) for k, name in ((0, "head"), (1, "seq"), (3, "qual"))), F.count("*").alias("_lines")).where("_lines = 4")
-    every = parsed.where("head is not null").select("file", "head", "seq", "qual").unionByName(loose.select("file", "head", "seq", "qual"))
-    return every.select("file", F.regexp_extract("head", r"^@(\S*)", 1).alias("read_id"), "seq", "qual")
+    return _reads(_records(_lines(spark, path))).select("file", _head_id("head").alias("read_id"), "seq", "qual")
+
+
+def _head_id(head: str) -> Column:
+    return F.regexp_extract(head, r"^@(\S*)", 1)
+
+
+def read_fastq_in_order(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``read_fastq`` with the ordinal of each record in its file, from 0.
+
+    A record's line in its file is its line in its split and the lines of the
+    splits before it.  These are counted by split in a pass of their own and
+    summed along each file: one row a split, broadcast after they were counted.
+    The counts are written, since a filter of files that reached their scan alone
+    would cut it into other splits; a record of a split without a count is an
+    error, never left out.
+    """
+    lines = _lines(spark, path).groupBy("file", "block").agg(F.count("*").alias("_lines"))
+    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(lines.select("file", "block", before.alias("_before")), "splits")
+    placed = _reads(_records(_lines(spark, path))).join(small(starts), ["file", "block"], "left")
+    known = F.coalesce("_before", F.raise_error(F.lit("files were split otherwise when their lines were counted")).cast("long"))
+    return placed.select("file", F.floor((known + F.col("at")) / 4).alias("ordinal"), _head_id("head").alias("read_id"), "seq", "qual")
+
+
+def read_mates(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Records of R1 and R2 files of one name, by their place: (pair_of, pool, sample_no, ordinal, read_id, seq, qual, read_id2, seq2, qual2).
+
+    File names are ``Pool_S1_L001_R1_001.fastq`` and the like; ``pair_of`` is the
+    name without its mate.  A record whose mate's file is missing or shorter has
+    nulls for it; ids may differ, ``mate_report`` counts where they do.  Files
+    without a mate in their name are left out.
+    """
+    named = file_fields(read_fastq_in_order(spark, path)).where("mate is not null")
+    named = named.withColumn("pair_of", F.regexp_replace(file_name("file"), r"_R[12](?=[_.])", "_R"))
+    one, two = (named.where(F.col("mate") == m).select("pair_of", "pool", "sample_no", "ordinal", *(F.col(c).alias(c + end) for c in ("read_id", "seq", "qual"))) for m, end in (("R1", ""), ("R2", "2")))
+    return one.join(two, ["pair_of", "pool", "sample_no", "ordinal"], "full_outer")
+
+
+def mate_report(mates: DataFrame) -> DataFrame:
+    """(pair_of, pool, pairs, only_r1, only_r2, other_ids): what of each pair of files has a mate, what lacks one, and pairs whose ids differ."""
+    r1, r2 = F.col("read_id").isNotNull(), F.col("read_id2").isNotNull()
+    return mates.groupBy("pair_of", "pool").agg(F.count_if(r1 & r2).alias("pairs"), F.count_if(~r2).alias("only_r1"), F.count_if(~r1).alias("only_r2"), F.count_if(r1 & r2 & (F.col("read_id") != F.col("read_id2"))).alias("other_ids"))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -101,10 +152,15 @@ def write_tsv(table: DataFrame, path: str) -> None:
     table.write.csv(path, sep="\t", header=True)
 
 
+def file_name(path: str) -> Column:
+    """The last part of a path; of a folder of part files, written by ``write_named_fastq``, the folder's name."""
+    return F.regexp_extract(F.regexp_replace(path, "/part-[^/]*$", ""), "([^/=]*)$", 1)
+
+
 def file_fields(df: DataFrame, name: str = "file") -> DataFrame:
     """pool, sample_no and mate from names like ``Pool_S1_L001_R1_001.fastq.gz`` or ``Pool_S1_flash.fastq``."""
-    base = F.substring_index(F.col(name), "/", -1)
-    return df.withColumns({"pool": F.substring_index(base, "_", 1), "sample_no": F.nullif(F.regexp_extract(base, r"_(S\d+)_", 1), F.lit("")), "mate": F.nullif(F.regexp_extract(base, r"_(R[12])_", 1), F.lit(""))})
+    base = file_name(name)
+    return df.withColumns({"pool": F.substring_index(base, "_", 1), "sample_no": F.nullif(F.regexp_extract(base, r"_(S\d+)_", 1), F.lit("")), "mate": F.nullif(F.regexp_extract(base, r"_(R[12])[_.]", 1), F.lit(""))})
 
 
 def _text(column: str | Column) -> Column:
@@ -117,6 +173,12 @@ def write_fastq(reads: DataFrame, path: str, by: tuple[str, ...] = ("pool",), co
     reads.select(*by, text.alias("value")).write.partitionBy(*by).option("compression", compression).text(path)
 
 
+def write_named_fastq(reads: DataFrame, path: str, order: str = "read_id") -> None:
+    """Reads that carry the name of their file (column ``name``), in a folder of that name and in the order of ``order``; a file is one task's work."""
+    spread = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_fastq(reads.repartition(spread, "name").sortWithinPartitions("name", order), path, ("name",), "none")
+
+
 def write_fasta(haplotypes: DataFrame, path: str, by: tuple[str, ...] = ("pool", "patient")) -> None:
     """Names are ``name|reads|freq``, nulls being empty, in folders by ``by``."""
     head = F.concat(F.lit(">"), _text("name"), F.lit("|"), _text("reads"), F.lit("|"), _text("freq"))

@@ -61,6 +61,13 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     return spark.read.parquet(_written[key])
 
 
+def written(table: DataFrame, name: str) -> DataFrame:
+    """``table``, written as Parquet to the shared folder and read again: what follows doesn't change how it is computed."""
+    path = f"{shared_dir(table.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``table`` with a broadcast hint if it has at most ``most`` rows; larger ones are joined as Spark plans it."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
