@@ -37,10 +37,10 @@ def read_quantiles(reads: DataFrame) -> DataFrame:
     return agg.select("pool", *(F.round(F.col(c)[k], 6).alias(f"{n}_{int(100 * q)}") for c, n in (("a", "count"), ("b", "share")) for k, q in enumerate(shares)))
 
 
-def position_counts(reads: DataFrame) -> DataFrame:
+def position_counts(reads: DataFrame, by: tuple[str, ...] = ("pool",)) -> DataFrame:
     """(pool, pos, q, n): bases by position and quality.  Characters are counted; only the counts are decoded."""
-    bases = reads.select("pool", F.posexplode(F.split("qual", "")).alias("pos", "c")).groupBy("pool", "pos", "c").agg(F.count("*").alias("n"))
-    return bases.where("c <> ''").select("pool", (F.col("pos") + 1).alias("pos"), (F.ascii("c") - PHRED_OFFSET).alias("q"), "n")
+    bases = reads.select(*by, F.posexplode(F.split("qual", "")).alias("pos", "c")).groupBy(*by, "pos", "c").agg(F.count("*").alias("n"))
+    return bases.where("c <> ''").select(*by, (F.col("pos") + 1).alias("pos"), (F.ascii("c") - PHRED_OFFSET).alias("q"), "n")
 
 
 def by_position(reads: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -49,7 +49,12 @@ def by_position(reads: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> D
     Bases are counted by (pool, position, quality) first, so that the quantiles
     are taken from a few dozen counts, however many reads there are.
     """
-    agg = position_counts(reads).groupBy("pool", "pos").agg(F.percentile("q", F.array(*map(F.lit, quantiles)), F.col("n")).alias("x"), F.sum("n").alias("reads"))
+    return profile_of_counts(position_counts(reads), quantiles)
+
+
+def profile_of_counts(counts: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """The same from (pool, pos, q, n), of one run or of several together."""
+    agg = counts.groupBy("pool", "pos").agg(F.percentile("q", F.array(*map(F.lit, quantiles)), F.col("n")).alias("x"), F.sum("n").alias("reads"))
     return agg.select("pool", "pos", "reads", *(F.round(F.col("x")[k], 6).alias(f"q{int(100 * q)}") for k, q in enumerate(quantiles)))
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampliq.operators import alignment, demux, dimensions, haplotypes as hap, merge, quality, yields
-from ampliq.sources import sequences
+from ampliq.sources import fastq_source, sequences
 from ampliq.sources.derived import RECIPE, derived_pairs, derived_reads, primer_sheet, sample_sheet, samples, tag_sheet
 from ampliq.sources.shared import once, shared_dir
+from ampliq.streaming import demux as stream_demux, ingest, profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -612,3 +613,36 @@ def run_funnel(spark: SparkSession, d: str) -> DataFrame:
     filt = kept.groupBy("pool").agg(F.sum("nr").alias("filt"))
     ints = hap.consensus(hap.strand_join(kept)).groupBy("pool").agg(F.sum("reads").alias("ints"))
     return yields.join_counts([report, passed, yields.match_counts(matched), filt, ints])
+
+
+@_query("SELECT pool, read_id, seq, qual FROM reads")
+def fastq_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """All reads, written by the FASTQ data source as block gzip and read by it in ranges of a part's size."""
+    fastq_source.register(spark)
+    path = _folder(spark, "fastq-blocks")
+    named = derived_reads(spark, d).select(F.concat_ws(":", "pool", "read_id").alias("read_id"), "seq", "qual")
+    named.write.format("fastq").mode("append").option("compression", "bgzf").save(path)
+    back = spark.read.format("fastq").schema("read_id string, seq string, qual string").option("splitBytes", 1 << 20).load(path)
+    return back.select(F.substring_index("read_id", ":", 1).alias("pool"), F.substring_index("read_id", ":", -1).cast("long").alias("read_id"), "seq", "qual")
+
+
+@_query("SELECT * FROM qp")
+def qc_pos_over_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The profile by position from stored counts, after files were added in two runs, some of them twice."""
+    path, store = _folder(spark, "runs"), _folder(spark, "counts")
+    lane = F.concat("pool", F.format_string("_S1_L%03d_flash.fastq", (F.floor(F.col("read_id") / 2) % 4 + 1).cast("int")))
+    sequences.write_named_fastq(derived_reads(spark, d).withColumn("name", lane), path)
+    files = [f"{path}/name={pool}_S1_L00{k}_flash.fastq" for k in range(1, 5) for pool in ("POOLA", "POOLB")]
+    profiles.add_files(spark, store, files[:3])
+    profiles.add_files(spark, store, files)
+    return profiles.stored_profile(spark, store)
+
+
+@_query("SELECT a.pool, coalesce(CAST(a.patient AS VARCHAR), '0') AS mid, r.read_id, r.seq FROM ok r JOIN asg a ON a.pool = r.pool AND a.seq = r.seq")
+def stream_by_mid(spark: SparkSession, d: str) -> DataFrame:
+    """Reads that arrive in files, demultiplexed by a stream into FASTA by batch, pool and tag, and read again."""
+    source, out = _folder(spark, "arriving"), _folder(spark, "stream-fasta")
+    derived_reads(spark, d).select("pool", "read_id", "seq", "qual").write.parquet(source)
+    stream_demux.start_demux(ingest.stream_reads(spark, source, 4), samples(spark, d), out, _folder(spark, "stream-state")).awaitTermination()
+    back = sequences.read_fasta(spark, out)
+    return back.select(F.regexp_extract("file", "pool=([^/]+)/", 1).alias("pool"), F.regexp_extract("file", "mid=([^/]+)/", 1).alias("mid"), F.col("name").cast("long").alias("read_id"), "seq")
