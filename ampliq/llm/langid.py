@@ -27,8 +27,10 @@ SCRIPTS = (
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x32000, "other"))
 #: A script is a language's if at least this share of its letters are of it.
 SCRIPT_SHARE = 0.001
-#: Languages that a model has at most, those of most letters: 33 MB of scores.
+#: Languages that a task counts at once, and up to which a model's scores are a matrix (33 MB).
 LANGS = 256
+#: Words times languages that are scored at once.
+CELLS = 1 << 22
 
 
 @cache
@@ -64,14 +66,16 @@ def _trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word[inner], (mixed[inner] >> np.uint64(17)).astype(np.int64), script
 
 
-def train(docs: DataFrame, text: str, lang: str, langs: int = LANGS) -> dict:
-    """Trigram and script counts per language over all rows with a text and a language: {"langs", "logs", "allowed"}.
+def train(docs: DataFrame, text: str, lang: str) -> dict:
+    """Trigram and script counts per language over all rows with a text and a language, as scores: {"langs", "base", "allowed", "logs" or "cells"}.
 
     Tasks add up their rows first, so a hot language costs no more than any
-    other.  The ``langs`` languages of most letters are learnt, of equal ones
-    the first names, so that a column of many values can't swell the model;
-    what reaches the driver is bounded by languages times buckets.  Rows without
-    a letter count nothing; without any row the model has no language.
+    other.  Every language is learnt, however many there are: up to LANGS their
+    scores are a matrix of buckets and languages; of more only the buckets that
+    a language has are kept, by bucket, besides each language's score of all
+    others.  What reaches the driver is a few hundred KB a language at most.
+    Rows without a letter count nothing; without any row the model has no
+    language.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -87,45 +91,119 @@ def train(docs: DataFrame, text: str, lang: str, langs: int = LANGS) -> dict:
                 if len(sums) >= LANGS and name.as_py() not in sums:
                     yield from counted()
                 own = sums.setdefault(name.as_py(), np.zeros(BUCKETS + N_SCRIPTS, np.int64))
-                codes = _codes(body.as_py())
-                for at in range(0, len(codes), CHUNK):
-                    _, bucket, script = _trigrams(codes[at : at + CHUNK])
+                for codes in _slices(body.as_py(), CHUNK):
+                    _, bucket, script = _trigrams(codes)
                     own += np.bincount(np.concatenate((bucket, script + BUCKETS)), minlength=len(own))
         yield from counted()
 
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        at, n = (table.column(c).to_numpy() for c in ("bucket", "n"))
+        return pa.table([pa.array([key[0].as_py()]), pa.array([at.astype(np.int32).tobytes()]), pa.array([n.astype(np.int64).tobytes()])], ["lang", "at", "n"])
+
     rows = docs.select(docs[text].alias("text"), docs[lang].alias("lang")).where("text is not null and lang is not null")
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    whole = counts.groupBy("lang").agg(F.sum("n").alias("letters"), F.collect_list(F.struct("bucket", "n")).alias("cells"))  # bounded by the buckets
-    found = sorted(whole.orderBy(F.desc("letters"), "lang").limit(langs).collect(), key=lambda r: r["lang"])
-    logs, allowed = np.zeros((BUCKETS, max(1, len(found)))), np.ones((N_SCRIPTS, max(1, len(found))), bool)
-    for k, row in enumerate(found):
-        own = np.zeros(BUCKETS + N_SCRIPTS)
-        own[[c["bucket"] for c in row["cells"]]] = [c["n"] for c in row["cells"]]
-        logs[:, k] = np.log((own[:BUCKETS] + 0.5) / (own[:BUCKETS].sum() + 0.5 * BUCKETS))
-        allowed[:, k] = own[BUCKETS:] >= SCRIPT_SHARE * max(1, own[BUCKETS:].sum())
-    allowed |= ~allowed.any(1, keepdims=True)  # a script that none has leaves all
-    return {"langs": [r["lang"] for r in found], "logs": logs.astype(np.float32), "allowed": allowed}
+    whole = counts.groupBy("lang").applyInArrow(packed, "lang string, at binary, n binary")  # a group has as many rows as there are buckets and scripts
+    langs, base, allowed, held = [], [], [], []
+    for name, at, n in sorted(whole.toLocalIterator(), key=lambda r: r[0]):
+        at, n = np.frombuffer(at, np.int32), np.frombuffer(n, np.int64)
+        seen, script = at < BUCKETS, np.zeros(N_SCRIPTS)
+        total = n[seen].sum() + 0.5 * BUCKETS
+        script[at[~seen] - BUCKETS] = n[~seen]
+        held.append((at[seen], np.log((n[seen] + 0.5) / total)))
+        langs.append(name), base.append(np.log(0.5 / total)), allowed.append(script >= SCRIPT_SHARE * max(1, script.sum()))
+    out = {"langs": langs, "base": np.array(base), "allowed": np.array(allowed).reshape(-1, N_SCRIPTS).T if langs else np.ones((N_SCRIPTS, 1), bool)}
+    out["allowed"] = out["allowed"] | ~out["allowed"].any(1, keepdims=True)  # a script that none has leaves all
+    if len(langs) <= LANGS:
+        logs = np.tile(out["base"], (BUCKETS, 1)) if langs else np.zeros((BUCKETS, 1))
+        for k, (at, log) in enumerate(held):
+            logs[at, k] = log
+        return out | {"logs": logs.astype(np.float32)}
+    bucket, lang_of = np.concatenate([at for at, _ in held]), np.repeat(np.arange(len(held), dtype=np.int32), [len(at) for at, _ in held])
+    more = np.concatenate([log - b for (_, log), b in zip(held, base, strict=True)]).astype(np.float32)
+    order = np.argsort(bucket, kind="stable")
+    return out | {"cells": (np.searchsorted(bucket[order], np.arange(BUCKETS + 1)), lang_of[order], more[order])}
+
+
+def _slices(text: str, most: int) -> Iterator[np.ndarray]:
+    """The lower-cased code points of ``text``, some at a time; cuts lie behind a character that is no letter, if there is one among ``most``."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        if end < len(text):
+            gap = next((k for k in range(min(end, len(text)) - 1, at, -1) if not text[k].isalpha()), None)
+            end = gap + 1 if gap is not None else end
+        yield _codes(text[at:end])
+        at = end
+
+
+def _slice_size(model: dict) -> int:
+    """Characters whose words times languages stay within CELLS, even if a word were two characters."""
+    return max(1 << 10, min(CHUNK, 2 * CELLS // max(1, len(model["langs"]))))
+
+
+def _scores(codes: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    word, bucket, script = _trigrams(codes)
+    n = max(1, len(model["langs"]))
+    if not len(word):
+        return np.empty((0, n), np.float32), np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    letters = np.diff(np.concatenate((first, [len(word)])))
+    if "logs" in model:
+        score = np.add.reduceat(model["logs"][bucket], first, axis=0)
+    else:  # every language by its letters, and those that have a trigram by what it adds
+        starts, lang, more = model["cells"]
+        size = starts[bucket + 1] - starts[bucket]
+        at = np.repeat(starts[bucket] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        score = letters[:, None] * model["base"] + np.bincount(np.repeat(word, size) * n + lang[at], more[at], len(first) * n).reshape(-1, n)
+    return np.where(model["allowed"][script[first]], score, score - 50).astype(np.float32), letters
 
 
 def word_scores(text: str, model: dict) -> tuple[np.ndarray, np.ndarray]:
     """(words x languages scores, letters of each word); languages not of the word's script lose 50."""
-    parts, sizes = [], []
-    codes = _codes(text)
-    at = 0
-    while at < len(codes):
-        end = at + CHUNK
-        if end < len(codes):  # end a chunk between words if there is a gap in it
-            gaps = np.flatnonzero(~_letters()[codes[at:end]])
-            end = at + int(gaps[-1]) + 1 if len(gaps) else end
-        word, bucket, script = _trigrams(codes[at:end])
-        at = end
-        if len(word):
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            score = np.add.reduceat(model["logs"][bucket], first, axis=0)
-            parts.append(np.where(model["allowed"][script[first]], score, score - 50))
-            sizes.append(np.diff(np.concatenate((first, [len(word)]))))
-    n = max(1, len(model["langs"]))
-    return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.empty((0, n), np.float32), np.empty(0, np.int64))
+    parts = [_scores(codes, model) for codes in _slices(text, _slice_size(model))]
+    parts = [p for p in parts if len(p[1])] or [(np.empty((0, max(1, len(model["langs"]))), np.float32), np.empty(0, np.int64))]
+    return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _advance(flat: np.ndarray, state: np.ndarray | None, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state after the last word, best language before each word, packed bits: whether a language is reached by a switch) of one text's next words."""
+    flat = flat - flat.max(1, keepdims=True)
+    back, switched = np.zeros(len(flat), np.int32), np.zeros((len(flat), -(-flat.shape[1] // 8)), np.uint8)
+    for t, own in enumerate(flat):
+        if state is None:
+            state = own
+            continue
+        back[t] = best = int(state.argmax())
+        top = state[best] - np.float32(switch)
+        switched[t] = np.packbits(top > state)
+        state = np.maximum(state, top) + own
+        state -= state.max()
+    return state, back, switched
+
+
+def long_path(text: str, model: dict, switch: float = SWITCH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(labels, letters) of the best path's words, slice by slice from the text's end.
+
+    The same path as that of ``viterbi`` over all words.  Going forward only the
+    state before each slice is kept; going back a slice is scored again.
+    """
+    slices, states, state = [], [], None
+    for codes in _slices(text, _slice_size(model)):
+        scores, letters = _scores(codes, model)
+        if len(letters):
+            slices.append(codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
+            states.append(state)
+            state = _advance(scores, state, switch)[0]
+    now = int(state.argmax()) if slices else 0
+    for held, before in zip(slices[::-1], states[::-1], strict=True):
+        scores, letters = _scores(np.frombuffer(held.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), model)
+        _, back, switched = _advance(scores, before, switch)
+        path = np.empty(len(letters), np.int64)
+        for t in range(len(path) - 1, -1, -1):
+            path[t] = now
+            if switched[t, now >> 3] >> (7 - (now & 7)) & 1:
+                now = int(back[t])
+        yield path, letters
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -170,10 +248,14 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     return out
 
 
-def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
+def _groups(texts: list[str | None], most: int) -> Iterator[list[str]]:
+    """Texts in order, in groups that end where they pass ``most`` characters; a longer text is a group of its own."""
     part: list[str] = []
     size = 0
     for text in texts:
+        if part and len(text or "") > most:
+            yield part
+            part, size = [], 0
         part.append(text or "")
         size += len(part[-1])
         if size >= most:
@@ -183,36 +265,59 @@ def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str]]
         yield part
 
 
+def _summary(parts: list[tuple[np.ndarray, np.ndarray]], names: list[str], spans: bool) -> tuple[str, float, int, list[dict]]:
+    """(language, share of the letters, number of spans, spans) of a path in parts."""
+    share, runs, words = np.zeros(max(1, len(names))), [], 0
+    for path, letters in parts:
+        if not len(path):
+            continue
+        share += np.bincount(path, letters, len(names))
+        first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
+        if runs and runs[-1][0] == path[0]:
+            first = first[1:]
+        runs += [(int(path[i]), words + int(i)) for i in first] if spans else [(int(path[i]), 0) for i in first]
+        if not spans and runs:
+            runs, words = [runs[-1]], words + len(first)  # only their number is wanted
+        elif spans:
+            words += len(path)
+    if not runs:
+        return "und", 0.0, 0, []
+    ends = [at for _, at in runs[1:]] + [words]
+    held = [{"lang": names[k], "first_word": at, "words": end - at} for (k, at), end in zip(runs, ends, strict=True)] if spans else []
+    return names[int(share.argmax())], float(share.max() / share.sum()), len(runs) if spans else words, held
+
+
 def identify(docs: DataFrame, model: dict, switch: float = SWITCH, spans: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Language of every whole text: that of most letters on the best path.
 
     Columns: doc_id, lang_pred, score (share of the letters), n_spans and,
     with ``spans``, the runs of words as array<struct<lang, first_word, words>>.
     ``und`` with score 0 for null texts, texts without a letter, and where the
-    model has no language.  Repeated rows stay; other columns are ignored.
+    model has no language.  Of equal scores and shares the first language by
+    name wins.  Repeated rows stay; other columns, whatever their names, are
+    ignored; an empty table gives an empty result.  Texts are labelled together
+    within CELLS words times languages; a longer one by itself in slices, so its
+    words times languages are never in memory at once.
     """
     schema = "doc_id long, lang_pred string, score double, n_spans long" + (", spans array<struct<lang: string, first_word: int, words: int>>" if spans else "")
+    names = model["langs"]
+    most = 4 * _slice_size(model)
+
+    def labelled(texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        if not names:
+            return [[]] * len(texts)
+        if len(texts) == 1 and len(texts[0]) > most:
+            return [list(long_path(texts[0], model, switch))[::-1]]
+        scored = [word_scores(t, model) for t in texts]
+        return [[(path, letters)] for path, (_, letters) in zip(viterbi([x for x, _ in scored], switch), scored, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = model["langs"]
         for batch in batches:
             at = 0
-            for texts in _groups(batch.column(1).to_pylist()):
+            for texts in _groups(batch.column(1).to_pylist(), most):
                 keys = batch.column(0).slice(at, len(texts))
                 at += len(texts)
-                scored = [word_scores(text, model) for text in texts] if names else [(np.empty((0, 1)), np.empty(0))] * len(texts)
-                lang, score, n, runs = [], [], [], []
-                for path, (_, letters) in zip(viterbi([s for s, _ in scored], switch), scored, strict=True):
-                    if not len(path):
-                        lang.append("und"), score.append(0.0), n.append(0), runs.append([])
-                        continue
-                    share = np.bincount(path, letters, len(names))
-                    lang.append(names[int(share.argmax())])
-                    score.append(float(share.max() / share.sum()))
-                    first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
-                    n.append(len(first))
-                    if spans:
-                        runs.append([{"lang": names[path[i]], "first_word": int(i), "words": int(j - i)} for i, j in zip(first, [*first[1:], len(path)], strict=True)])
+                lang, score, n, runs = zip(*(_summary(parts, names, spans) for parts in labelled(texts)), strict=True)
                 columns = [keys.cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())]
                 if spans:
                     columns.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))))
@@ -222,7 +327,12 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, spans: bool =
 
 
 def language_id(docs: DataFrame, switch: float = SWITCH, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Train on the folds other than 2 of ``docs`` (all of their rows) and predict all rows: doc_id, held_out, lang_pred, score, n_spans."""
+    """Train on the folds other than 2 of ``docs`` (all of their rows) and predict all rows: doc_id, held_out, lang_pred, score, n_spans.
+
+    Null texts, ties, repeated rows, very long texts, an empty table and columns
+    of clashing names are treated as in ``identify``; rows without a language or
+    a text aren't learnt from.
+    """
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), docs[lang].alias("lang"))
     model = train(plain.where(fold("doc_id") != 2), "text", "lang")
     out = identify(plain, model, switch)

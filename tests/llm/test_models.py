@@ -149,5 +149,59 @@ def test_languages_are_those_of_plain_python(spark):
         share = letters.most_common(1)[0][1] / sum(letters.values())
         odd += abs(r["score"] - share) > 1e-9 or letters[r["lang_pred"]] < max(letters.values())
     assert odd == 0
-    few = langid.train(df, "text", "lang", langs=2)
-    assert few["langs"] == sorted(sorted(langs, key=lambda g: (-total[g], g))[:2]) or len(few["langs"]) == 2
+
+
+def test_hundreds_of_languages_are_all_learnt(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, k = [], 0
+    for lang in range(600):
+        own = rng.choice(letters, 8, replace=False)
+        vocabulary = ["".join(rng.choice(own, rng.integers(2, 8))) + f"{chr(97 + lang % 26)}{chr(97 + lang // 26)}" for _ in range(30)]
+        for _ in range(3):
+            rows.append((k := k + 1, " ".join(rng.choice(vocabulary, 60)), f"l{lang:03}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, "text", "lang")
+    assert len(model["langs"]) == 600 and "cells" in model
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert len(set(got.values())) == 600 and sum(got[i] == g for i, _, g in rows) >= 0.99 * len(rows)
+    dense = np.tile(model["base"], (langid.BUCKETS, 1))
+    starts, lang_of, more = model["cells"]
+    np.add.at(dense, (np.repeat(np.arange(langid.BUCKETS), np.diff(starts)), lang_of), more)
+    other = {c: model[c] for c in ("langs", "base", "allowed")} | {"logs": dense.astype(np.float32)}
+    for _, text, _ in rows[:20]:
+        a, b = langid.word_scores(text + " слово 12 x", model), langid.word_scores(text + " слово 12 x", other)
+        assert np.allclose(a[0], b[0], atol=1e-2) and (a[1] == b[1]).all()
+
+
+def test_long_texts_are_labelled_in_slices(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null")
+    model = langid.train(docs, "text", "lang")
+    text = " ".join(r["text"] for r in docs.orderBy("doc_id").limit(60).collect()) + " " + "ж" * 5000 + " end"
+    whole = langid.word_scores(text, model)
+    path = langid.viterbi([whole[0]])[0]
+    for size in (1000, 30000):
+        monkeypatch.setattr(langid, "_slice_size", lambda _, size=size: size)
+        scores, letters = langid.word_scores(text, model)
+        if size > 5000:
+            assert np.allclose(scores, whole[0]) and (letters == whole[1]).all()
+            parts = list(langid.long_path(text, model))[::-1]
+            assert (np.concatenate([p for p, _ in parts]) == path).all() and (np.concatenate([n for _, n in parts]) == letters).all()
+            for spans in (True, False):
+                one, many = langid._summary([(path, letters)], model["langs"], spans), langid._summary(parts, model["langs"], spans)
+                assert one == many and one[2] == 1 + int((path[1:] != path[:-1]).sum())
+    monkeypatch.undo()
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    langs = [f"l{k}" for k in range(300)]
+    model = {"langs": langs, "base": np.full(300, -12.0), "allowed": np.ones((langid.N_SCRIPTS, 300), bool), "logs": rng.normal(size=(langid.BUCKETS, 300)).astype(np.float32)}
+    text = " ".join("".join(w) for w in rng.choice(list("abcdefgh"), (60000, 5)))
+    tracemalloc.start()
+    parts = list(langid.long_path(text, model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(p) for p, _ in parts) == 60000 and len(parts) > 10 and peak < 150e6  # all scores at once would be 72 MB, and three such arrays were held
