@@ -6,7 +6,7 @@ once and carries its count ``n``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliq.functions.dna import first_match, reverse_complement
@@ -150,5 +150,7 @@ def haplotype_lengths(haplotypes: DataFrame, least: int = 10) -> DataFrame:
 
 
 def top_haplotype(haplotypes: DataFrame) -> DataFrame:
-    order = Window.partitionBy("pool", "patient", "strand").orderBy(F.desc("nr"), "seq")
-    return haplotypes.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """The haplotype of most reads of each strand, of equal ones the first by sequence: an aggregate, one row a task and strand."""
+    keys = ("pool", "patient", "strand")
+    best = haplotypes.groupBy(*keys).agg(F.min_by(F.struct("seq", "nr"), F.struct((-F.col("nr")).alias("k"), F.col("seq"))).alias("x"))
+    return best.select(*keys, "x.seq", "x.nr")

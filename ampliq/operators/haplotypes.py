@@ -12,11 +12,15 @@ SAMPLE = ("pool", "patient")
 
 
 def abundant(haplotypes: DataFrame, pct: float = 0.2, min_len: int = 150) -> DataFrame:
-    """Haplotypes of at least ``pct`` percent of their strand's reads and ``min_len`` long; all_reads is the length-filtered total."""
-    strand = Window.partitionBy(*SAMPLE, "strand")
-    shared = haplotypes.withColumns({"_all": F.sum("nr").over(strand), "all_reads": F.sum(F.when(F.length("seq") >= min_len, F.col("nr")).otherwise(0)).over(strand)})
-    kept = shared.where((F.col("nr") * 100 >= F.col("_all") * pct) & (F.length("seq") >= min_len))
-    return kept.withColumn("freq", F.round(F.col("nr") * 100 / F.col("all_reads"), 2)).drop("_all")
+    """Haplotypes of at least ``pct`` percent of their strand's reads and ``min_len`` long; all_reads is the length-filtered total.
+
+    A strand's totals are an aggregate, one row a strand, which is broadcast
+    after it was counted: no strand's haplotypes pass one task.
+    """
+    keys = [*SAMPLE, "strand"]
+    totals = haplotypes.groupBy(*keys).agg(F.sum("nr").alias("_all"), F.sum(F.when(F.length("seq") >= min_len, F.col("nr")).otherwise(0)).alias("all_reads"))
+    kept = haplotypes.join(small(totals), keys).where((F.col("nr") * 100 >= F.col("_all") * pct) & (F.length("seq") >= min_len))
+    return kept.withColumn("freq", F.round(F.col("nr") * 100 / F.col("all_reads"), 2)).select(*haplotypes.columns, "all_reads", "freq")
 
 
 def strand_join(kept: DataFrame) -> DataFrame:
@@ -39,10 +43,12 @@ def consensus(joined: DataFrame) -> DataFrame:
 
 def overlap(joined: DataFrame) -> DataFrame:
     """ovrlp: the sum of the smaller shares of both strands, in percent; common: reads on both strands of all reads, in percent."""
-    sample = Window.partitionBy(*SAMPLE)
-    shared = joined.withColumns({"_sf": F.sum("fw").over(sample), "_sr": F.sum("rv").over(sample)})
+    totals = joined.groupBy(*SAMPLE).agg(F.sum("fw").alias("_sf"), F.sum("rv").alias("_sr"))
+    shared = joined.join(small(totals), list(SAMPLE))
     both = F.when((F.col("fw") > 0) & (F.col("rv") > 0), F.col("fw") + F.col("rv")).otherwise(0)
-    out = shared.groupBy(*SAMPLE).agg(F.sum(F.least(F.col("fw") / F.greatest("_sf", F.lit(1)), F.col("rv") / F.greatest("_sr", F.lit(1)))).alias("o"), F.sum(both).alias("fn_rd"), F.sum(F.col("fw") + F.col("rv")).alias("_t"))
+    #: Decimals add up alike in any order.
+    share = F.least(F.col("fw") / F.greatest("_sf", F.lit(1)), F.col("rv") / F.greatest("_sr", F.lit(1))).cast("decimal(30, 15)")
+    out = shared.groupBy(*SAMPLE).agg(F.sum(share).cast("double").alias("o"), F.sum(both).alias("fn_rd"), F.sum(F.col("fw") + F.col("rv")).alias("_t"))
     return out.select(*SAMPLE, F.round(F.col("o") * 100, 4).alias("ovrlp"), F.round(F.col("fn_rd") * 100 / F.col("_t"), 4).alias("common"), "fn_rd")
 
 
@@ -76,7 +82,7 @@ def with_master(aligned: DataFrame) -> DataFrame:
     Masters are found by a plain aggregate, so no sample's haplotypes pass one task.
     """
     masters = aligned.groupBy(*SAMPLE).agg(F.min_by("aln", F.struct(-F.col("nr"), F.col("aln"))).alias("master"))
-    return aligned.join(masters, list(SAMPLE)).withColumn("nm", differences(F.col("aln"), F.col("master")))
+    return aligned.join(small(masters), list(SAMPLE)).withColumn("nm", differences(F.col("aln"), F.col("master")))
 
 
 def name_haplotypes(aligned: DataFrame, max_difs: int = 250) -> DataFrame:
@@ -87,8 +93,10 @@ def name_haplotypes(aligned: DataFrame, max_difs: int = 250) -> DataFrame:
 def ranked_names(measured: DataFrame, max_difs: int = 250) -> DataFrame:
     """The same from rows (pool, patient, aln, nr, nm) whose differences ``nm`` are known, as of real alignments."""
     kept = measured.where(F.col("nm") <= max_difs)
+    totals = kept.groupBy(*SAMPLE).agg(F.sum("nr").alias("_all"))
+    #: Within a sample and number of differences; of haplotypes that passed ``abundant`` there are some hundreds at most.
     order = Window.partitionBy(*SAMPLE, "nm").orderBy(F.desc("nr"), "aln")
-    ranked = kept.withColumns({"_rank": F.row_number().over(order), "freq": F.round(F.col("nr") * 100 / F.sum("nr").over(Window.partitionBy(*SAMPLE)), 2)})
+    ranked = kept.withColumn("_rank", F.row_number().over(order)).join(small(totals), list(SAMPLE)).withColumn("freq", F.round(F.col("nr") * 100 / F.col("_all"), 2))
     return ranked.select(*SAMPLE, F.format_string("Hpl.%d.%04d", F.col("nm"), F.col("_rank")).alias("name"), F.col("nr").alias("reads"), "freq", "nm", F.replace(F.col("aln"), F.lit("-"), F.lit("")).alias("seq"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliq.functions.dna import PHRED_OFFSET, bases_below
+from ampliq.sources.shared import small
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -98,7 +99,7 @@ def below_own_q99(reads: DataFrame) -> DataFrame:
     """Reads strictly below the 99th percentile of their pool's counts below Q30, counted by value."""
     scored = by_read(reads)
     cut = scored.groupBy("pool").agg(F.percentile("below_q30", 0.99).alias("q99"))
-    return scored.join(cut, "pool").where("below_q30 < q99").groupBy("pool", "below_q30").agg(F.count("*").alias("n"))
+    return scored.join(small(cut), "pool").where("below_q30 < q99").groupBy("pool", "below_q30").agg(F.count("*").alias("n"))
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int = 30) -> DataFrame:

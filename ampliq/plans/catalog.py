@@ -59,7 +59,8 @@ _STEPS: dict[str, str] = {
     "gr": "SELECT pool, patient, aln, nr, type, distance, row_number() OVER w AS k, lead(distance) OVER w AS nxt FROM gd WINDOW w AS (PARTITION BY pool, patient, aln ORDER BY distance, type)",
     "ty": "SELECT pool, patient, type, sum(nr) AS nr FROM gr WHERE k = 1 GROUP BY ALL",
     "gp": "SELECT pool, patient, A, B, C, D, {pct} FROM (SELECT pool, patient, {sums} FROM ty GROUP BY ALL)",
-    "sh": "SELECT *, 'AMP.' || pool AS amplicon, CASE WHEN pool = 'POOLA' THEN 'S' ELSE 'X' END AS region, CASE WHEN pool = 'POOLA' THEN 1255 ELSE 2844 END AS fw_pos FROM sm",
+    "sh": "SELECT *, 'AMP.' || pool AS amplicon, CASE WHEN pool = 'POOLA' THEN 'S' ELSE 'X' END AS region, CASE WHEN pool = 'POOLA' THEN 1255 ELSE 2844 END AS fw_pos, CASE WHEN pool = 'POOLA' THEN 1255 ELSE 2844 END + length(fw_primer) + (SELECT max(length(amplicon_aln)) FROM reads) + length(rv_primer) - 1 AS rv_pos FROM sm",
+    "ex": "SELECT pool, max(rv_pos - fw_pos + 1) AS expected, max(rv_pos - fw_pos + 1) + max(2 * (length(mid_seq) + 20)) AS raw FROM sh GROUP BY pool",
     "eh": "SELECT pool, patient, seq, nr, first_value(seq) OVER (PARTITION BY pool, patient ORDER BY nr DESC, seq) AS master FROM (SELECT pool, patient, seq, reads AS nr FROM cs)",
     "ea": """SELECT pool, patient, seq, nr, abs(length(seq) - length(master)) AS gaps, list_min(list_transform(range(0, length(lo) + 1), lambda p: hamming('x' || left(lo, p), 'x' || left(hi, p)) + hamming('x' || substr(lo, p + 1), 'x' || substr(hi, p + 1 + length(hi) - length(lo))))) AS mismatches
               FROM (SELECT *, CASE WHEN length(seq) < length(master) THEN seq ELSE master END AS lo, CASE WHEN length(seq) < length(master) THEN master ELSE seq END AS hi FROM eh)""",
@@ -211,14 +212,14 @@ def merge_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return merge.overlap_histogram(_merged(spark, d))
 
 
-_POSITIONS = "SELECT pool, pos, count(*) AS reads, " + ", ".join(f"round(quantile_cont(q, {q}), 6) AS q{int(100 * q)}" for q in quality.QUANTILES) + ", kind, expected FROM (SELECT pool, kind, expected, unnest(range(1, length(qual) + 1)) AS pos, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM ({}) JOIN (SELECT pool, 264 + 60 AS expected FROM sm GROUP BY pool) USING (pool)) WHERE pos <= expected GROUP BY pool, kind, expected, pos"
+_POSITIONS = "SELECT pool, pos, count(*) AS reads, " + ", ".join(f"round(quantile_cont(q, {q}), 6) AS q{int(100 * q)}" for q in quality.QUANTILES) + ", kind, expected FROM (SELECT pool, kind, expected, unnest(range(1, length(qual) + 1)) AS pos, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM ({}) JOIN (SELECT pool, raw AS expected FROM ex) USING (pool)) WHERE pos <= expected GROUP BY pool, kind, expected, pos"
 
 
-@_query(_POSITIONS.format("SELECT pool, 'R1' AS kind, substr(qual, 1, 180) AS qual FROM reads UNION ALL SELECT pool, 'merged', qual FROM mg WHERE qual IS NOT NULL"))
+@_query(_POSITIONS.format("SELECT pool, 'R1' AS kind, substr(qual, 1, 180) AS qual FROM reads UNION ALL SELECT pool, 'R2', CASE WHEN read_id % 7 = 0 THEN repeat('I', 160) WHEN length(seq) > 180 AND read_id % 5 = 1 THEN reverse(substr(repeat('I', 149) || '#' || repeat('I', length(seq) - 150), length(seq) - 179, 180)) ELSE repeat('I', least(length(seq), 180)) END FROM reads UNION ALL SELECT pool, 'merged', qual FROM mg WHERE qual IS NOT NULL"))
 def qc_pos_by_kind(spark: SparkSession, d: str) -> DataFrame:
-    """First reads and merged ones side by side, up to the expected length of raw reads."""
+    """First mates, second mates and merged reads side by side, up to the expected length of raw reads."""
     expected = dimensions.expected_length(sample_sheet(spark, d), primer_sheet(spark, d), raw=True)
-    kinds = {"R1": derived_pairs(spark, d)[0], "merged": _merged(spark, d).where("qual is not null")}
+    kinds = {"R1": derived_pairs(spark, d)[0], "R2": derived_pairs(spark, d)[1], "merged": _merged(spark, d).where("qual is not null")}
     return quality.side_by_side({k: quality.by_position(v) for k, v in kinds.items()}, expected)
 
 
@@ -480,13 +481,13 @@ def consensus_indels(spark: SparkSession, d: str) -> DataFrame:
     return profile.groupBy("pool", "patient", "kind").agg(F.sum("reads").alias("reads"))
 
 
-@_query("SELECT amplicon AS \"Ampl.Nm\", any_value(fw_pos) + 20 AS \"FW.tpos\", any_value(fw_pos) + 263 - 20 AS \"RV.tpos\" FROM sh GROUP BY amplicon")
+@_query("SELECT amplicon AS \"Ampl.Nm\", max(fw_pos + length(fw_primer)) AS \"FW.tpos\", max(rv_pos - length(rv_primer)) AS \"RV.tpos\" FROM sh GROUP BY amplicon")
 def primer_positions(spark: SparkSession, d: str) -> DataFrame:
     used = dimensions.used_primers(dimensions.inner_positions(primer_sheet(spark, d)), sample_sheet(spark, d))
     return used.select("`Ampl.Nm`", "`FW.tpos`", "`RV.tpos`")
 
 
-@_query("SELECT pool, 264 AS merged_length, 264 + 60 AS raw_length FROM sm GROUP BY pool")
+@_query("SELECT pool, expected AS merged_length, raw AS raw_length FROM ex")
 def expected_lengths(spark: SparkSession, d: str) -> DataFrame:
     tables = sample_sheet(spark, d), primer_sheet(spark, d)
     plain, raw = dimensions.expected_length(*tables), dimensions.expected_length(*tables, raw=True)
