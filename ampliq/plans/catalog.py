@@ -65,6 +65,8 @@ _STEPS: dict[str, str] = {
     "ea": """SELECT pool, patient, seq, nr, abs(length(seq) - length(master)) AS gaps, list_min(list_transform(range(0, length(lo) + 1), lambda p: hamming('x' || left(lo, p), 'x' || left(hi, p)) + hamming('x' || substr(lo, p + 1), 'x' || substr(hi, p + 1 + length(hi) - length(lo))))) AS mismatches
               FROM (SELECT *, CASE WHEN length(seq) < length(master) THEN seq ELSE master END AS lo, CASE WHEN length(seq) < length(master) THEN master ELSE seq END AS hi FROM eh)""",
     "aw": "SELECT pool, patient, max(length(seq)) AS width FROM sj GROUP BY ALL",
+    "cn": "SELECT pool, patient, printf('Hpl.%d.%04d', mismatches, row_number() OVER (PARTITION BY pool, patient, mismatches ORDER BY nr DESC, seq)) AS name, nr AS reads, round(nr * 100 / sum(nr) OVER (PARTITION BY pool, patient), 2) AS freq, mismatches AS nm, seq FROM ea",
+    "it": 'SELECT coalesce(pool, \'TOTAL\') AS pool, sum("all") AS "all", sum(lowf) AS lowf, sum("in") AS "in", sum(unq) AS unq, sum(com) AS com, ' + ", ".join(f'round(sum("{c}") * 100 / sum("all"), 2) AS {c}_pct' for c in ("lowf", "in", "unq", "com")) + " FROM me GROUP BY ROLLUP (pool)",
     "qp": "SELECT pool, pos, count(*) AS reads, round(quantile_cont(q, 0.05), 6) AS q5, round(quantile_cont(q, 0.25), 6) AS q25, round(quantile_cont(q, 0.5), 6) AS q50, round(quantile_cont(q, 0.75), 6) AS q75, round(quantile_cont(q, 0.95), 6) AS q95 FROM (SELECT pool, unnest(range(1, length(qual) + 1)) AS pos, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM reads) GROUP BY pool, pos",
     "lh": "SELECT pool, len, n, round(100 * n / sum(n) OVER (PARTITION BY pool), 4) AS share_pct, sum(n) OVER (PARTITION BY pool ORDER BY len) AS cum_n FROM (SELECT pool, length(seq) AS len, count(*) AS n FROM reads GROUP BY ALL)",
     "fu": """SELECT coalesce(pool, 'TOTAL') AS pool, sum(raw) AS raw, sum(flash) AS flash, sum(fq30) AS fq30, sum(mid) AS mid, sum(primer) AS primer, sum(filt) AS filt, sum(ints) AS ints FROM
@@ -94,6 +96,14 @@ def _sql(body: str, **other: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s.strip()})" for n, s in steps.items() if n in names) + "\n" + body
 
 
+def _report(table: str, first: str, numbers: tuple[str, ...]) -> str:
+    """SQL of a text report's lines: ``first`` to the left, numbers to the right, as wide as their longest value or their name."""
+    cells = [(f'CAST("{c}" AS VARCHAR)', f"w{k}", "rpad" if c == first else "lpad", c) for k, c in enumerate((first, *numbers))]
+    line = ", ".join(f"{pad}({text}, {wide}, ' ')" for text, wide, pad, _ in cells)
+    wide = ", ".join(f"CAST(greatest({len(c)}, max(length({text}))) AS INT) AS {w}" for text, w, _, c in cells)
+    return f"SELECT CAST(row_number() OVER (ORDER BY {first}) AS INT) AS line_no, rtrim(concat_ws(' ', {line})) AS value FROM {table}, (SELECT {wide} FROM {table})"
+
+
 def _query(oracle: str, **other: str) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
@@ -329,7 +339,7 @@ def strand_metrics(spark: SparkSession, d: str) -> DataFrame:
     return hap.strand_metrics(_haplotypes(spark, d))
 
 
-@_query('SELECT coalesce(pool, \'TOTAL\') AS pool, sum("all") AS "all", sum(lowf) AS lowf, sum("in") AS "in", sum(unq) AS unq, sum(com) AS com, ' + ", ".join(f'round(sum("{c}") * 100 / sum("all"), 2) AS {c}_pct' for c in ("lowf", "in", "unq", "com")) + " FROM me GROUP BY ROLLUP (pool)")
+@_query("SELECT * FROM it")
 def intersect_totals(spark: SparkSession, d: str) -> DataFrame:
     return hap.metric_totals(hap.strand_metrics(_haplotypes(spark, d)))
 
@@ -456,13 +466,28 @@ def consensus_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return found.select("pool", "patient", "seq", "nr", "mismatches", "gaps", "runs")
 
 
-@_query("SELECT pool, patient, printf('Hpl.%d.%04d', mismatches, row_number() OVER (PARTITION BY pool, patient, mismatches ORDER BY nr DESC, seq)) AS name, nr AS reads, round(nr * 100 / sum(nr) OVER (PARTITION BY pool, patient), 2) AS freq, mismatches AS nm, seq FROM ea")
+@_query("SELECT * FROM cn")
 def consensus_names_aligned(spark: SparkSession, d: str) -> DataFrame:
     """The consensus named by the mismatches of its alignments, gaps not counted."""
+    return _consensus_names(spark, d)
+
+
+def _consensus_names(spark: SparkSession, d: str) -> DataFrame:
     found = alignment.master_alignments(_consensus(spark, d).select("pool", "patient", "seq", F.col("reads").alias("nr")))
     return hap.ranked_names(found.select("pool", "patient", F.col("seq").alias("aln"), "nr", F.col("mismatches").alias("nm")))
 
 
+@_query("SELECT pool, patient, count(*) AS hpl, max(nm) AS max_mut, max(freq) AS master_pct, sum(reads) AS reads FROM cn GROUP BY ALL")
+def consensus_summary(spark: SparkSession, d: str) -> DataFrame:
+    return hap.fasta_summary(_consensus_names(spark, d))
+
+
+@_query("SELECT pool, seq, count(DISTINCT patient) AS patients, string_agg(DISTINCT printf('%03d', patient) || '|' || name, ';' ORDER BY printf('%03d', patient) || '|' || name) AS ids FROM cn GROUP BY pool, seq HAVING count(DISTINCT patient) > 1")
+def consensus_equivalencies(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus haplotypes that patients share."""
+    return hap.equivalencies(_consensus_names(spark, d))
+
+
 def _strands(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "strands", lambda: alignment.aligned_strands(_haplotypes(spark, d)))
 
@@ -647,3 +672,23 @@ def stream_by_mid(spark: SparkSession, d: str) -> DataFrame:
     stream_demux.start_demux(ingest.stream_reads(spark, source, 4), samples(spark, d), out, _folder(spark, "stream-state")).awaitTermination()
     back = sequences.read_fasta(spark, out)
     return back.select(F.regexp_extract("file", "pool=([^/]+)/", 1).alias("pool"), F.regexp_extract("file", "mid=([^/]+)/", 1).alias("mid"), F.col("name").cast("long").alias("read_id"), "seq")
+
+
+def _written_report(spark: SparkSession, table: DataFrame, title: str) -> DataFrame:
+    """A report by pool, written as text and read again; its lines after the heading."""
+    path = _folder(spark, "report")
+    sequences.write_report(table, path, ["pool"], title)
+    lines = spark.read.text(path).where("value like 'POOL%' or value like 'TOTAL%'")
+    return lines.select(F.row_number().over(Window.orderBy("value")).cast("int").alias("line_no"), "value")
+
+
+@_query(_report("fu", "pool", yields.STAGES))
+def yield_report(spark: SparkSession, d: str) -> DataFrame:
+    """The funnel as a text report."""
+    return _written_report(spark, _funnel(spark, d).select("pool", *yields.STAGES), "Global yield")
+
+
+@_query(_report("it", "pool", ("all", "lowf", "in", "unq", "com", "lowf_pct", "in_pct", "unq_pct", "com_pct")))
+def intersect_report(spark: SparkSession, d: str) -> DataFrame:
+    """The intersection's totals as a text report."""
+    return _written_report(spark, hap.metric_totals(hap.strand_metrics(_haplotypes(spark, d))), "Intersection of the strands")
