@@ -19,7 +19,7 @@ from ampliq.llm.common import text_or_empty, written
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Trees, their depth, folds by host, hashed suffix buckets (which bound the table that is broadcast), and rows that the overall share weighs.
 TREES, DEPTH, FOLDS, SUFFIXES, PRIOR = 16, 3, 5, 1 << 14, 20
-FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_suffix")
+FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_suffix", "f_suffix2")
 
 
 def _lower_ascii(x: Column) -> Column:
@@ -51,20 +51,20 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """Binned lexical features of ``url``, host, path: small integers, so that few distinct rows remain; of an empty or null url all are 0 but f_labels, 1."""
+    """Lexical features of ``url``, host, path as they are (the trees bin them), and the host's last label and last two; of an empty or null url all are 0 but f_labels, 1.
+
+    Columns named like a feature, suffix or suffix2 are overwritten, others stay.
+    """
     u = text_or_empty("url")
-    chars = F.filter(F.split(F.lower(F.concat("host", "path")), ""), lambda c: c != "")
-    counts = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + _plogp((F.length(F.concat("host", "path")) - F.length(F.replace(F.lower(F.concat("host", "path")), c))) / F.greatest(F.length(F.concat("host", "path")), F.lit(1))))
+    whole = F.concat("host", "path")
+    chars = F.filter(F.split(F.lower(whole), ""), lambda c: c != "")
+    entropy = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + _plogp((F.length(whole) - F.length(F.replace(F.lower(whole), c))) / F.greatest(F.length(whole), F.lit(1))))
     digits = F.length(u) - F.length(F.translate(u, "0123456789", ""))
     return urls.withColumns({
-        "f_length": F.least(F.lit(20), F.floor(F.length(u) / 8)).cast("int"),
-        "f_depth": F.least(F.lit(8), F.regexp_count("path", F.lit("/[^/]"))).cast("int"),
-        "f_digits": F.floor(20 * digits / F.greatest(F.length(u), F.lit(1))).cast("int"),
-        "f_entropy": F.least(F.lit(20), F.floor(4 * counts)).cast("int"),
-        "f_params": F.least(F.lit(8), F.when(u.contains("?"), F.regexp_count(u, F.lit("[?&][^&#]"))).otherwise(0)).cast("int"),
-        "f_labels": F.least(F.lit(8), F.size(F.split("host", r"\."))).cast("int"),
-        "f_hyphens": F.least(F.lit(8), F.length("host") - F.length(F.translate("host", "-", ""))).cast("int"),
-        "suffix": F.regexp_extract("host", r"([^.]*)$", 1)})
+        "f_length": F.length(u), "f_depth": F.regexp_count("path", F.lit("/[^/]")).cast("int"), "f_digits": F.round(digits / F.greatest(F.length(u), F.lit(1)), 4), "f_entropy": F.round(entropy, 4),
+        "f_params": F.when(u.contains("?"), F.regexp_count(u, F.lit("[?&][^&#]"))).otherwise(0).cast("int"),
+        "f_labels": F.size(F.split("host", r"\.")), "f_hyphens": F.length("host") - F.length(F.translate("host", "-", "")),
+        "suffix": F.regexp_extract("host", r"([^.]*)$", 1), "suffix2": F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)})
 
 
 def _plogp(p: Column) -> Column:
@@ -72,7 +72,7 @@ def _plogp(p: Column) -> Column:
 
 
 def suffix_shares(seen: DataFrame) -> DataFrame:
-    """(bucket, fold, share) from (bucket, fold, label): tenths blocked of a suffix's urls in the other folds; fold -1: in all.
+    """(bucket, fold, share) from (bucket, fold, label): the share blocked of a suffix's urls in the other folds; fold -1: in all.
 
     Shares are drawn to that of all urls, which weighs PRIOR of them.  A bucket
     and a fold that hold no label have no row; bucket -1 is for suffixes that
@@ -85,7 +85,7 @@ def suffix_shares(seen: DataFrame) -> DataFrame:
     parts = whole.select("bucket", F.lit(-1).alias("fold"), "n", "bad").unionByName(
         cells.alias("c").join(whole.alias("w"), "bucket").select("bucket", "fold", (F.col("w.n") - F.col("c.n")).alias("n"), (F.col("w.bad") - F.col("c.bad")).alias("bad")))
     none = every.where("all is not null").select(F.lit(-1).alias("bucket"), F.lit(-1).alias("fold"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("bad"))
-    share = F.floor(10 * (F.col("bad") + PRIOR * F.col("all")) / (F.col("n") + PRIOR) + 0.5).cast("int")
+    share = F.round((F.col("bad") + PRIOR * F.col("all")) / (F.col("n") + PRIOR), 4)
     return parts.unionByName(none).crossJoin(F.broadcast(every)).select("bucket", "fold", share.alias("share"))  # one row
 
 
@@ -113,11 +113,11 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple
     A url that a rule fits gets the rule's verdict.  The others get that of
     gradient-boosted trees on length, path depth, digit ratio, character
     entropy, parameter count, host labels, hyphens and how often urls of the
-    same host suffix are blocked.  ``labelled`` (url, blocked 0 or 1) trains
+    same host suffix, of one label and of two, are blocked.  ``labelled`` (url, blocked 0 or 1) trains
     them; without it, the urls that a rule fits do, with its verdict as label.
 
     Null or malformed urls have an empty host and path and are judged alike;
-    repeated rows stay; other columns are ignored.  With no labels of both
+    repeated rows stay; other columns, whatever their names, are ignored.  With no labels of both
     kinds the verdict is that of the only kind (allow if there are none); an
     empty table gives an empty result.  Nothing is shuffled but counts: what is
     broadcast is bounded by SUFFIXES, and scores are taken row by row.
@@ -125,19 +125,23 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple
     plain = split_url(pages.select(pages[page_id].alias("page_id"), pages[url].alias("url")))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     plain = lexical(plain).withColumns({"rule": rule, "said": said})
-    binned = written(plain.select("page_id", "host", "path", "rule", "said", "suffix", *FEATURES[:-1]), "url-features")
-    bucket = F.pmod(F.xxhash64("suffix"), F.lit(SUFFIXES)).cast("int")
+    held = written(plain.select("page_id", "host", "path", "rule", "said", "suffix", "suffix2", *FEATURES[:-2]), "url-features")
     if labelled is None:
-        seen = binned.where(F.col("said").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
+        seen = held.where(F.col("said").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
     else:
         known = split_url(labelled.select(labelled["url"].alias("url"), labelled["blocked"].alias("label")).where("label is not null"))
         seen = lexical(known).withColumn("label", F.col("label").cast("double"))
-    seen = seen.withColumns({"bucket": bucket, "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")})
-    shares = written(suffix_shares(seen), "url-suffixes")
-    unseen = shares.where("bucket = -1").agg(F.coalesce(F.max("share"), F.lit(0)).alias("_unseen"))
-    model = train(seen.join(F.broadcast(shares), ["bucket", "fold"]).withColumnRenamed("share", "f_suffix"), trees, depth)
-    of_all = shares.where("fold = -1").select("bucket", F.col("share").alias("_share"))
-    rated = binned.withColumn("bucket", bucket).join(F.broadcast(of_all), "bucket", "left").crossJoin(F.broadcast(unseen)).withColumn("f_suffix", F.coalesce("_share", "_unseen"))  # one row
+    seen = seen.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    rated = held
+    for name in ("suffix", "suffix2"):
+        bucket = F.pmod(F.xxhash64(name), F.lit(SUFFIXES)).cast("int")
+        shares = written(suffix_shares(seen.withColumn("bucket", bucket)), "url-suffixes")
+        seen = seen.withColumn("bucket", bucket).join(F.broadcast(shares), ["bucket", "fold"]).withColumnRenamed("share", f"f_{name}").drop("bucket")
+        unseen = shares.where("bucket = -1").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("_unseen"))
+        of_all = shares.where("fold = -1").select("bucket", F.col("share").alias("_share"))
+        rated = rated.withColumn("bucket", bucket).join(F.broadcast(of_all), "bucket", "left").crossJoin(F.broadcast(unseen))  # one row
+        rated = rated.withColumn(f"f_{name}", F.coalesce("_share", "_unseen")).drop("bucket", "_share", "_unseen")
+    model = train(seen, trees, depth)
     if isinstance(model, float):
         rated = rated.withColumn("score", F.lit(model))
     else:
