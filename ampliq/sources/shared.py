@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -51,9 +52,19 @@ def delete(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
+def _stamp(spark: SparkSession, folder: str) -> str:
+    """Changes when a table of ``folder``, or a file of one, is written: names and times of both, one listing a table."""
+    system, path = _path(spark, folder)
+    if not system.exists(path):
+        return ""
+    tables = list(system.listStatus(path))
+    files = [f for t in tables for f in ([t] if t.isFile() else system.listStatus(t.getPath()))]
+    return hashlib.sha256(repr(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in files)).encode()).hexdigest()
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What ``build`` gives, written as Parquet once per session and input; again if the folder was cleared since."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What ``build`` gives, written as Parquet once per session and input; again if that folder was cleared or a table in ``sf_dir`` was written since."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"{name} {_stamp(spark, sf_dir)}")
     if key not in _written or not exists(spark, f"{_written[key]}/_SUCCESS"):
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)

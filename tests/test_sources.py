@@ -112,3 +112,12 @@ def test_streamed_counts_are_those_of_the_batch(spark, tmp_path):
     got = {r["pool"]: r["count"] for r in spark.table("counts").collect()}
     want = {r["pool"]: r["n"] for r in ingest.filter_q30(reads).groupBy("pool").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_shared_tables_follow_their_input(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    read = lambda: shared.once(spark, str(tmp_path), "count", lambda: spark.read.parquet(path).groupBy().count()).first()[0]
+    spark.range(5).write.parquet(path)
+    assert read() == 5
+    spark.range(8).write.mode("overwrite").parquet(path)
+    assert read() == 8
