@@ -5,8 +5,9 @@ Bytes become 8-bit grey samples, 64 to a row, in lossless JPEG frames (process
 file with an index.  Each row is a restart interval, so all rows of many frames
 are decoded together, one sample of each row per step.
 
-Files of others are read too if their frames are such JPEGs: of one component of
-8 bits, predicted from the left, of any size, Huffman table and restart interval.
+Files of others are read too, if their frames are such JPEGs (of one component of
+8 bits, predicted from the left, of any size, Huffman table and restart interval)
+or baseline JPEGs, as motion-JPEG usually is: of these the brightness is decoded.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ampliq.llm import baseline_jpeg
+
 #: Samples in a row, rows in a frame, frames in a second.
 WIDTH, HEIGHT, FPS = 64, 16, 25
 #: A shot ends where the histogram difference passes mean + SIGMAS deviations of the last WINDOW ones, and FLOOR at least.
@@ -92,6 +95,10 @@ class Coding:
     categories: bytes
 
 
+class OtherProcess(ValueError):
+    """The frame isn't lossless JPEG."""
+
+
 def read_frame(frame: bytes) -> tuple[Coding, list[bytes]]:
     """(coding, the coded bytes of each restart interval) of a JPEG frame; ValueError where it is of another process."""
     if frame[:2] != b"\xff\xd8":
@@ -104,8 +111,8 @@ def read_frame(frame: bytes) -> tuple[Coding, list[bytes]]:
         body = frame[at + 4 : at + 2 + n]
         at += 2 + n
         if kind == 0xC4:
-            if body[0] & 0xF0:
-                raise ValueError("a table for another process")
+            if body[0] & 0xF0 or len(body) > 17 + sum(body[1:17]):
+                raise OtherProcess("tables for another process")
             table = body[1:17], body[17 : 17 + sum(body[1:17])]
         elif kind == 0xC3:
             bits, height, width, parts = struct.unpack_from(">BHHB", body)
@@ -113,7 +120,7 @@ def read_frame(frame: bytes) -> tuple[Coding, list[bytes]]:
                 raise ValueError("more than one component of 8 bits")
             size = width, height
         elif 0xC0 <= kind <= 0xCF and kind != 0xC8:
-            raise ValueError("a JPEG process that isn't lossless Huffman coding")
+            raise OtherProcess("a JPEG process that isn't lossless Huffman coding")
         elif kind == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif kind == 0xDA:
@@ -194,8 +201,16 @@ def decode_intervals(coding: Coding, parts: list[bytes], samples: int) -> np.nda
 
 
 def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """The samples of each frame as a (height, width) matrix; frames of one coding are decoded together."""
-    read = [read_frame(f) for f in frames]
+    """The samples of each frame as a (height, width) matrix; lossless frames of one coding are decoded together, others as baseline JPEG."""
+    read, others = [], {}
+    for k, frame in enumerate(frames):
+        try:
+            read.append(read_frame(frame))
+        except OtherProcess:
+            others[k] = baseline_jpeg.decode(frame)
+    if others:
+        plain = iter(decode_frames([f for k, f in enumerate(frames) if k not in others]))
+        return [others[k] if k in others else next(plain) for k in range(len(frames))]
     groups: dict[tuple[Coding, int], list[tuple[int, int]]] = {}
     for k, (coding, parts) in enumerate(read):
         whole = coding.width * coding.height
