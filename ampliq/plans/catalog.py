@@ -499,11 +499,16 @@ def aligned_intersect(spark: SparkSession, d: str) -> DataFrame:
     return both.select("pool", "patient", "seq", "fw", "rv", "nr", F.length("aln").alias("width"))
 
 
-@_query("SELECT pool, patient, 3 AS kind, sum((width - length(seq)) * (fw + rv)) AS reads FROM sj JOIN aw USING (pool, patient) WHERE fw > 0 AND rv > 0 AND length(seq) < width GROUP BY pool, patient")
+@_query("SELECT pool, patient, sum((width - length(seq)) * (fw + rv)) AS gap_reads FROM sj JOIN aw USING (pool, patient) WHERE fw > 0 AND rv > 0 GROUP BY pool, patient HAVING sum(width - length(seq)) > 0")
 def consensus_indels(spark: SparkSession, d: str) -> DataFrame:
-    """Reads with a deletion (3) or insertion (2) in the alignment of the consensus, summed over its columns; the SQL counts missing bases, wherever they are placed."""
-    profile = hap.indel_profile(alignment.aligned_consensus(_strands(spark, d)).select("pool", "patient", "aln", "nr"))
-    return profile.groupBy("pool", "patient", "kind").agg(F.sum("reads").alias("reads"))
+    """Reads with a gap, summed over the columns of the consensus' indel profile: those with a deletion, or without an insertion that others have.
+
+    The SQL counts missing bases, wherever they are placed and whatever the master.
+    """
+    both = alignment.aligned_consensus(_strands(spark, d)).select("pool", "patient", "aln", "nr")
+    totals = both.groupBy("pool", "patient").agg(F.sum("nr").alias("total"))
+    gaps = F.when(F.col("kind") == 3, F.col("reads")).otherwise(F.col("total") - F.col("reads"))
+    return hap.indel_profile(both).join(totals, ["pool", "patient"]).groupBy("pool", "patient").agg(F.sum(gaps).alias("gap_reads"))
 
 
 @_query("SELECT amplicon AS \"Ampl.Nm\", max(fw_pos + length(fw_primer)) AS \"FW.tpos\", max(rv_pos - length(rv_primer)) AS \"RV.tpos\" FROM sh GROUP BY amplicon")
