@@ -139,7 +139,8 @@ def _consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
-    return hap.aligned_haplotypes(derived_reads(spark, d))
+    """Written once per session, as a dozen reports read it."""
+    return once(spark, d, "aligned", lambda: hap.aligned_haplotypes(derived_reads(spark, d)))
 
 
 def _folder(spark: SparkSession, name: str) -> str:

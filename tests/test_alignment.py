@@ -57,12 +57,12 @@ def test_pairs_have_the_least_cost(costs):
 def test_long_pairs_take_bounded_memory():
     rng = random.Random(2)
     master = "".join(rng.choices("ACGT", k=3000)).encode()
-    others = [changed(rng, master.decode(), 6, 40).encode() for _ in range(40)] + ["".join(rng.choices("ACGT", k=900)).encode()]
+    others = [changed(rng, master.decode(), 6, 40).encode() for _ in range(12)] + [master[500:2500]]
     tracemalloc.start()
     hits = gotoh.align_pairs([master] * len(others), others)
     assert tracemalloc.get_traced_memory()[1] < 1 << 30
     tracemalloc.stop()
-    assert all(h.second.replace(b"-", b"") == s for h, s in zip(hits, others, strict=True)) and all(h.gaps <= 6 * 40 for h in hits[:-1]) and hits[-1].gaps >= 2100
+    assert all(h.second.replace(b"-", b"") == s for h, s in zip(hits, others, strict=True)) and all(h.gaps <= 6 * 40 for h in hits[:-1]) and (hits[-1].gaps, hits[-1].mismatches) == (1000, 0)
 
 
 def star(seqs: list[bytes]) -> list[bytes]:

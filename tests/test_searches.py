@@ -95,7 +95,7 @@ def test_tags_meet_reads_by_their_pieces(spark, most, sizes):
 def test_ten_thousand_tags_need_no_product(spark):
     rng = random.Random(9)
     tags = [("P", k, "".join(rng.choices("ACGT", k=14)), k) for k in range(10_000)]
-    reads = [("P", "".join(rng.choices("ACGT", k=8)) + (tags[rng.randrange(10_000)][2] if k % 3 else "") + "".join(rng.choices("ACGT", k=180)), 1) for k in range(60)]
+    reads = [("P", "".join(rng.choices("ACGT", k=8)) + (tags[rng.randrange(10_000)][2] if k % 3 else "") + "".join(rng.choices("ACGT", k=180)), 1) for k in range(20)]
     t = spark.createDataFrame(tags, "pool string, patient long, mid_seq string, mid_order int")
     found = demux.mid_hits(spark.createDataFrame(reads, "pool string, seq string, n long"), t)
     plan = found._jdf.queryExecution().executedPlan().toString()
