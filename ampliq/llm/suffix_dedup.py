@@ -7,14 +7,18 @@ cover.  Runs whose anchor is found nowhere else hold no repeat.  The different
 segments around one anchor, with the number of runs that have each, go through
 an enhanced suffix array: suffixes sorted, a stack scan of the common prefixes
 for the interval tree, and a test of the bytes to the left that keeps the maximal
-repeats, each with all its occurrences.  An anchor with very many windows goes
-through no array: its windows are compared by 128 bits.
+repeats, each with all its occurrences.  The suffixes of an anchor with very many
+windows are sorted by Spark: each range of the order is a slice of one suffix
+array, scanned by a task, and the intervals that pass the slices' borders are
+put together from a summary of each slice.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,10 @@ from pyspark.sql import types as T
 from ampliq.llm.common import maybe_in, text_or_empty, written
 
 LENGTH, GRAM = 200, 32
-#: Bytes hashed at once; bytes of segments in one suffix array; anchors with more windows in different segments than HOT are compared by window, in SALTS parts.
-REGION, ARRAY, HOT, SALTS = 1 << 20, 1 << 18, 1 << 17, 64
+#: Bytes hashed at once; bytes of segments that one task sorts at once; suffixes in a slice of an array that Spark sorts, as it does for anchors with more windows in different segments.
+REGION, ARRAY, SLICE = 1 << 20, 1 << 18, 1 << 17
+#: Bounds of the bytes to the left of several occurrences where one of them is unknown: they differ from any.
+UNKNOWN = (-1, 256)
 _POSITION = np.uint64((1 << 22) - 1)
 _DRAW = np.random.Generator(np.random.PCG64(4))
 _TABLE = _DRAW.integers(0, 1 << 63, 256, np.int64).astype(np.uint64)
@@ -127,11 +133,7 @@ def _runs(named: DataFrame, length: int) -> DataFrame:
 
 
 def _segments(joined: DataFrame, length: int) -> DataFrame:
-    """(gkey, w1, w2, mh, sg, lo, n, runs, seg) of the runs in ``reps`` (array of mh, sg, windows, runs, place).
-
-    w1, w2 and seg: null and the segment, filed under its anchor; of hot
-    anchors 128 bits of each window and null, filed under these and a salt.
-    """
+    """(mh, sg, n, runs, seg) of the runs in ``reps`` (array of mh, sg, windows, runs, place)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = _bytes_of(batch.column("text"))
@@ -140,28 +142,18 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
                 view = memoryview(data[offsets[row] : offsets[row + 1]])
                 for r in reps.as_py():
                     start, n = r["place"] >> 32, (r["place"] >> 16) & 0xFFFF
-                    if r["windows"] <= HOT:
-                        out.append((r["mh"], None, None, r["mh"], r["sg"], 0, n, r["runs"], bytes(view[start : start + n + length - 1])))
-                        continue
-                    salt = (r["sg"] % SALTS) * 0x9E3779B97F4A7C15
-                    for p in range(n):
-                        name = xxhash.xxh3_128_intdigest(view[start + p : start + p + length])
-                        w1, w2 = (name >> 64) - (1 << 63), (name & ((1 << 64) - 1)) - (1 << 63)
-                        out.append((((w1 + salt) & ((1 << 64) - 1)) - (1 << 63), w1, w2, r["mh"], r["sg"], p, 1, r["runs"], None))
+                    out.append((r["mh"], r["sg"], n, r["runs"], bytes(view[start : start + n + length - 1])))
                     if len(out) > 4000:
                         yield _rows(out)
                         out = []
-                if len(out) > 4000:
-                    yield _rows(out)
-                    out = []
             if out:
                 yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["gkey", "w1", "w2", "mh", "sg", "lo", "n", "runs", "seg"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["mh", "sg", "n", "runs", "seg"])
 
-    return joined.mapInArrow(run, "gkey long, w1 long, w2 long, mh long, sg long, lo int, n int, runs long, seg binary")
+    return joined.mapInArrow(run, "mh long, sg long, n int, runs long, seg binary")
 
 
 def common_prefix_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -231,85 +223,194 @@ def _suffixes(segments: list[bytes], starts: list[int]) -> tuple[np.ndarray, np.
     return base[owner] + offset, sizes[owner] - offset, owner, offset, b"".join(segments)
 
 
+def _name(repeat: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(repeat) - (1 << 63)
+
+
 def _scan(segments: DataFrame, length: int, groups: bool = False) -> DataFrame:
-    """(w1, w2, mh, sg, lo, n): stretches of repeated starts, from the maximal repeats of each group of segments.
-
-    With ``groups`` one row per repeat and segment instead: (w1, w2, mh, sg, lo,
-    n, id), where n is the repeat's length less ``length`` plus 1 and id 64 bits
-    of its bytes.  Rows come sorted by gkey, w1 and w2; groups are put together
-    up to ARRAY bytes, and none has more than HOT windows.  Windows are
-    compared with the one before, and none is held; the first of equal ones
-    keeps its w1 and w2, since other salts may have its equal, unless several
-    runs have its segment.
+    """(mh, sg, lo, n): stretches of repeated starts, from the maximal repeats of each anchor's segments.
+
+    With ``groups`` one row per repeat and segment instead: (mh, sg, lo, n, id),
+    where n is the repeat's length less ``length`` plus 1 and id 64 bits of its
+    bytes.  Rows come sorted by mh; anchors are put together up to ARRAY bytes,
+    and none has more than SLICE windows.
     """
-    names = ["w1", "w2", "mh", "sg", "lo", "n", *["id"] * groups]
+    names = ["mh", "sg", "lo", "n", *["id"] * groups]
 
     def repeated(rows: list[tuple]) -> pa.RecordBatch:
         out: list[tuple] = []
-        marks = [np.zeros(r[4] + 1, np.int32) for r in rows]
-        for size, places in maximal_repeats([r[6] for r in rows], [r[4] for r in rows], length, [r[5] for r in rows]):
+        marks = [np.zeros(r[2] + 1, np.int32) for r in rows]
+        for size, places in maximal_repeats([r[4] for r in rows], [r[2] for r in rows], length, [r[3] for r in rows]):
             k, at = places[0]
-            name = xxhash.xxh3_64_intdigest(rows[k][6][at : at + size]) - (1 << 63) if groups else 0
+            name = _name(rows[k][4][at : at + size]) if groups else 0
             for k, at in places:
                 marks[k][at] += 1
                 marks[k][at + size - length + 1] -= 1
                 if groups:
-                    out.append((None, None, rows[k][1], rows[k][2], rows[k][3] + at, size - length + 1, name))
+                    out.append((*rows[k][:2], at, size - length + 1, name))
         for r, mark in zip(rows, marks, strict=True):
             if not groups and mark.any():
                 on = np.concatenate(([0], np.cumsum(mark)[:-1] > 0, [0])).astype(np.int8)
                 step = np.diff(on)
-                out += [(None, None, r[1], r[2], r[3] + a, b - a) for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True)]
-        return batch_of(out)
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(len(names))], names)
+                out += [(*r[:2], a, b - a) for a, b in zip(np.flatnonzero(step > 0).tolist(), np.flatnonzero(step < 0).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(len(names))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
         group: list[tuple] = []
         size = 0
-        last, held = None, None  # the window before, and the first of its equals while it has none
         for batch in batches:
-            windows: list[tuple] = []
-            keys = zip(batch.column("w1").to_pylist(), batch.column("w2").to_pylist(), strict=True)
-            for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("gkey", "mh", "sg", "lo", "n", "runs", "seg")), strict=True), strict=True):
-                if key[0] is not None:
-                    if groups:
-                        windows.append((*key, *row[1:5], key[0]))
-                        continue
-                    if row[5] > 1:
-                        windows.append((None, None, *row[1:5]))
-                    if (row[0], *key) != last:
-                        if held:
-                            windows.append(held)
-                        last, held = (row[0], *key), (*key, *row[1:5])
-                        continue
-                    if held:  # both repeat; the first also tells the other salts
-                        windows += [held, (None, None, *held[2:])]
-                        held = None
-                    windows.append((None, None, *row[1:5]))
-                    continue
+            for row in zip(*(batch.column(c).to_pylist() for c in ("mh", "sg", "n", "runs", "seg")), strict=True):
                 if group and group[0][0] != row[0]:
-                    if len(group) > 1 or group[0][5] > 1:
+                    if len(group) > 1 or group[0][3] > 1:
                         ready += group
-                        size += sum(len(r[6]) for r in group)
+                        size += sum(len(r[4]) for r in group)
                         if size > ARRAY:
                             yield repeated(ready)
                             ready, size = [], 0
                     group = []
                 group.append(row)
-            if windows:
-                yield batch_of(windows)
-        if held:
-            yield batch_of([held])
-        if len(group) > 1 or group and group[0][5] > 1:
+        if len(group) > 1 or group and group[0][3] > 1:
             ready += group
         if ready:
             yield repeated(ready)
 
-    return segments.mapInArrow(run, "w1 long, w2 long, mh long, sg long, lo int, n int" + ", id long" * groups)
+    return segments.repartition("mh").sortWithinPartitions("mh").mapInArrow(run, "mh long, sg long, lo long, n long" + ", id long" * groups)
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
+    return low
+
+
+def scan_slice(suffixes: list[bytes], anchors: list[int], times: list[int], least: list[int], most: list[int], length: int) -> tuple[list[tuple[int, int]], list[tuple[int, str, int]], dict]:
+    """(repeats, edges, summary) of a slice of a suffix array, in which each suffix stands once.
+
+    ``times`` counts a suffix's occurrences, ``least`` and ``most`` bound the
+    bytes to their left.  Repeats are (suffix, length) for each maximal repeat
+    that no neighbour of the slice can change.  Edges are (suffix, side,
+    length): the suffix has so many bytes in common with the first ("L") or
+    last ("R") one of the slice, ``length`` or more.  The summary holds what
+    ``border_repeats`` needs.
+    """
+    n = len(suffixes)
+    lcp = np.array([common_prefix(suffixes[k], suffixes[k + 1]) if anchors[k] == anchors[k + 1] else 0 for k in range(n - 1)], np.int64)
+    low, high = np.array(least), np.array(most)
+    found = [(k, len(suffixes[k])) for k in range(n) if times[k] > 1 and least[k] < most[k] and len(suffixes[k]) >= length]
+    for size, a, b in common_prefix_intervals(lcp, length):
+        if 0 < a and b < n - 1 and low[a : b + 1].min() < high[a : b + 1].max():
+            found += [(k, size) for k in range(a, b + 1)]
+    edges: list[tuple[int, str, int]] = []
+    summary: dict = {}
+    for side, order in (("L", np.arange(n)), ("R", np.arange(n)[::-1])):
+        shared = np.minimum.accumulate(np.concatenate(([len(suffixes[order[0]])], lcp if side == "L" else lcp[::-1])))
+        inside = shared >= length
+        edges += [(k, side, d) for k, d in zip(order[inside].tolist(), shared[inside].tolist(), strict=True)]
+        #: For each depth that the common prefix falls to: the bounds of the bytes to the left so far.
+        ends = np.flatnonzero(inside & np.concatenate((shared[1:] != shared[:-1], [True])))
+        bounds = zip(shared[ends].tolist(), np.minimum.accumulate(low[order])[ends].tolist(), np.maximum.accumulate(high[order])[ends].tolist(), ends.tolist(), strict=True)
+        summary[side] = {"anchor": int(anchors[order[0]]), "suffix": suffixes[order[0]].hex(), "depths": [list(x) for x in bounds], "through": int(shared[-1])}
+    return found, edges, summary
+
+
+def border_repeats(slices: list[tuple[int, dict]], length: int) -> list[tuple[int, str, int, int]]:
+    """(slice, side, length, id) of the maximal repeats that reach a slice's first or last suffix; ``slices`` are in order.
+
+    For each depth the slices are passed once; a run of suffixes with so long a
+    common prefix goes on over a border, and through a slice whose suffixes all
+    share as much.  It is an interval if two neighbours share no more than that.
+    """
+    firsts = [bytes.fromhex(s["L"]["suffix"]) for _, s in slices]
+    lasts = [bytes.fromhex(s["R"]["suffix"]) for _, s in slices]
+    border = [0] + [common_prefix(lasts[k], firsts[k + 1]) if slices[k][1]["R"]["anchor"] == slices[k + 1][1]["L"]["anchor"] else 0 for k in range(len(slices) - 1)]
+    depths = {d for _, s in slices for side in "LR" for d, *_ in s[side]["depths"]} | {b for b in border if b >= length}
+    out: list[tuple[int, str, int, int]] = []
+
+    def edge(k: int, side: str, depth: int) -> tuple[int, int, bool]:
+        """Bounds of the bytes to the left of the run at an edge, and whether it has two neighbours that share no more; an empty run bounds nothing."""
+        found = slices[k][1][side]["depths"]
+        reached = bisect_right(found, -depth, key=lambda x: -x[0])
+        if not reached:
+            return UNKNOWN[1], UNKNOWN[0], False
+        at, a, b, place = found[reached - 1]
+        return a, b, at == depth and place > 0
+
+    for depth in sorted(depths):
+        members: list[tuple[int, str]] = []
+        low, high, exact = UNKNOWN[1], UNKNOWN[0], False
+
+        def close() -> None:
+            if exact and low < high:
+                body = firsts[members[0][0]] if members[0][1] == "L" else lasts[members[0][0]]
+                out.extend((slices[k][0], side, depth, _name(body[:depth])) for k, side in members)
+
+        for k in range(len(slices)):
+            if border[k] < depth:
+                close()
+                members, low, high, exact = [], UNKNOWN[1], UNKNOWN[0], False
+            for side in "LR":
+                a, b, c = edge(k, side, depth)
+                members.append((k, side))
+                low, high, exact = min(low, a), max(high, b), exact or c or (side == "L" and border[k] == depth)
+                if side == "L" and slices[k][1]["L"]["through"] < depth:
+                    close()
+                    members, low, high, exact = [], UNKNOWN[1], UNKNOWN[0], False
+        close()
+    return out
+
+
+def _scan_sorted(segments: DataFrame, windows: int, length: int, groups: bool = False) -> DataFrame:
+    """As ``_scan``, for ``segments`` (written) of ``windows`` windows, which are sorted over many tasks.
+
+    Equal suffixes become one before they are sorted, so that any range can be
+    cut; a slice has about SLICE suffixes.  Each task returns the repeats within
+    its slice, the suffixes at its edges, and one summary; the summaries, one
+    per task and at most as long as a segment has starts, are joined on the driver.
+    """
+    spark = segments.sparkSession
+    suffixes = segments.select("mh", "sg", "runs", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("lo"))
+    suffix, before = F.expr("substring(seg, lo + 1)"), F.conv(F.hex(F.expr("substring(seg, lo, 1)")), 16, 10).cast("int")
+    suffixes = suffixes.select("mh", "sg", F.col("lo").cast("long").alias("lo"), suffix.alias("suffix"), F.when(F.col("lo") == 0, F.col("runs")).otherwise(1).alias("times"), F.when(F.col("lo") > 0, before).alias("before"))
+    suffixes = suffixes.withColumns({"s1": F.xxhash64("mh", "suffix"), "s2": F.xxhash64(F.lit(1), "mh", "suffix")})
+    leaves = suffixes.groupBy("mh", "suffix", "s1", "s2").agg(F.sum("times").alias("times"), F.min(F.coalesce("before", F.lit(UNKNOWN[0]))).alias("least"), F.max(F.coalesce("before", F.lit(UNKNOWN[1]))).alias("most"))
+    leaves = written(leaves, "suffix-leaves")
+    parts = -(-windows // SLICE)
+    ordered = leaves.repartitionByRange(parts, "mh", "suffix").sortWithinPartitions("mh", "suffix").withColumn("slice", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        at, bodies = table["slice"][0].as_py(), table["suffix"].to_pylist()
+        found, edges, summary = scan_slice(bodies, *(table[c].to_pylist() for c in ("mh", "times", "least", "most")), length)
+        if not groups:  # the longest repeat from a start has all its windows
+            longest: dict[int, int] = {}
+            for k, size in found:
+                longest[k] = max(size, longest.get(k, 0))
+            found = list(longest.items())
+        s1, s2 = table["s1"].to_numpy(), table["s2"].to_numpy()
+        rows = [(k, size, _name(bodies[k][:size]) if groups else 0, None) for k, size in found] + [(k, size, None, side) for k, side, size in edges]
+        spots = [r[0] for r in rows]
+        columns = [pa.array(s1[spots]), pa.array(s2[spots]), *(pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))]
+        names = ["s1", "s2", "size", "id", "side", "summary", "slice"]
+        for columns, text in ((columns, None), ([pa.nulls(1, c.type) for c in columns], json.dumps(summary))):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([text] * len(columns[0]), pa.string()), pa.array([at] * len(columns[0]), pa.int32())], names)
+
+    scanned = written(ordered.mapInArrow(run, "s1 long, s2 long, size long, id long, side string, summary string, slice int"), "suffix-slices", leaves)
+    slices = sorted((r["slice"], json.loads(r["summary"])) for r in scanned.where("summary is not null").select("slice", "summary").collect())
+    borders = spark.createDataFrame(border_repeats(slices, length), "slice int, side string, depth long, id long")
+    edges = scanned.where("side is not null").select("s1", "s2", "slice", "side", "size").join(borders, ["slice", "side"]).where("depth <= size").select("s1", "s2", F.col("depth").alias("size"), "id")
+    repeats = scanned.where("summary is null and side is null").select("s1", "s2", "size", "id").unionByName(edges)
+    repeats = repeats.distinct() if groups else repeats.groupBy("s1", "s2").agg(F.max("size").alias("size"))
+    #: A suffix that very many segments have is one key on the right, and on the left rows that Spark can split.
+    out = suffixes.select("mh", "sg", "lo", "s1", "s2").join(repeats.hint("merge"), ["s1", "s2"])
+    return out.select("mh", "sg", "lo", (F.col("size") - length + 1).alias("n"), *["id"] * groups)
 
 
 def named_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -329,8 +430,8 @@ def _stretches(parts: Column) -> Column:
     return F.aggregate(parts, F.array().cast("array<struct<lo:bigint,n:bigint>>"), add)
 
 
-def _filed(named: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(kept, segments): the runs (mh, sg, k1, k2, n, places) of anchors that are found again, and what ``_segments`` makes of one run of each kind."""
+def _filed(named: DataFrame, length: int, groups: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(kept, scanned): the runs (mh, sg, k1, k2, n, places) of anchors that are found again, and what ``_scan`` finds in one run of each kind."""
     runs = written(_runs(named.select("doc_id", "k1", "k2", "text"), length), "suffix-runs")
     again = written(runs.groupBy("mh").agg(F.count("*").alias("total")).where("total > 1").select("mh"), "suffix-again")
     #: Nearly all runs of other anchors go here, without a join that would bring a hot anchor to one task; the rest go by the totals below.
@@ -340,12 +441,25 @@ def _filed(named: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     kept = written(kept, "suffix-kept", runs, again)
     kinds = kept.groupBy("mh", "sg").agg(F.sum("n").alias("runs"), F.min(F.struct("k1", "k2", F.array_min("places").alias("place"))).alias("rep"))
     kinds = written(kinds, "suffix-kinds")
-    of_anchor = kinds.groupBy("mh").agg(F.sum(F.shiftright("rep.place", 16).bitwiseAND(F.lit(0xFFFF))).alias("windows"), F.sum("runs").alias("total")).where("total > 1").drop("total")
+    of_anchor = kinds.groupBy("mh").agg(F.sum(_windows("rep.place")).alias("windows"), F.sum("runs").alias("total")).where("total > 1").drop("total")
     reps = kinds.join(of_anchor.hint("merge"), "mh").groupBy("rep.k1", "rep.k2").agg(F.collect_list(F.struct("mh", "sg", "windows", "runs", "rep.place")).alias("reps"))
     reps = written(reps, "suffix-reps", kinds)
-    #: Copies of a text become one before they are joined, so each segment arises once.
-    texts = maybe_in(named.select("k1", "k2", "text"), reps, "k1", "k2").where("_maybe").groupBy("k1", "k2").agg(F.min("text").alias("text"))
-    return kept, _segments(texts.join(reps.hint("merge"), ["k1", "k2"]), length)
+    large = reps.select(F.explode("reps").alias("r")).where(F.col("r.windows") > SLICE).agg(F.sum(_windows("r.place"))).first()[0]
+
+    def segments(these: Callable[[Column], Column]) -> DataFrame:
+        some = reps.select("k1", "k2", F.filter("reps", lambda r: these(r["windows"])).alias("reps")).where(F.size("reps") > 0) if large else reps
+        #: Copies of a text become one before they are joined, so each segment arises once.
+        texts = maybe_in(named.select("k1", "k2", "text"), some, "k1", "k2").where("_maybe").groupBy("k1", "k2").agg(F.min("text").alias("text"))
+        return _segments(texts.join(some.hint("merge"), ["k1", "k2"]), length)
+
+    scanned = _scan(segments(lambda n: n <= SLICE), length, groups)
+    if large:
+        scanned = scanned.unionByName(_scan_sorted(written(segments(lambda n: n > SLICE), "suffix-large"), large, length, groups))
+    return kept, scanned
+
+
+def _windows(place: str) -> Column:
+    return F.shiftright(place, 16).bitwiseAND(F.lit(0xFFFF))
 
 
 def _checked(length: int) -> None:
@@ -355,14 +469,7 @@ def _checked(length: int) -> None:
 
 def repeated_starts(named: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, starts): per text, array<struct<start, n>> of window starts whose window is found elsewhere too."""
-    kept, segments = _filed(named, length)
-    scanned = _scan(segments.repartition("gkey").sortWithinPartitions("gkey", "w1", "w2"), length)
-    #: Of equal windows one row per salt is left; a window's rows never exceed SALTS, so a list of them is bounded.
-    named_window = F.col("w1").isNotNull()
-    where = F.struct("mh", "sg", "lo", "n")
-    group = [F.col("w1"), F.col("w2"), *(F.when(~named_window, F.col(c)).alias(f"_{c}") for c in ("mh", "sg", "lo"))]
-    scanned = scanned.groupBy(*group).agg(F.collect_list(where).alias("at")).where(F.col("w1").isNull() | (F.size("at") > 1)).select(F.explode("at").alias("at")).select("at.*")
-    scanned = scanned.select("mh", "sg", F.col("lo").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))
+    kept, scanned = _filed(named, length)
     found = scanned.groupBy("mh", "sg").agg(_stretches(F.array_sort(F.collect_list(F.struct("lo", "n")))).alias("parts"))
     placed = kept.select("mh", "sg", "k1", "k2", "places").join(found.hint("merge"), ["mh", "sg"])
     starts = F.flatten(F.transform("places", lambda p: F.transform("parts", lambda q: F.struct((F.shiftright(p, 32) + q["lo"]).alias("start"), q["n"].alias("n")))))
@@ -376,15 +483,13 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     or more, in one document or several, and that the bytes left and right of
     it don't extend at all of them; what lies beyond an anchor's segments isn't
     seen, so long repeats come as several groups, one per anchor.  Every group
-    has all its occurrences.  Of hot anchors (more than HOT windows) groups
-    are strings of just ``length`` bytes.  ids are 64 bits of the bytes.  Null
+    has all its occurrences.  ids are 64 bits of the bytes.  Null
     and short texts have no repeat; repeated rows and rows of one id count each;
     other columns are ignored; an empty table gives an empty result.
     """
     _checked(length)
     named = named_texts(docs, doc_id, text)
-    kept, segments = _filed(named, length)
-    scanned = _scan(segments.repartition("gkey").sortWithinPartitions("gkey", "w1", "w2"), length, True)
+    kept, scanned = _filed(named, length, True)
     placed = kept.select("mh", "sg", "k1", "k2", F.explode("places").alias("place")).join(scanned.hint("merge"), ["mh", "sg"])
     placed = placed.select("id", (F.col("n") + length - 1).alias("length"), "k1", "k2", (F.shiftright("place", 32) + F.col("lo")).alias("start"))
     every = placed.distinct().join(named.select("doc_id", "k1", "k2").hint("merge"), ["k1", "k2"])
@@ -416,9 +521,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     GRAM to 32,767 bytes, else ValueError.
 
     Copies of a text are counted where they arise and only their first run is
-    carried on, so a large group of copies adds counts, not rows.  The windows
-    of an anchor shared by very many texts are compared by 128 bits, in parts
-    by salt, so no group of rows is held by one task.  All per-text lists are
+    carried on, so a large group of copies adds counts, not rows.  The suffixes
+    of an anchor shared by very many texts are sorted over many tasks, so no
+    group of rows is held by one task.  All per-text lists are
     bounded by the text.
     """
     _checked(length)

@@ -170,9 +170,9 @@ def brute_repeats(texts, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_suffix_dedup(spark, odd, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("size", [1 << 17, 60])
+def test_suffix_dedup(spark, odd, size, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", size)
     rows = odd.select("doc_id", "text").collect()
     want = Counter((r["doc_id"], *b) for r, b in zip(rows, brute_repeats([r["text"] for r in rows]), strict=True))
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(odd).collect()) == want
