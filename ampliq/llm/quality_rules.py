@@ -2,8 +2,9 @@
 
 Every document gets counts of its whole text and, from them, integer rates that
 ordinary prose has in a natural spread.  For each rate, language and source a
-mergeable quantile sketch is kept: counts on a fixed grid of integers, which add
-up exactly in any order, also to the sketches of a language and of the corpus.
+mergeable quantile sketch is kept: counts of its first DIGITS decimal digits, a
+grid without an upper end, which add up exactly in any order, also to the
+sketches of a language and of the corpus.
 Thresholds come from the quantiles of these sketches alone.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from ampliq.llm.common import CHARACTER, SPACE, let, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
-#: Cells of a rate's grid: rates are clipped to this, so a sketch has at most GRID + 1 counts.
-GRID = 2000
+#: Decimal digits of a rate that its cell keeps, the others being 0: rates below 10 ** DIGITS are exact, and each further digit adds 9000 cells.
+DIGITS = 4
 #: Rate, and by how many lower half-spreads its threshold lies above the median.
 RATES = (("odd_rate", 24), ("upper_rate", 20), ("word_length", 14), ("sameness", 10))
 #: A group's own threshold weighs as its rows, its language's as this many; so does a language's against the corpus's.
@@ -76,11 +77,15 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_t", "_words", "_lines", "_windows")
 
 
+def _cell(rate: str) -> Column:
+    return F.expr(f"{rate} - {rate} % CAST(rpad('1', greatest(length(CAST({rate} AS string)) - {DIGITS}, 0) + 1, '0') AS bigint)")
+
+
 def _quantile(hundredths: int) -> Column:
     """The least cell at or below which that share of the rows lies; ``cells`` is sorted."""
     need = F.expr(f"(total * {hundredths} + 99) div 100")
     return F.aggregate(
-        "cells", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at")),
+        "cells", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")),
         lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNull() & (acc["seen"] + x["n"] >= need), x["cell"]).otherwise(acc["at"]).alias("at")),
         lambda acc: acc["at"])
 
@@ -114,7 +119,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     by_lang = by_lang.select(F.col("lang").alias("_lang"), F.col("rate").alias("_rate"), blend("total", "above").alias("above"))
     groups = merged_quantiles(sketch, "lang", "source").join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rate") == F.col("_rate")))
     groups = groups.withColumn("own", F.col("mid") + times * F.col("spread"))
-    return groups.select("lang", "source", "rate", F.when(F.col("mid") > F.col("above"), F.col("above")).otherwise(blend("total", "above")).cast("int").alias("most"))
+    return groups.select("lang", "source", "rate", F.when(F.col("mid") > F.col("above"), F.col("above")).otherwise(blend("total", "above")).cast("long").alias("most"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -123,7 +128,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     ``base_failed`` is true under 20 words or if repeated eight-word windows
     cover over 30 % of the words.  Of the rest, a document is kept if none of
     its rates passes its group's threshold (see ``thresholds``).  Rates, in
-    integers cut at GRID: odd_rate, characters of words other than letters, in
+    whole numbers without an upper end: odd_rate, characters of words other than letters, in
     thousandths; upper_rate, capitals of letters, in thousandths; word_length,
     in hundredths of a character; sameness, the power 3/4 of the words to one
     distinct word, in thousandths.
@@ -132,19 +137,21 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     form groups of their own; repeated rows are judged each; other columns are
     ignored; an empty table gives an empty result.  The text is read once, the
     counts are written to the shared folder, and what is shuffled are the
-    sketches: at most GRID + 1 counts per group, rate and task.
+    sketches: per group, rate and task at most 10,000 counts, and 9000 for each
+    digit more than DIGITS, as where a word is a whole text.  Thresholds are
+    compared with the rates as they are, not with their cells.
     """
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[lang].alias("lang"), docs[source].alias("source"), docs[text].alias("text"))
     counts = text_counts(plain)
-    whole = lambda part, of, scale: F.least(F.lit(GRID), F.expr(f"({scale} * ({part})) div greatest({of}, 1)")).cast("int")
+    whole = lambda part, of, scale: F.expr(f"({scale} * ({part})) div greatest({of}, 1)")
     names = [name for name, _ in RATES]
     counts = counts.withColumns({
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
         "odd_rate": whole("word_chars - n_letters", "word_chars", 1000), "upper_rate": whole("n_upper", "n_letters", 1000), "word_length": whole("word_chars", "n_words", 100),
-        "sameness": F.least(F.lit(GRID), F.floor(F.lit(1000.0) * F.sqrt("n_words") * F.sqrt(F.sqrt("n_words")) / F.greatest("n_distinct_words", F.lit(1)))).cast("int"),
+        "sameness": F.floor(F.lit(1000.0) * F.sqrt("n_words") * F.sqrt(F.sqrt("n_words")) / F.greatest("n_distinct_words", F.lit(1))).cast("long"),
     }).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *names)
     counts = written(counts, "quality-counts")
-    cells = counts.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), F.col(n).alias("cell")) for n in names))).alias("x"))
+    cells = counts.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), _cell(n).alias("cell")) for n in names))).alias("x"))
     sketch = written(cells.groupBy("lang", "source", F.col("x.rate").alias("rate"), F.col("x.cell").alias("cell")).agg(F.count("*").alias("n")), "quality-sketch")
     limits = thresholds(sketch).groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(*(F.max(F.when(F.col("rate") == n, F.col("most"))).alias(f"{n}_max") for n in names))
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -169,23 +176,24 @@ c AS (SELECT r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(l
         CAST(length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper, CAST(length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g')) AS BIGINT) AS n_letters FROM w),
 k AS (SELECT c.*, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words FROM c LEFT JOIN cover USING (r)),
 m AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-        CAST(least(2000, (1000 * (word_chars - n_letters)) // greatest(word_chars, 1)) AS INT) AS odd_rate, CAST(least(2000, (1000 * n_upper) // greatest(n_letters, 1)) AS INT) AS upper_rate,
-        CAST(least(2000, (100 * word_chars) // greatest(n_words, 1)) AS INT) AS word_length,
-        CAST(least(2000, floor(1000.0::DOUBLE * sqrt(n_words) * sqrt(sqrt(n_words)) / greatest(n_distinct, 1))) AS INT) AS sameness FROM k),
-x AS (SELECT lang, source, unnest([{quoted}]) AS rate, unnest([{names}]) AS cell FROM m WHERE NOT base_failed),
+        CAST((1000 * (word_chars - n_letters)) // greatest(word_chars, 1) AS BIGINT) AS odd_rate, CAST((1000 * n_upper) // greatest(n_letters, 1) AS BIGINT) AS upper_rate,
+        CAST((100 * word_chars) // greatest(n_words, 1) AS BIGINT) AS word_length,
+        CAST(floor(1000.0::DOUBLE * sqrt(n_words) * sqrt(sqrt(n_words)) / greatest(n_distinct, 1)) AS BIGINT) AS sameness FROM k),
+v AS (SELECT lang, source, unnest([{quoted}]) AS rate, unnest([{names}]) AS v FROM m WHERE NOT base_failed),
+x AS (SELECT lang, source, rate, v - v % CAST(rpad('1', CAST(greatest(length(CAST(v AS VARCHAR)) - {digits}, 0) + 1 AS INT), '0') AS BIGINT) AS cell FROM v),
 tm(rate, times) AS (VALUES {times}),
 qa AS (SELECT rate, quantile_disc(cell, 0.5) AS mid, greatest(1, quantile_disc(cell, 0.5) - quantile_disc(cell, 0.25), (quantile_disc(cell, 0.5) - quantile_disc(cell, 0.05)) // 3) AS spread FROM x GROUP BY rate),
 ql AS (SELECT lang, rate, count(*) AS total, quantile_disc(cell, 0.5) AS mid, greatest(1, quantile_disc(cell, 0.5) - quantile_disc(cell, 0.25), (quantile_disc(cell, 0.5) - quantile_disc(cell, 0.05)) // 3) AS spread FROM x GROUP BY ALL),
 qg AS (SELECT lang, source, rate, count(*) AS total, quantile_disc(cell, 0.5) AS mid, greatest(1, quantile_disc(cell, 0.5) - quantile_disc(cell, 0.25), (quantile_disc(cell, 0.5) - quantile_disc(cell, 0.05)) // 3) AS spread FROM x GROUP BY ALL),
 la AS (SELECT rate, mid + times * spread AS above FROM qa JOIN tm USING (rate)),
 ll AS (SELECT ql.lang, rate, (total * (ql.mid + times * ql.spread) + {prior} * above) // (total + {prior}) AS above FROM ql JOIN la USING (rate) JOIN tm USING (rate)),
-lg AS (SELECT qg.lang, qg.source, qg.rate, CAST(CASE WHEN qg.mid > above THEN above ELSE (total * (qg.mid + times * qg.spread) + {prior} * above) // (total + {prior}) END AS INT) AS most
+lg AS (SELECT qg.lang, qg.source, qg.rate, CAST(CASE WHEN qg.mid > above THEN above ELSE (total * (qg.mid + times * qg.spread) + {prior} * above) // (total + {prior}) END AS BIGINT) AS most
        FROM qg JOIN tm ON tm.rate = qg.rate JOIN ll ON ll.rate = qg.rate AND ll.lang IS NOT DISTINCT FROM qg.lang),
 lim AS (SELECT lang, source, {limits} FROM lg GROUP BY lang, source)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {passed}, false) AS kept, {names}, {maxes}
 FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source
 """.format(
-    quoted=", ".join(f"'{n}'" for n, _ in RATES), times=", ".join(f"('{n}', {k})" for n, k in RATES), prior=PRIOR,
+    quoted=", ".join(f"'{n}'" for n, _ in RATES), times=", ".join(f"('{n}', {k})" for n, k in RATES), prior=PRIOR, digits=DIGITS,
     limits=", ".join(f"max(most) FILTER (rate = '{n}') AS {n}_max" for n, _ in RATES),
     passed=" AND ".join(f"{n} <= {n}_max" for n, _ in RATES),
     names=", ".join(n for n, _ in RATES), maxes=", ".join(f"{n}_max" for n, _ in RATES))

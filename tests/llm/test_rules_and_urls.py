@@ -47,6 +47,17 @@ def test_junk_cannot_lift_the_threshold_of_its_source(spark):
     same(quality_rules.quality_rules(df), quality_rules.ORACLE, "documents", documents=df.toArrow())
 
 
+def test_words_as_long_as_sentences_have_a_threshold_of_their_own(spark):
+    """Rates far beyond the digits that cells keep: clean documents stay, longer words than theirs go."""
+    rng = random.Random(4)
+    sentences = lambda n: " ".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randint(n // 2, n))) for _ in range(30))
+    rows = [(None, sentences(600), "zh", "z") for _ in range(300)] + [(None, sentences(9000), "zh", "z") for _ in range(5)] + group(rng, "a", 5, 200)
+    got, df = verdicts(spark, rows)
+    assert min(got[i]["word_length"] for i in range(305)) > 30_000 and got[0]["word_length_max"] > got[400]["word_length_max"]
+    assert sum(got[i]["kept"] for i in range(300)) > 290 and not any(got[i]["kept"] for i in range(300, 305))
+    same(quality_rules.quality_rules(df), quality_rules.ORACLE, "documents", documents=df.toArrow())
+
+
 def features(url):
     u = url or ""
     host = path = ""
