@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,64 +19,101 @@ MIDS = T.StructType([T.StructField("MID.ID", T.StringType()), T.StructField("MID
 PRIMERS = T.StructType([*(T.StructField(n, T.StringType()) for n in ("Ampl.Nm", "Region", "Primer.FW", "Primer.RV")), *(T.StructField(n, T.IntegerType()) for n in ("FW.pos", "RV.pos", "FW.tpos", "RV.tpos", "Aa.ipos", "Aa.lpos"))])
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """(file, block, at, value, head, seq, qual): whole records of each split, and the lines left over at its ends (head is null).
+def _first_letters(values: pa.Array) -> np.ndarray:
+    """The first byte of each text, 0 for an empty one."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    first = np.zeros(len(values), np.uint8)
+    some = np.flatnonzero(ends[1:] > ends[:-1])
+    first[some] = data[ends[some]]
+    return first
+
+
+def _parted(values: pa.Array, end: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places of headings of whole records, places of other lines, how many lines are settled); at a split's ``end`` all are."""
+    first, n = _first_letters(values), len(values)
+    heading = (first[: max(n - 3, 0)] == ord("@")) & (first[2 : max(n - 1, 2)] == ord("+"))
+    whole, loose, k = [np.zeros(0, np.int64)], [], 0
+    while n - k >= 4 or end and k < n:
+        if n - k >= 4 and heading[k]:
+            following = heading[k::4]
+            run = len(following) if following.all() else int(following.argmin())
+            whole.append(k + 4 * np.arange(run))
+            k += 4 * run
+        else:
+            loose.append(k)
+            k += 1
+    return np.concatenate(whole), np.array(loose, np.int64), k
+
+
+_WHOLE = "file string, block long, at long, head string, seq string, qual string"
+_LOOSE = "file string, block long, at long, value string"
+
+
+def _records(lines: DataFrame, whole: bool) -> DataFrame:
+    """(file, block, at, head, seq, qual): ``whole`` records of each split; or (file, block, at, value), the lines left over at its ends, and a row without a value whose place is the split's number of lines.
 
     A split may begin anywhere in a record.  A line that begins with @ and is
     followed by one that begins with + two lines on is a heading: after a line
     of qualities, which may begin with @ too, that line would be a sequence.
+    Lines stay in Arrow's arrays: what is looked at are their first letters.
     """
+    names = [x.split()[0] for x in (_WHOLE if whole else _LOOSE).split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, at = None, [], 0
-        out: list[tuple] = []
+        here, held, at = None, pa.array([], pa.string()), 0
+
+        def rows(places: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(here[0], pa.string()), len(places)), pa.repeat(pa.scalar(here[1], pa.int64()), len(places)), pa.array(places, pa.int64()), *columns], names)
 
-        def taken(end: bool) -> None:
+        def taken(end: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, at
-            k = 0
-            while len(held) - k >= 4 or end and k < len(held):
-                if len(held) - k >= 4 and held[k][:1] == "@" and held[k + 2][:1] == "+":
-                    out.append((*here, at + k, None, held[k], held[k + 1], held[k + 3]))
-                    k += 4
-                else:
-                    out.append((*here, at + k, held[k], None, None, None))
-                    k += 1
-            held, at = held[k:], at + k
-
-        def rows() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["file", "block", "at", "value", "head", "seq", "qual"])
+            heads, others, settled = _parted(held, end)
+            if whole and len(heads):
+                yield rows(at + heads, [held.take(pa.array(heads + k)) for k in (0, 1, 3)])
+            if not whole and len(others):
+                yield rows(at + others, [held.take(pa.array(others))])
+            held, at = held.slice(settled), at + settled
+            if not whole and end:
+                yield rows(np.array([at]), [pa.nulls(1, pa.string())])
 
         for batch in batches:
-            files, blocks, values = (batch.column(c).to_pylist() for c in ("file", "block", "value"))
-            for file, block, value in zip(files, blocks, values, strict=True):
-                if (file, block) != here:
+            if not batch.num_rows:
+                continue
+            files, blocks, values = (batch.column(c) for c in ("file", "block", "value"))
+            starts = blocks.to_numpy(zero_copy_only=False)
+            other = (starts[1:] != starts[:-1]) | pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                split = files[low].as_py(), int(starts[low])
+                if split != here:
                     if here:
-                        taken(True)
-                    here, held, at = (file, block), [], 0
-                held.append(value)
-            taken(False)
-            if out:
-                yield rows()
-                out = []
+                        yield from taken(True)
+                    here, held, at = split, held.slice(0, 0), 0
+                held = pa.concat_arrays([held, values.slice(low, high - low).cast(pa.string())])
+            yield from taken(False)
         if here:
-            taken(True)
-        if out:
-            yield rows()
+            yield from taken(True)
 
-    return lines.mapInArrow(run, "file string, block long, at long, value string, head string, seq string, qual string")
+    return lines.mapInArrow(run, _WHOLE if whole else _LOOSE)
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+def _lines(spark: SparkSession, path: str | list[str], holding: tuple[str, ...] = ()) -> DataFrame:
+    """(file, block, value) in the order of the files; of those whose path holds one of some texts, where these are given."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if holding:
+        lines = lines.where(reduce(lambda a, b: a | b, (F.contains(F.col("_metadata.file_path"), F.lit(x)) for x in holding)))
+    plain = F.when(F.endswith("value", F.lit("\r")), F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), plain.alias("value"))
 
 
-def _reads(parsed: DataFrame) -> DataFrame:
-    """(file, block, at, head, seq, qual) of ``_records``' rows; a record that lies in two splits has the place of its first line."""
+def _joined(loose: DataFrame) -> DataFrame:
+    """(file, block, at, head, seq, qual) of records that lie in two splits, from the lines left over; such a record has the place of its first line."""
     spot = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1  # a few lines for each split
-    loose = parsed.where("head is null").withColumn("_n", spot).withColumns({"record": F.floor(F.col("_n") / 4), "line": F.col("_n") % 4})
+    loose = loose.where("value is not null").withColumn("_n", spot).withColumns({"record": F.floor(F.col("_n") / 4), "line": F.col("_n") % 4})
     first = F.min(F.struct("block", "at")).alias("_first")
     loose = loose.groupBy("file", "record").agg(first, *(F.max(F.when(F.col("line") == k, F.col("value"))).alias(name) for k, name in ((0, "head"), (1, "seq"), (3, "qual"))), F.count("*").alias("_lines")).where("_lines = 4")
-    return parsed.where("head is not null").select("file", "block", "at", "head", "seq", "qual").unionByName(loose.select("file", "_first.block", "_first.at", "head", "seq", "qual"))
+    return loose.select("file", "_first.block", "_first.at", "head", "seq", "qual")
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -85,7 +125,8 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     by fours.  A record that a file ends in the midst of is left out; empty
     reads have empty strings; carriage returns at line ends are no part of them.
     """
-    return _reads(_records(_lines(spark, path))).select("file", _head_id("head").alias("read_id"), "seq", "qual")
+    lines = _lines(spark, path)
+    return _records(lines, True).unionByName(_joined(_records(lines, False))).select("file", _head_id("head").alias("read_id"), "seq", "qual")
 
 
 def _head_id(head: str) -> Column:
@@ -96,18 +137,27 @@ def read_fastq_in_order(spark: SparkSession, path: str | list[str]) -> DataFrame
     """``read_fastq`` with the ordinal of each record in its file, from 0.
 
     A record's line in its file is its line in its split and the lines of the
-    splits before it.  These are counted by split in a pass of their own and
-    summed along each file: one row a split, broadcast after they were counted.
-    The counts are written, since a filter of files that reached their scan alone
-    would cut it into other splits; a record of a split without a count is an
-    error, never left out.
+    splits before it.  These are counted by split in a pass of their own, which
+    also finds the lines left over at the splits' ends, and summed along each
+    file: one row a split, broadcast after they were counted.  The counts are
+    written, since a filter of files that reached their scan alone would cut it
+    into other splits; a record of a split without a count is an error, never
+    left out.
     """
-    lines = _lines(spark, path).groupBy("file", "block").agg(F.count("*").alias("_lines"))
-    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(lines.select("file", "block", before.alias("_before")), "splits")
-    placed = _reads(_records(_lines(spark, path))).join(small(starts), ["file", "block"], "left")
+    return _in_order(spark, path).select("file", "ordinal", "read_id", "seq", "qual")
+
+
+def _in_order(spark: SparkSession, path: str | list[str], mate: str | None = None) -> DataFrame:
+    """(file, ordinal, read_id, seq, qual), of one ``mate``'s files with their pair_of; what a file's name tells is taken from it once a split."""
+    holding = (f"_{mate}_", f"_{mate}.") if mate else ()
+    ends = written(_records(_lines(spark, path, holding), False), "splits")
+    before = F.coalesce(F.sum("at").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = file_fields(ends.where("value is null").select("file", "block", before.alias("_before")))
+    starts = starts.select("file", "block", "_before", F.col("mate").eqNullSafe(mate).alias("_wanted") if mate else F.lit(True).alias("_wanted"), F.regexp_replace(file_name("file"), r"_R[12](?=[_.])", "_R").alias("pair_of"))
+    placed = _records(_lines(spark, path, holding), True).unionByName(_joined(ends)).join(small(written(starts, "starts")), ["file", "block"], "left")
     known = F.coalesce("_before", F.raise_error(F.lit("files were split otherwise when their lines were counted")).cast("long"))
-    return placed.select("file", F.floor((known + F.col("at")) / 4).alias("ordinal"), _head_id("head").alias("read_id"), "seq", "qual")
+    ordinal = F.floor((known + F.col("at")) / 4).alias("ordinal")
+    return placed.where("_wanted is null or _wanted").select("file", "pair_of", ordinal, _head_id("head").alias("read_id"), "seq", "qual")
 
 
 def read_mates(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -116,12 +166,12 @@ def read_mates(spark: SparkSession, path: str | list[str]) -> DataFrame:
     File names are ``Pool_S1_L001_R1_001.fastq`` and the like; ``pair_of`` is the
     name without its mate.  A record whose mate's file is missing or shorter has
     nulls for it; ids may differ, ``mate_report`` counts where they do.  Files
-    without a mate in their name are left out.
+    without a mate in their name are left out.  First and second mates are read
+    apart, so that each file is scanned for its own side of the join alone.
     """
-    named = file_fields(read_fastq_in_order(spark, path)).where("mate is not null")
-    named = named.withColumn("pair_of", F.regexp_replace(file_name("file"), r"_R[12](?=[_.])", "_R"))
-    one, two = (named.where(F.col("mate") == m).select("pair_of", "pool", "sample_no", "ordinal", *(F.col(c).alias(c + end) for c in ("read_id", "seq", "qual"))) for m, end in (("R1", ""), ("R2", "2")))
-    return one.join(two, ["pair_of", "pool", "sample_no", "ordinal"], "full_outer")
+    one, two = (_in_order(spark, path, m).select("ordinal", "pair_of", *(F.col(c).alias(c + end) for c in ("read_id", "seq", "qual"))) for m, end in (("R1", ""), ("R2", "2")))
+    joined = one.join(two, ["ordinal", "pair_of"], "full_outer")
+    return joined.select("pair_of", F.substring_index("pair_of", "_", 1).alias("pool"), F.nullif(F.regexp_extract("pair_of", r"_(S\d+)_", 1), F.lit("")).alias("sample_no"), "ordinal", "read_id", "seq", "qual", "read_id2", "seq2", "qual2")
 
 
 def mate_report(mates: DataFrame) -> DataFrame:
@@ -154,7 +204,9 @@ def write_tsv(table: DataFrame, path: str) -> None:
 
 def file_name(path: str) -> Column:
     """The last part of a path; of a folder of part files, written by ``write_named_fastq``, the folder's name."""
-    return F.regexp_extract(F.regexp_replace(path, "/part-[^/]*$", ""), "([^/=]*)$", 1)
+    last = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.substring_index(F.when(F.startswith(last, F.lit("part-")), folder).otherwise(last), "=", -1)
 
 
 def file_fields(df: DataFrame, name: str = "file") -> DataFrame:

@@ -55,3 +55,20 @@ def test_named_files_keep_their_order(spark, tmp_path, splits):
     sequences.write_named_fastq(spark.createDataFrame(rows, "name string, pool string, read_id long, seq string, qual string"), str(tmp_path / "out"))
     back = sequences.read_fastq_in_order(spark, str(tmp_path / "out")).select(sequences.file_name("file").alias("name"), "ordinal", "read_id").collect()
     assert {(r.name, r.ordinal, int(r.read_id)) for r in back} == {(n, k // 3, k) for n, _, k, _, _ in rows}
+
+
+def test_mates_without_a_sample_number_meet_and_each_file_is_parsed_once(spark, tmp_path, splits):
+    rng = random.Random(3)
+    one, two = reads(rng, 40), reads(rng, 40)
+    (tmp_path / "A_R1.fastq").write_text(fastq(one))
+    (tmp_path / "A_R2.fastq").write_text(fastq(two))
+    mates = sequences.read_mates(spark, str(tmp_path))
+    assert mates._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # one a side
+    got = {(r.pair_of, r.pool, r.sample_no, r.ordinal, r.read_id, r.seq, r.qual2) for r in mates.collect()}
+    assert got == {("A_R.fastq", "A", None, k, a[0], a[1], b[2]) for k, (a, b) in enumerate(zip(one, two))}
+
+
+def test_file_names_of_any_path(spark):
+    names = {"/a/b=1/X_S1_R1.fastq": "X_S1_R1.fastq", "file:/a/name=Y_R2.fastq/part-00-c.txt": "Y_R2.fastq", "part-0": "part-0", "Z.fq": "Z.fq", "/part-x/W=V.fq": "V.fq"}
+    rows = spark.createDataFrame([(k,) for k in names], "file string").select("file", sequences.file_name("file").alias("name")).collect()
+    assert {r.file: r.name for r in rows} == names
