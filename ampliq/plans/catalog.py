@@ -622,7 +622,8 @@ def fastq_mate_report(spark: SparkSession, d: str) -> DataFrame:
     one, two = derived_pairs(spark, d)
     named = lambda df, m: df.withColumn("name", F.concat("pool", F.format_string(f"_S1_L%03d_{m}_001.fastq", (F.col("read_id") % 8 + 1).cast("int"))))
     last = Window.partitionBy("name").orderBy(F.desc("read_id"))
-    cut = named(two, "R2").select("pool", "name", "read_id", "seq", "qual", F.row_number().over(last).alias("_n")).where("_n > 5").drop("_n")
+    late = named(two, "R2").select("name", "read_id").withColumn("_n", F.row_number().over(last)).where("_n <= 5").select("name", "read_id")  # five rows a file
+    cut = named(two, "R2").select("pool", "name", "read_id", "seq", "qual").join(F.broadcast(late), ["name", "read_id"], "left_anti").select("pool", "name", "read_id", "seq", "qual")
     path = _folder(spark, "mates")
     sequences.write_named_fastq(named(one, "R1").unionByName(cut), path)
     return sequences.mate_report(sequences.read_mates(spark, path))
