@@ -26,9 +26,10 @@ def phred(qual: Column) -> Column:
 
 
 def bases_below(qual: Column, least: int = 30) -> Column:
-    """Bases of a quality under ``least``, without an array: the characters below the cut are taken out."""
-    low = "".join(chr(c) for c in range(PHRED_OFFSET, PHRED_OFFSET + least))
-    return F.length(qual) - F.length(F.translate(qual, low, ""))
+    """Bases of a quality under ``least``, without an array: runs of characters below the cut are taken out."""
+    if least < 1:
+        return F.length(qual) * 0
+    return F.length(qual) - F.length(F.regexp_replace(qual, f"[\\x{{{PHRED_OFFSET:x}}}-\\x{{{PHRED_OFFSET + least - 1:x}}}]+", ""))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
