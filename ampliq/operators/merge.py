@@ -13,6 +13,8 @@ from ampliq.functions.dna import COMPLEMENT
 
 #: Pairs scored together.
 TOGETHER = 4096
+#: Pairs that a task joins, some hundred MB when sorted.
+PER_TASK = 200_000
 
 
 def _matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,28 +85,36 @@ def merge_batch(a: list[bytes], qa: list[bytes], b: list[bytes], qb: list[bytes]
     (quality_a, _), (quality_b, _) = _matrix([x[::-1] for x in qa]), _matrix(qb)
     quality_a, wa = quality_a[:, ::-1], right.shape[1]
     best, size = best_overlaps(right, la, left, lb, min_ov, max_ov)
-    good = best <= err
-    whole = int((la + lb - size).max())
-    at = np.arange(whole)
-    merged, quality = np.zeros((len(a), whole), np.uint8), np.zeros((len(a), whole), np.uint8)
-    of_a, of_b = at < la[:, None], (at >= (la - size)[:, None]) & (at < (la + lb - size)[:, None])
-    spot_a, spot_b = np.clip(at + (wa - la)[:, None], 0, wa - 1), np.clip(at - (la - size)[:, None], 0, left.shape[1] - 1)
-    x, y = np.take_along_axis(right, spot_a, 1), np.take_along_axis(left, spot_b, 1)
-    p, q = np.take_along_axis(quality_a, spot_a, 1), np.take_along_axis(quality_b, spot_b, 1)
-    both = of_a & of_b
-    first = np.where(both, p >= q, of_a)
-    merged[:] = np.where(first, x, y)
-    apart = np.maximum(np.abs(p.astype(np.int16) - q) + 33, 35)
-    quality[:] = np.where(both, np.where(x == y, np.maximum(p, q), apart), np.where(of_a, p, q))
-    ends = (la + lb - size).tolist()
-    return ([merged[i, :n].tobytes() if ok else None for i, (n, ok) in enumerate(zip(ends, good, strict=True))],
-            [quality[i, :n].tobytes() if ok else None for i, (n, ok) in enumerate(zip(ends, good, strict=True))], [int(o) if ok else None for o, ok in zip(size, good, strict=True)])
+    merged: list = [None] * len(a)
+    quality: list = [None] * len(a)
+    sizes: list = [None] * len(a)
+    good = np.flatnonzero(best <= err)
+    _, which = np.unique(np.stack([la[good], lb[good], size[good]], 1), axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    for rows in np.split(good[order], np.flatnonzero(np.diff(which.ravel()[order])) + 1) if len(good) else ():
+        #: Pairs of the same sizes and overlap: what is R1's alone, the overlap, what is R2's alone.
+        n_a, n_b, o = int(la[rows[0]]), int(lb[rows[0]]), int(size[rows[0]])
+        s, p, t, q = right[rows, wa - n_a :], quality_a[rows, wa - n_a :], left[rows, :n_b], quality_b[rows, :n_b]
+        x, y, px, py = s[:, n_a - o :], t[:, :o], p[:, n_a - o :], q[:, :o]
+        apart = np.maximum(np.abs(px.astype(np.int16) - py) + 33, 35).astype(np.uint8)
+        bases = np.concatenate([s[:, : n_a - o], np.where(px >= py, x, y), t[:, o:]], 1).tobytes()
+        marks = np.concatenate([p[:, : n_a - o], np.where(x == y, np.maximum(px, py), apart), q[:, o:]], 1).tobytes()
+        whole = n_a + n_b - o
+        for k, i in enumerate(rows.tolist()):
+            merged[i], quality[i], sizes[i] = bases[k * whole : (k + 1) * whole], marks[k * whole : (k + 1) * whole], o
+    return merged, quality, sizes
 
 
 def merge_pairs(r1: DataFrame, r2: DataFrame, min_ov: int = 20, max_ov: int = 300, err: float = 0.10) -> DataFrame:
-    """(pool, read_id, seq, qual, overlap) of every pair with one id, as ``merge_mates`` gives them; pairs meet by an equi-join on pool and id."""
-    other = r2.select("pool", "read_id", F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
-    return merge_mates(r1.select("pool", "read_id", "seq", "qual").join(other, ["pool", "read_id"]), min_ov, max_ov, err)
+    """(pool, read_id, seq, qual, overlap) of every pair with one id, as ``merge_mates`` gives them; pairs meet by an equi-join on pool and id.
+
+    Reads are some hundred bytes that shrink to a few in a shuffle, so partitions
+    are cut by rows (PER_TASK), not by what they weigh there: sorts stay in memory.
+    """
+    spread = max(int(r1.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-r1.count() // PER_TASK))
+    one = r1.select("read_id", "pool", "seq", "qual").repartition(spread, "read_id", "pool")
+    two = r2.select("read_id", "pool", F.col("seq").alias("seq2"), F.col("qual").alias("qual2")).repartition(spread, "read_id", "pool")
+    return merge_mates(one.join(two, ["read_id", "pool"]), min_ov, max_ov, err)
 
 
 def merge_mates(mates: DataFrame, min_ov: int = 20, max_ov: int = 300, err: float = 0.10) -> DataFrame:
