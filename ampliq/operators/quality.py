@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliq.functions.dna import PHRED_OFFSET, bases_below
-from ampliq.sources.shared import small
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -96,10 +95,14 @@ def threshold_curve(reads: DataFrame, cuts: tuple[float, ...] = (0.01, 0.02, 0.0
 
 
 def below_own_q99(reads: DataFrame) -> DataFrame:
-    """Reads strictly below the 99th percentile of their pool's counts below Q30, counted by value."""
-    scored = by_read(reads)
-    cut = scored.groupBy("pool").agg(F.percentile("below_q30", 0.99).alias("q99"))
-    return scored.join(small(cut), "pool").where("below_q30 < q99").groupBy("pool", "below_q30").agg(F.count("*").alias("n"))
+    """Reads strictly below the 99th percentile of their pool's counts below Q30, counted by value.
+
+    The percentile is taken from the counts, whose rows are at most as many as a
+    pool's longest read has bases, so reads are scanned once.
+    """
+    counts = by_read(reads).groupBy("pool", "below_q30").agg(F.count("*").alias("n"))
+    cut = F.percentile("below_q30", 0.99, F.col("n")).over(Window.partitionBy("pool"))
+    return counts.withColumn("_q99", cut).where("below_q30 < _q99").select("pool", "below_q30", "n")
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int = 30) -> DataFrame:
