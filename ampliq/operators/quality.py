@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliq.functions.dna import PHRED_OFFSET, bases_below
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Bases that are counted together.
+CELLS = 1 << 22
 
 
 def by_read(reads: DataFrame) -> DataFrame:
@@ -37,10 +43,43 @@ def read_quantiles(reads: DataFrame) -> DataFrame:
     return agg.select("pool", *(F.round(F.col(c)[k], 6).alias(f"{n}_{int(100 * q)}") for c, n in (("a", "count"), ("b", "share")) for k, q in enumerate(shares)))
 
 
+def _cells(batch: pa.RecordBatch, by: tuple[str, ...]) -> pa.RecordBatch:
+    """(``by``, pos, q, n) of some reads: each base is a cell of (group, position, character), and cells are counted."""
+    group = np.zeros(batch.num_rows, np.int64)
+    for c in by:
+        coded = batch.column(c).dictionary_encode()
+        group = group * (len(coded.dictionary) + 1) + coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+    _, first, group = np.unique(group, return_index=True, return_inverse=True)
+    texts = batch.column("qual").fill_null("").to_pylist()
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in texts])
+    wide, top = max(int(sizes.max()), 1), int(letters.max(initial=0)) + 1
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    cell = (np.repeat(group, sizes) * wide + place) * top + letters
+    if len(first) * wide * top <= 4 * CELLS:
+        counts = np.bincount(cell)
+        at = np.flatnonzero(counts)
+        counts = counts[at]
+    else:
+        at, counts = np.unique(cell, return_counts=True)
+    rows = pa.array(first[at // (wide * top)])
+    numbers = [pa.array(x, kind) for x, kind in ((at // top % wide + 1, pa.int32()), (at % top - PHRED_OFFSET, pa.int32()), (counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in by), *numbers], [*by, "pos", "q", "n"])
+
+
 def position_counts(reads: DataFrame, by: tuple[str, ...] = ("pool",)) -> DataFrame:
-    """(pool, pos, q, n): bases by position and quality.  Characters are counted; only the counts are decoded."""
-    bases = reads.select(*by, F.posexplode(F.split("qual", "")).alias("pos", "c")).groupBy(*by, "pos", "c").agg(F.count("*").alias("n"))
-    return bases.where("c <> ''").select(*by, (F.col("pos") + 1).alias("pos"), (F.ascii("c") - PHRED_OFFSET).alias("q"), "n")
+    """(pool, pos, q, n): bases by position and quality, counted within Arrow batches, so that bases never become rows."""
+    rows = reads.select(*by, "qual")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longest = pc.max(pc.binary_length(batch.column("qual"))).as_py() or 1
+            step = max(1, CELLS // longest)
+            for start in range(0, batch.num_rows, step):
+                yield _cells(batch.slice(start, step), by)
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    return rows.mapInArrow(run, f"{kinds}, pos int, q int, n long").groupBy(*by, "pos", "q").agg(F.sum("n").alias("n"))
 
 
 def by_position(reads: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
