@@ -139,7 +139,8 @@ def aligned_strands(haplotypes: DataFrame, pct: float = 0.2, min_len: int = 150)
     Equal sequences of both strands are one row of it, so the strands can be
     intersected by ``aln``.  A sample has at most 2 * 100 / pct sequences, since
     each has that share of its strand's reads; a ``pct`` under LEAST_PCT, for
-    which that bound is no use, is refused.  Samples are spread over tasks.
+    which that bound is no use, is refused.  Samples are spread over tasks, as
+    their alignments cost far more than their rows weigh.
     """
     if pct < LEAST_PCT:
         raise ValueError(f"pct must be at least {LEAST_PCT}")
@@ -152,7 +153,8 @@ def aligned_strands(haplotypes: DataFrame, pct: float = 0.2, min_len: int = 150)
         return pa.table([*sample, pa.array(rows, pa.string()), pa.array([a.decode() for a in aligned], pa.string())], [*SAMPLE, "seq", "aln"])
 
     kinds = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in SAMPLE)
-    aligned = kept.select(*SAMPLE, "seq").distinct().groupBy(*SAMPLE).applyInArrow(run, f"{kinds}, seq string, aln string")
+    spread = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    aligned = kept.select(*SAMPLE, "seq").distinct().repartition(spread, *SAMPLE).groupBy(*SAMPLE).applyInArrow(run, f"{kinds}, seq string, aln string")
     return kept.select(*SAMPLE, "strand", "seq", "nr").join(aligned, [*SAMPLE, "seq"])
 
 
