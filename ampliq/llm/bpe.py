@@ -4,13 +4,15 @@ The merges of many pieces run together: pieces are put into padded integer
 matrices by length, and in each round every row merges its leftmost pair of
 minimum rank.  Pair ranks come from an open-addressing hash table in numpy.
 Rows without a pair left leave the matrix, and its width shrinks with them.
+Ids are kept as 32-bit numbers in bytes, not as objects of Python.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ NO_RANK = np.int32(2**31 - 1)
 PAD = np.int32(-1)
 #: Widths of the matrices; longer pieces take the blocked row of ``_merge_long``.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
-#: Pieces whose ids a task remembers, and cells of one matrix.
-CACHE_PIECES, MATRIX_CELLS = 400_000, 1 << 20
+#: Pieces whose ids a task remembers, their characters together, cells of one matrix, and characters of the texts encoded at once.
+CACHE_PIECES, CACHE_CHARACTERS, MATRIX_CELLS, GROUP = 200_000, 1 << 22, 1 << 18, 1 << 19
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -96,9 +98,10 @@ class Bpe:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.text_of = {rank: str(rank) for rank in self.bytes_of}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.cached = 0
 
-    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
         lengths = np.array([len(p) for p in pieces])
         ids = np.where(np.arange(width) < lengths[:, None], self.single[flat], PAD)
@@ -111,8 +114,8 @@ class Bpe:
             best = rank[line, at]
             done = best == NO_RANK
             if done.any():
-                for r, row, n in zip(rows[done], ids[done].tolist(), (ids[done] >= 0).sum(1).tolist(), strict=True):
-                    out[r] = tuple(row[:n])
+                for r, row, n in zip(rows[done].tolist(), ids[done], (ids[done] >= 0).sum(1).tolist(), strict=True):
+                    out[r] = row[:n].tobytes()
                 keep = ~done
                 rows, at, best = rows[keep], at[keep], best[keep]
                 if not len(rows):
@@ -133,7 +136,7 @@ class Bpe:
             rank[line[inner], at[inner] - 1] = self.pairs.look_up(ids[line, at - 1][inner], ids[line, at][inner])
         return out
 
-    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def _merge_long(self, piece: bytes) -> bytes:
         """One long row as a square of blocks: block minima find the leftmost minimum without shifting."""
         n = len(piece)
         side = int(np.ceil(np.sqrt(n)))
@@ -164,7 +167,7 @@ class Bpe:
             renew(i)
             if before[i] >= 0:
                 renew(int(before[i]))
-        return tuple(ids[:n][ids[:n] >= 0].tolist())
+        return ids[:n][ids[:n] >= 0].tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces into the cache."""
@@ -173,11 +176,11 @@ class Bpe:
             raw = piece.encode("utf-8")
             known = self.ranks.get(raw)
             if known is not None:
-                self.cache[piece] = (known,)
+                self.cache[piece] = known.to_bytes(4, sys.byteorder)
             elif len(raw) > WIDTHS[-1]:
                 self.cache[piece] = self._merge_long(raw)
             else:
-                groups.setdefault(next(w for w in WIDTHS if len(raw) <= w), []).append((piece, raw))
+                groups.setdefault(WIDTHS[bisect_left(WIDTHS, len(raw))], []).append((piece, raw))
         for width, members in groups.items():
             step = max(1, MATRIX_CELLS // width)
             for i in range(0, len(members), step):
@@ -185,27 +188,32 @@ class Bpe:
                 for (piece, _), ids in zip(part, self._merge_matrix([raw for _, raw in part], width), strict=True):
                     self.cache[piece] = ids
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode_arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [self.split.findall(text) for text in texts]
         every = set().union(*split)
         new = {piece for piece in every if piece not in self.cache}
-        if len(self.cache) + len(new) > CACHE_PIECES:
+        more = sum(map(len, new))
+        if self.cache and (len(self.cache) + len(new) > CACHE_PIECES or self.cached + more > CACHE_CHARACTERS):
             self.cache.clear()
-            new = every
+            new, more, self.cached = every, sum(map(len, every)), 0
+        self.cached += more
         self.learn(new)
         for pieces in split:
-            yield list(itertools.chain.from_iterable(map(self.cache.__getitem__, pieces)))
+            yield np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), np.int32)
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        yield from (ids.tolist() for ids in self.encode_arrays(texts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters."""
+def _groups(column: pa.Array, most: int = GROUP) -> Iterator[list[str]]:
+    """Runs of a column's texts of about ``most`` characters; only one is in memory as texts of Python."""
     part: list[str] = []
     size = 0
-    for text in texts:
-        part.append(text or "")
+    for text in column:
+        part.append(text.as_py() or "")
         size += len(part[-1])
         if size >= most:
             yield part
@@ -222,29 +230,35 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fal
     ids.  A null text counts as empty (no ids); repeated rows stay repeated, a
     null ``doc_id`` stays null, other columns are ignored, an empty table gives
     an empty result.  The rank file must be readable on the executors.  No
-    shuffle: a task holds one Arrow batch and a bounded cache of pieces.
+    shuffle: a task holds one Arrow batch, some texts of it as texts of Python and
+    a cache of pieces, bounded by their number and characters.
     """
     schema = T.StructType(SCHEMA.fields if with_ids else SCHEMA.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        pool.release_unused()  # of earlier tasks: the worker outlives them
         bpe = None
         for batch in batches:
             bpe = bpe or Bpe(path, pattern)
             at = 0
-            for texts in _groups(batch.column(1).to_pylist()):
+            for texts in _groups(batch.column(1)):
                 keys, n, sha, back, all_ids = batch.column(0).slice(at, len(texts)), [], [], [], []
                 at += len(texts)
-                for ids in bpe.encode(texts):
+                for array in bpe.encode_arrays(texts):
+                    ids = array.tolist()
                     n.append(len(ids))
                     sha.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                     if with_ids:
-                        all_ids.append(ids)
+                        all_ids.append(array)
                 columns = [keys.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(all_ids), pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+            batch = keys = columns = None
+            pool.release_unused()
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -77,6 +78,40 @@ def test_bpe_spaces_and_long_pieces():
         assert own.decode(ids) == text.encode()
 
 
+def test_bpe_cache_is_small_and_cleared(monkeypatch):
+    import tiktoken
+
+    path, pattern = tokenizer()
+    own, other = bpe.Bpe(path, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(15000)) for _ in range(12)]
+    tracemalloc.start()
+    for text in texts:
+        assert sum(map(len, own.encode([text]))) > 15000
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(own.cache) > 170_000 and held / len(own.cache) < 230  # bytes a piece
+    for most in ("CACHE_PIECES", "CACHE_CHARACTERS"):
+        with monkeypatch.context() as m:
+            m.setattr(bpe, most, 400)
+            own = bpe.Bpe(path, pattern)
+            mixed = [t[i : i + 900] for t in texts[:3] for i in range(0, 9000, 900)] + ["", "z" * 700, texts[0][:900]]
+            for text in mixed:
+                assert list(own.encode([text, ""])) == [other.encode_ordinary(text), []]
+                assert len(own.cache) <= 400
+
+
+def test_bpe_ids_of_odd_rows(spark):
+    import tiktoken
+
+    path, pattern = tokenizer()
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = [(1, None), (None, ""), (2, "😀 é\x1c漢" * 300), (3, "word " * 150000), (3, "x" * 3000), (4, "end")]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(rows[:2], "doc_id long, text string").coalesce(1)):
+        got = Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in bpe.encode_decode(df, path, pattern, with_ids=True).collect())
+        assert got == Counter((i, len(x), x) for i, x in ((r["doc_id"], tuple(other.encode_ordinary(r["text"] or ""))) for r in df.collect()))
+
+
 def brute_links(rows):
     sets = []
     for _, text in rows:
